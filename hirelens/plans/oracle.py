@@ -124,3 +124,162 @@ SELECT strftime(TIMESTAMP '{TRAINED_AT}', '%Y-%m-%dT%H:%M:%S') AS trained_at,
 
 def statuses_sql() -> str:
     return ", ".join(f"'{s}'" for s in STATUSES)
+
+
+APPS_CTE = """
+apps0 AS (
+  SELECT o_orderkey AS id, o_custkey AS user_id, o_orderpriority AS company,
+         'role ' || o_orderstatus AS role,
+         CASE WHEN o_orderstatus = 'F' THEN
+                CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'offer' ELSE 'rejected' END
+              WHEN o_orderstatus = 'O' THEN
+                CASE WHEN o_orderpriority = '1-URGENT' THEN 'interview'
+                     WHEN o_orderpriority = '2-HIGH' THEN 'screening' ELSE 'applied' END
+              ELSE CASE WHEN o_orderpriority = '5-LOW' THEN 'withdrawn' ELSE 'saved' END END AS status,
+         o_orderdate AS ts
+  FROM orders
+),
+apps AS (
+  SELECT id, user_id, company, role, status,
+         CASE WHEN status <> 'saved' THEN CAST(ts AS DATE) END AS applied_date,
+         NULL::VARCHAR AS source_url, NULL::VARCHAR AS notes, ts AS created_at, ts AS updated_at
+  FROM apps0
+)"""
+
+ANALYSES_CTE = """
+alists AS (
+  SELECT l_orderkey,
+         list_sort(list(DISTINCT CASE WHEN l_linenumber = 1 THEN upper(p_name) ELSE p_name END))
+           AS required_skills
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey
+),
+analyses AS (
+  SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS created_at,
+         coalesce(a.required_skills, []::VARCHAR[]) AS required_skills,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'mid_level' WHEN '2-HIGH' THEN 'early_career'
+              WHEN '3-MEDIUM' THEN 'student' WHEN '5-LOW' THEN 'fresher' END AS level
+  FROM orders LEFT JOIN alists a ON o_orderkey = a.l_orderkey
+)"""
+
+CHANGES_CTE = """
+ev AS (SELECT e.*, CAST(floor(event_id / 3) AS BIGINT) AS target FROM events e),
+changes AS (
+  SELECT event_id AS seq,
+         CASE WHEN event_type = 'signup' THEN 'insert' WHEN event_type = 'error' THEN 'delete'
+              ELSE 'patch' END AS op,
+         CASE WHEN event_type = 'signup' THEN -(event_id + 1) ELSE target END AS id,
+         CASE WHEN value < 10 OR o.o_custkey IS NULL THEN ev.user_id ELSE o.o_custkey END AS user_id,
+         CASE WHEN event_type = 'signup' THEN
+                MAP {'company': CASE WHEN value < 5 THEN ' ' ELSE 'Company ' || CAST(ev.user_id AS VARCHAR) END,
+                     'role': 'Engineer', 'notes': props}
+              WHEN event_type = 'purchase' THEN
+                MAP {'status': ['saved', 'applied', 'screening', 'interview', 'offer', 'rejected',
+                                'withdrawn', 'hired'][CAST(floor(value) AS BIGINT) % 8 + 1],
+                     'applied_date': strftime(ts, '%Y-%m-%d')}
+              WHEN event_type = 'click' THEN MAP {'notes': props}
+              WHEN event_type = 'view' THEN MAP {'viewed_at': strftime(ts, '%Y-%m-%d %H:%M:%S')}
+              ELSE MAP {}::MAP(VARCHAR, VARCHAR) END AS fields
+  FROM ev LEFT JOIN orders o ON ev.target = o.o_orderkey
+)"""
+
+ORACLE["tracker_list"] = f"""
+WITH {APPS_CTE}
+SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY applied_date DESC NULLS FIRST, id)
+               AS INTEGER) AS pos FROM apps"""
+
+ORACLE["tracker_list_by_status"] = f"""
+WITH {APPS_CTE}
+SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY applied_date DESC NULLS FIRST, id)
+               AS INTEGER) AS pos FROM apps WHERE status = 'interview'"""
+
+ORACLE["status_counts"] = f"""
+WITH {APPS_CTE}
+SELECT user_id, status, count(*) AS n FROM apps GROUP BY user_id, status"""
+
+ORACLE["status_wide"] = f"""
+WITH {APPS_CTE}
+SELECT user_id, {", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in STATUSES)}
+FROM apps GROUP BY user_id"""
+
+ORACLE["status_map"] = f"""
+WITH {APPS_CTE}, c AS (SELECT user_id, status, count(*) AS n FROM apps GROUP BY user_id, status)
+SELECT user_id, to_json(map_from_entries(list({{'k': status, 'v': n}} ORDER BY status)))::VARCHAR AS counts
+FROM c GROUP BY user_id"""
+
+ORACLE["tracker_board"] = f"""
+WITH {APPS_CTE}, b AS (
+  SELECT *, CAST(list_position([{statuses_sql()}], status) AS INTEGER) AS stage FROM apps)
+SELECT user_id, stage, status, id,
+       CAST(row_number() OVER (PARTITION BY user_id, stage ORDER BY applied_date DESC NULLS FIRST, id)
+            AS INTEGER) AS card
+FROM b"""
+
+ORACLE["latest_per_user"] = f"""
+WITH {ANALYSES_CTE}
+SELECT user_id, id, created_at, level FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn
+  FROM analyses) WHERE rn = 1"""
+
+ORACLE["owned_lookup"] = f"""
+WITH {APPS_CTE}, {CHANGES_CTE}
+SELECT c.seq, c.id, c.user_id, a.id IS NOT NULL AS found
+FROM changes c LEFT JOIN apps a ON c.id = a.id AND c.user_id = a.user_id
+WHERE c.op <> 'insert'"""
+
+
+def weekly_sql(where: str = "TRUE", p: str = "", name: str = "weekly") -> str:
+    return f"""
+{p}wa AS (SELECT id, CAST(date_trunc('week', created_at) AS DATE) AS week_of, required_skills
+       FROM analyses WHERE {where}),
+{p}we AS (SELECT DISTINCT id, week_of, lower(trim(s)) AS skill
+       FROM (SELECT id, week_of, unnest(required_skills) AS s FROM {p}wa)),
+{p}wt AS (SELECT week_of, count(*) AS source_count FROM {p}wa GROUP BY week_of),
+{name} AS (
+  SELECT e.skill AS skill_name, e.week_of, CAST(count(*) AS INTEGER) AS frequency,
+         CAST(any_value(t.source_count) AS INTEGER) AS source_count
+  FROM {p}we e JOIN {p}wt t ON e.week_of = t.week_of WHERE e.skill <> ''
+  GROUP BY e.skill, e.week_of
+)"""
+
+
+RECENT_SQL = """
+recent AS (SELECT * FROM analyses WHERE required_skills IS NOT NULL
+           ORDER BY created_at DESC, id LIMIT 100),
+rs AS (SELECT lower(trim(unnest(required_skills))) AS skill FROM recent),
+user_top AS (SELECT skill, count(*) AS n FROM rs WHERE skill <> '' GROUP BY skill
+             ORDER BY n DESC, skill LIMIT 20)"""
+
+ORACLE["recent_skill_trends"] = f"""
+WITH {ANALYSES_CTE}, {RECENT_SQL}
+SELECT skill, n FROM user_top"""
+
+ORACLE["weekly_trends"] = f"""
+WITH {ANALYSES_CTE}, {weekly_sql()}
+SELECT skill_name, week_of, frequency, source_count FROM weekly"""
+
+ORACLE["rising_skills"] = f"""
+WITH {ANALYSES_CTE}, {weekly_sql()}
+SELECT skill_name, week_of, frequency,
+       lag(frequency) OVER (PARTITION BY skill_name ORDER BY week_of) AS prev_frequency,
+       frequency - lag(frequency) OVER (PARTITION BY skill_name ORDER BY week_of) AS delta
+FROM weekly"""
+
+ORACLE["trend_feed"] = f"""
+WITH {CORPUS_CTES}, {ANALYSES_CTE}, {RECENT_SQL},
+top AS (SELECT category, postings FROM cat_counts ORDER BY postings DESC, category LIMIT 30),
+u AS (SELECT 'ml_trends' AS source, category AS skill, postings AS n FROM top
+      UNION ALL SELECT 'user_trends', skill, n FROM user_top),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, skill) AS INTEGER) AS rank FROM u)
+SELECT source, skill, n, rank FROM r WHERE rank <= 20"""
+
+ORACLE["retrain_check"] = """
+SELECT count(*) AS analyses, 0 AS since, 50 AS threshold, count(*) - 0 >= 50 AS should_retrain
+FROM orders"""
+
+ORACLE["trend_upsert"] = f"""
+WITH {ANALYSES_CTE},
+{weekly_sql("created_at < TIMESTAMP '1998-01-01'", "b_", "base_w")},
+{weekly_sql("created_at >= TIMESTAMP '1997-12-01'", "n_", "new_w")}
+SELECT * FROM base_w b WHERE NOT EXISTS (
+  SELECT 1 FROM new_w n WHERE n.skill_name = b.skill_name AND n.week_of = b.week_of)
+UNION ALL SELECT * FROM new_w"""

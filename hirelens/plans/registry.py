@@ -80,3 +80,89 @@ def q_corpus_funnel(spark, d):
 @register("corpus_metadata")
 def q_corpus_metadata(spark, d):
     return corpus.corpus_metadata(_final(spark, d), TRAINED_AT, EMBEDDING_MODEL, EMBEDDING_DIM)
+
+
+# ---- tracker ----------------------------------------------------------------
+
+from hirelens.operators import tracker, trends  # noqa: E402
+
+
+@register("tracker_list")
+def q_tracker_list(spark, d):
+    return tracker.tracker_list(A.applications(spark, d))
+
+
+@register("tracker_list_by_status")
+def q_tracker_list_by_status(spark, d):
+    return tracker.tracker_list(A.applications(spark, d), status="interview")
+
+
+@register("status_counts")
+def q_status_counts(spark, d):
+    return tracker.status_counts(A.applications(spark, d))
+
+
+@register("status_wide")
+def q_status_wide(spark, d):
+    return tracker.status_wide(A.applications(spark, d))
+
+
+@register("status_map")
+def q_status_map(spark, d):
+    return tracker.status_map(A.applications(spark, d))
+
+
+@register("tracker_board")
+def q_tracker_board(spark, d):
+    return tracker.tracker_board(A.applications(spark, d))
+
+
+@register("latest_per_user")
+def q_latest_per_user(spark, d):
+    return tracker.latest_per_user(A.analyses(spark, d), ["id", "created_at", "level"])
+
+
+@register("owned_lookup")
+def q_owned_lookup(spark, d):
+    req = A.change_sets(spark, d).filter(F.col("op") != "insert").select("seq", "id", "user_id")
+    return tracker.owned_lookup(req, A.applications(spark, d))
+
+
+# ---- trends -----------------------------------------------------------------
+
+UPSERT_BASE_BEFORE = "1998-01-01"      # stored weeks: analyses before this day
+UPSERT_BATCH_FROM = "1997-12-01"       # recomputed batch: analyses from this day (a Monday)
+
+
+@register("recent_skill_trends")
+def q_recent_skill_trends(spark, d):
+    return trends.recent_skill_counts(A.analyses(spark, d))
+
+
+@register("weekly_trends")
+def q_weekly_trends(spark, d):
+    return trends.weekly_trends(A.analyses(spark, d))
+
+
+@register("rising_skills")
+def q_rising_skills(spark, d):
+    return trends.rising_skills(trends.weekly_trends(A.analyses(spark, d)))
+
+
+@register("trend_feed")
+def q_trend_feed(spark, d):
+    return trends.trend_feed(corpus.category_top(_final(spark, d)),
+                             trends.recent_skill_counts(A.analyses(spark, d)))
+
+
+@register("retrain_check")
+def q_retrain_check(spark, d):
+    return trends.retrain_check(A.analyses(spark, d))
+
+
+@register("trend_upsert")
+def q_trend_upsert(spark, d):
+    a = A.analyses(spark, d)
+    base = trends.weekly_trends(a.filter(F.col("created_at") < F.lit(UPSERT_BASE_BEFORE).cast("timestamp_ntz")))
+    new = trends.weekly_trends(a.filter(F.col("created_at") >= F.lit(UPSERT_BATCH_FROM).cast("timestamp_ntz")))
+    return trends.upsert(base, new)

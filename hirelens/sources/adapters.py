@@ -70,7 +70,7 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (orders.join(lists, orders.o_orderkey == lists.l_orderkey, "left")
             .select(F.col("o_orderkey").alias("id"),
                     F.col("o_custkey").alias("user_id"),
-                    F.col("o_orderdate").cast("timestamp").alias("created_at"),
+                    F.col("o_orderdate").alias("created_at"),
                     F.coalesce("required_skills", F.array().cast("array<string>"))
                     .alias("required_skills"),
                     _level(F.col("o_orderpriority")).alias("level")))
@@ -88,7 +88,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
                    "o_orderdate", "o_orderpriority")
     status = _status(F.col("o_orderstatus"), F.col("o_orderpriority"))
-    ts = F.col("o_orderdate").cast("timestamp")
+    ts = F.col("o_orderdate")
     return o.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("user_id"),
