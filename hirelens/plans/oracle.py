@@ -283,3 +283,186 @@ WITH {ANALYSES_CTE},
 SELECT * FROM base_w b WHERE NOT EXISTS (
   SELECT 1 FROM new_w n WHERE n.skill_name = b.skill_name AND n.week_of = b.week_of)
 UNION ALL SELECT * FROM new_w"""
+
+
+# ---- model replies, skills and matching ----------------------------------------
+
+def toks_sql(expr: str) -> str:
+    return f"list_filter(string_split_regex(lower({expr}), '[^a-z0-9+#.]+'), lambda x: x <> '')"
+
+
+DICT_CTE = f"""
+dtoks AS (SELECT doc_id, {toks_sql('text')} AS t FROM documents WHERE lang = 'en'),
+dterms AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(list_filter(t, lambda x: length(x) >= 3)) AS g FROM dtoks
+    UNION ALL
+    SELECT doc_id, t[i] || ' ' || t[i + 1] AS g
+    FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM dtoks)
+    WHERE length(t[i]) >= 3 AND length(t[i + 1]) >= 3)
+),
+dict AS (SELECT g AS skill, count(*) AS df FROM dterms GROUP BY g ORDER BY df DESC, g LIMIT 200),
+dictr AS (SELECT skill, df, CAST(row_number() OVER (ORDER BY df DESC, skill) AS INTEGER) AS rank FROM dict)"""
+
+
+def grams_sql(name: str, src: str, keys: str, text: str, extra: str = "") -> str:
+    """CTEs {name}_t (token lists) and {name} (1-3 grams) over table ``src``."""
+    ex = f", {extra}" if extra else ""
+    return f"""
+{name}_t AS (SELECT {keys}{ex}, {toks_sql(text)} AS t FROM {src}),
+{name} AS (
+  SELECT {keys}{ex}, unnest(t) AS g FROM {name}_t
+  UNION ALL SELECT {keys}{ex}, t[i] || ' ' || t[i + 1]
+  FROM (SELECT {keys}{ex}, t, unnest(range(1, len(t))) AS i FROM {name}_t)
+  UNION ALL SELECT {keys}{ex}, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]
+  FROM (SELECT {keys}{ex}, t, unnest(range(1, len(t) - 1)) AS i FROM {name}_t)
+)"""
+
+
+REPLIES_CTE = r"""
+r AS (SELECT event_id,
+        CASE WHEN event_type = 'click' THEN '  ' || props || chr(10)
+             WHEN event_type = 'view' THEN '```json' || chr(10) || props || chr(10) || '```'
+             WHEN event_type = 'purchase' THEN '```' || chr(10) || props || chr(10) || '```' || chr(10)
+             WHEN event_type = 'signup' THEN props || ' junk'
+             ELSE '[' || props || ']' END AS raw
+      FROM events),
+s1 AS (SELECT event_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS c FROM r),
+s2 AS (SELECT event_id, CASE WHEN starts_with(c, '```') THEN string_split(c, '```')[2] ELSE c END AS c FROM s1),
+s3 AS (SELECT event_id, regexp_replace(CASE WHEN starts_with(c, 'json') THEN substr(c, 5) ELSE c END,
+                                       '^\s+|\s+$', '', 'g') AS c FROM s2),
+s4 AS (SELECT event_id, coalesce(json_valid(c) AND c <> '', false) AS valid FROM s3),
+s5 AS (SELECT s4.event_id, valid, CASE WHEN valid THEN c END AS c FROM s4 JOIN s3 USING (event_id))"""
+
+ORACLE["safe_parse_json"] = f"""
+WITH {REPLIES_CTE}
+SELECT event_id, valid AND json_type(c) = 'OBJECT' AS ok,
+       CASE WHEN NOT valid THEN 'invalid_json' WHEN json_type(c) <> 'OBJECT' THEN 'not_object' END AS reason,
+       CASE WHEN valid AND json_type(c) = 'OBJECT' AND json_exists(c, '$.k')
+            THEN CAST(json_extract(c, '$.k') AS BIGINT) ELSE 0 END AS k
+FROM s5"""
+
+ORACLE["skill_dictionary"] = f"""
+WITH {DICT_CTE}
+SELECT skill, df, rank FROM dictr"""
+
+ORACLE["doc_skills"] = f"""
+WITH {DICT_CTE}, {grams_sql('dg', 'documents', 'doc_id', 'text')}
+SELECT doc_id, list_sort(list(DISTINCT g)) AS skills FROM dg JOIN dict ON g = skill GROUP BY doc_id"""
+
+POSTING_LISTS = """
+{name}_h AS (SELECT {keys}, g, min(CAST(pref AS INTEGER)) AS pref_only
+             FROM {grams} JOIN dict ON g = skill GROUP BY ALL),
+{name} AS (SELECT {keys},
+         coalesce(list_sort(list(g) FILTER (WHERE pref_only = 0)), []::VARCHAR[]) AS required_skills,
+         coalesce(list_sort(list(g) FILTER (WHERE pref_only = 1)), []::VARCHAR[]) AS preferred_skills
+       FROM {name}_h GROUP BY ALL)"""
+
+PREF_RE = "(?i)preferred|nice to have|bonus|plus"
+
+ORACLE["posting_skills"] = f"""
+WITH {DICT_CTE},
+pl AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line
+       FROM conversations WHERE role = 'assistant'),
+pl2 AS (SELECT conv_id, turn, line, regexp_matches(line, '{PREF_RE}') AS pref FROM pl),
+{grams_sql('pg', 'pl2', 'conv_id, turn', 'line', 'pref')},
+{POSTING_LISTS.format(name='plists', keys='conv_id, turn', grams='pg')}
+SELECT * FROM plists"""
+
+PAIRS_CTE = """
+pairs AS (
+  SELECT u.conv_id, u.turn AS resume_turn, u.text AS resume_text, a.text AS jd_text
+  FROM conversations u JOIN conversations a
+    ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+
+REPORT_CTE = f"""
+{DICT_CTE}, {PAIRS_CTE},
+{grams_sql('rg', 'pairs', 'conv_id, resume_turn', 'resume_text')},
+rl AS (SELECT conv_id, resume_turn, list_sort(list(DISTINCT g)) AS resume_skills
+       FROM rg JOIN dict ON g = skill GROUP BY ALL),
+jl AS (SELECT conv_id, resume_turn, unnest(string_split(jd_text, chr(10))) AS line FROM pairs),
+jl2 AS (SELECT conv_id, resume_turn, line, regexp_matches(line, '{PREF_RE}') AS pref FROM jl),
+{grams_sql('jg', 'jl2', 'conv_id, resume_turn', 'line', 'pref')},
+{POSTING_LISTS.format(name='jlists', keys='conv_id, resume_turn', grams='jg')},
+j AS (
+  SELECT p.conv_id, p.resume_turn,
+         coalesce(rl.resume_skills, []::VARCHAR[]) AS rs,
+         coalesce(jlists.required_skills, []::VARCHAR[]) AS req,
+         coalesce(jlists.preferred_skills, []::VARCHAR[]) AS pref
+  FROM pairs p LEFT JOIN rl USING (conv_id, resume_turn) LEFT JOIN jlists USING (conv_id, resume_turn)),
+k AS (
+  SELECT *, list_distinct(list_concat(req, pref)) AS jd,
+         len(req) + 0.5 * len(pref) AS den,
+         len(list_intersect(req, rs)) + 0.5 * len(list_intersect(pref, rs)) AS num
+  FROM j),
+report AS (
+  SELECT conv_id, resume_turn, 'fresher' AS level, rs AS resume_skills, req AS required_skills,
+         pref AS preferred_skills, '' AS jd_role, '' AS jd_company,
+         list_sort(list_intersect(jd, rs)) AS matched_skills,
+         list_sort(list_filter(jd, lambda x: NOT list_contains(rs, x))) AS gap_skills,
+         round(CASE WHEN den > 0 THEN num / den ELSE 0.0 END, 6) AS match_score,
+         req AS _req
+  FROM k),
+report2 AS (
+  SELECT * EXCLUDE (_req),
+         CASE WHEN match_score >= 0.8 THEN 'strong' WHEN match_score >= 0.6 THEN 'good'
+              WHEN match_score >= 0.4 THEN 'moderate' WHEN match_score >= 0.2 THEN 'weak'
+              ELSE 'poor' END AS band,
+         to_json(list_transform(gap_skills, lambda s: {{'type': 'add_skill',
+                 'text': 'Add ' || s || ' to your resume',
+                 'priority': CASE WHEN list_contains(_req, s) THEN 'high' ELSE 'medium' END}}))::VARCHAR
+           AS suggestions
+  FROM report)"""
+
+ORACLE["match_report"] = f"""
+WITH {REPORT_CTE}
+SELECT * FROM report2"""
+
+ORACLE["analysis_json_out"] = f"""
+WITH {REPORT_CTE}
+SELECT conv_id, resume_turn, to_json({{'conv_id': conv_id, 'resume_turn': resume_turn, 'level': level,
+  'resume_skills': resume_skills, 'required_skills': required_skills,
+  'preferred_skills': preferred_skills, 'jd_role': jd_role, 'jd_company': jd_company,
+  'matched_skills': matched_skills, 'gap_skills': gap_skills, 'match_score': match_score,
+  'band': band, 'suggestions': json(suggestions)}})::VARCHAR AS json
+FROM report2"""
+
+ORACLE["score_eval"] = f"""
+WITH {DICT_CTE},
+ld AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+{grams_sql('lg', 'ld', 'doc_id', 'text')},
+ls AS (SELECT DISTINCT doc_id, g FROM lg JOIN dict ON g = skill),
+hits AS (SELECT doc_id, count(*) AS hits FROM ls JOIN dictr ON g = dictr.skill
+         WHERE dictr.rank <= 20 GROUP BY doc_id),
+sc AS (SELECT l.doc_id, l.quality, round(coalesce(h.hits, 0) / 20.0, 6) AS score
+       FROM labels l LEFT JOIN hits h USING (doc_id)),
+pc AS (SELECT *, CAST(round_even(score * 100, 0) AS INTEGER) AS percent FROM sc)
+SELECT quality, count(*) AS docs, round(avg(percent), 6) AS mean_percent,
+       round(avg(abs(percent - 60)), 6) AS mean_abs_error
+FROM pc GROUP BY quality"""
+
+ORACLE["pair_scores"] = f"""
+WITH {PAIRS_CTE},
+pt AS (SELECT conv_id, resume_turn, unnest({toks_sql('resume_text')}) AS tok, 1 AS ca, 0 AS cb FROM pairs
+       UNION ALL
+       SELECT conv_id, resume_turn, unnest({toks_sql('jd_text')}) AS tok, 0 AS ca, 1 AS cb FROM pairs),
+tf AS (SELECT conv_id, resume_turn, tok, sum(ca) AS ca, sum(cb) AS cb FROM pt GROUP BY ALL),
+ag AS (SELECT conv_id, resume_turn, CAST(sum(ca * cb) AS DOUBLE) AS dot, CAST(sum(ca * ca) AS DOUBLE) AS na,
+              CAST(sum(cb * cb) AS DOUBLE) AS nb FROM tf GROUP BY ALL),
+s AS (SELECT p.conv_id, p.resume_turn,
+             coalesce(round(greatest(0.0, least(1.0, CASE WHEN na > 0 AND nb > 0
+                      THEN dot / (sqrt(na) * sqrt(nb)) ELSE 0.0 END)), 6), 0.0) AS score
+      FROM pairs p LEFT JOIN ag USING (conv_id, resume_turn))
+SELECT conv_id, resume_turn, score, CAST(round_even(score * 100, 0) AS INTEGER) AS percent FROM s"""
+
+ORACLE["top_matches"] = """
+WITH r AS (SELECT vec_id AS resume_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE label = 0),
+p AS (SELECT vec_id AS posting_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings WHERE label <> 0),
+s AS (SELECT resume_id, posting_id,
+             greatest(0.0, least(1.0, list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2]))))
+               AS score
+      FROM r CROSS JOIN p),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, posting_id)
+                     AS INTEGER) AS rank FROM s)
+SELECT resume_id, posting_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5"""

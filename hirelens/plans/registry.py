@@ -166,3 +166,79 @@ def q_trend_upsert(spark, d):
     base = trends.weekly_trends(a.filter(F.col("created_at") < F.lit(UPSERT_BASE_BEFORE).cast("timestamp_ntz")))
     new = trends.weekly_trends(a.filter(F.col("created_at") >= F.lit(UPSERT_BATCH_FROM).cast("timestamp_ntz")))
     return trends.upsert(base, new)
+
+
+# ---- model replies, skills and matching ---------------------------------------
+
+from hirelens.functions.jsonparse import get_or_default, parse_replies  # noqa: E402
+from hirelens.operators import matching, skills  # noqa: E402
+from hirelens.plans.params import TOP_MATCHES  # noqa: E402
+
+REFERENCE_SKILLS = 20      # score_eval's fixed list: the dictionary's top 20
+
+
+def _dictionary(spark, d):
+    docs = read_table(spark, d, "documents", "doc_id", "text", "lang").filter(F.col("lang") == "en")
+    return skills.build_dictionary(docs, "doc_id", "text")
+
+
+@register("safe_parse_json")
+def q_safe_parse_json(spark, d):
+    r = parse_replies(A.model_replies(spark, d), "raw")
+    return r.select("event_id", F.col("reply").isNotNull().alias("ok"), "reason",
+                    get_or_default(F.col("reply"), "k", "bigint", 0).alias("k"))
+
+
+@register("skill_dictionary")
+def q_skill_dictionary(spark, d):
+    return _dictionary(spark, d).select("skill", "df", F.col("rank").cast("int").alias("rank"))
+
+
+@register("doc_skills")
+def q_doc_skills(spark, d):
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    return skills.extract_skills(docs, ["doc_id"], "text", _dictionary(spark, d))
+
+
+@register("posting_skills")
+def q_posting_skills(spark, d):
+    posts = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text").filter(
+        F.col("role") == "assistant")
+    return skills.posting_skills(posts, ["conv_id", "turn"], "text", _dictionary(spark, d))
+
+
+PAIR_KEYS = ["conv_id", "resume_turn"]
+
+
+@register("match_report")
+def q_match_report(spark, d):
+    return matching.match_report(A.turn_pairs(spark, d), PAIR_KEYS, _dictionary(spark, d))
+
+
+@register("analysis_json_out")
+def q_analysis_json_out(spark, d):
+    rep = matching.match_report(A.turn_pairs(spark, d), PAIR_KEYS, _dictionary(spark, d))
+    return matching.analysis_json(rep, PAIR_KEYS)
+
+
+@register("score_eval")
+def q_score_eval(spark, d):
+    dic = _dictionary(spark, d)
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    labelled = docs.join(read_table(spark, d, "labels", "doc_id"), "doc_id", "left_semi")
+    found = skills.extract_skills(labelled, ["doc_id"], "text", dic)
+    ref = dic.filter(F.col("rank") <= REFERENCE_SKILLS)
+    return matching.score_eval(found, read_table(spark, d, "labels", "doc_id", "quality"), ref,
+                               REFERENCE_SKILLS)
+
+
+@register("pair_scores")
+def q_pair_scores(spark, d):
+    return matching.lexical_pair_scores(A.turn_pairs(spark, d), PAIR_KEYS)
+
+
+@register("top_matches")
+def q_top_matches(spark, d):
+    e = read_table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    return matching.top_matches(e.filter(F.col("label") == 0), e.filter(F.col("label") != 0),
+                                TOP_MATCHES)
