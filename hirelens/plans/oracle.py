@@ -466,3 +466,99 @@ s AS (SELECT resume_id, posting_id,
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, posting_id)
                      AS INTEGER) AS rank FROM s)
 SELECT resume_id, posting_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5"""
+
+
+# ---- table maintenance ------------------------------------------------------------
+
+ALLOWED_SQL = "'company', 'role', 'status', 'applied_date', 'source_url', 'notes'"
+
+OUTCOMES_CTE = f"""
+{APPS_CTE}, {CHANGES_CTE},
+v AS (
+  SELECT *, map_contains(fields, 'status') AS has_status,
+         CASE WHEN map_contains(fields, 'status') THEN fields['status'] ELSE 'applied' END AS ins_status,
+         len(list_filter(map_keys(fields), lambda k: k IN ({ALLOWED_SQL}))) AS n_allowed,
+         (NOT map_contains(fields, 'applied_date') OR fields['applied_date'] IS NULL
+          OR TRY_CAST(fields['applied_date'] AS DATE) IS NOT NULL) AS date_ok
+  FROM changes),
+v2 AS (
+  SELECT *, CASE
+    WHEN op = 'insert' AND (trim(coalesce(fields['company'], '')) = ''
+                            OR trim(coalesce(fields['role'], '')) = '') THEN 'company and role are required'
+    WHEN op = 'insert' AND NOT coalesce(ins_status IN ({statuses_sql()}), false) THEN 'invalid status'
+    WHEN op = 'insert' AND NOT date_ok THEN 'invalid date'
+    WHEN op = 'patch' AND n_allowed = 0 THEN 'no valid fields'
+    WHEN op = 'patch' AND has_status AND NOT coalesce(fields['status'] IN ({statuses_sql()}), false)
+      THEN 'invalid status'
+    WHEN op = 'patch' AND NOT date_ok THEN 'invalid date'
+  END AS invalid FROM v),
+first_ins AS (SELECT id, arg_min(user_id, seq) AS owner, min(seq) AS created_seq
+              FROM v2 WHERE op = 'insert' AND invalid IS NULL GROUP BY id),
+life AS (
+  SELECT id, owner, created_seq FROM (
+    SELECT id, user_id AS owner, -4611686018427387904 AS created_seq FROM apps
+    WHERE id IN (SELECT id FROM v2)
+    UNION ALL SELECT id, owner, created_seq FROM first_ins)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_seq) = 1),
+dels AS (SELECT v2.id, min(seq) AS delete_seq FROM v2 JOIN life ON v2.id = life.id
+         WHERE op = 'delete' AND v2.user_id = life.owner AND v2.seq > life.created_seq GROUP BY v2.id),
+o AS (
+  SELECT v2.*, life.owner, life.created_seq, dels.delete_seq,
+         coalesce(life.owner IS NOT NULL AND v2.user_id = life.owner AND life.created_seq < v2.seq
+                  AND (dels.delete_seq IS NULL OR v2.seq <= dels.delete_seq), false) AS found
+  FROM v2 LEFT JOIN life ON v2.id = life.id LEFT JOIN dels ON v2.id = dels.id),
+outc AS (
+  SELECT *, CASE WHEN op = 'insert' THEN
+                   CASE WHEN invalid IS NOT NULL THEN invalid WHEN created_seq = seq THEN 'applied'
+                        ELSE 'duplicate id' END
+                 WHEN NOT found THEN 'not found' WHEN invalid IS NOT NULL THEN invalid
+                 ELSE 'applied' END AS outcome
+  FROM o)"""
+
+ORACLE["change_validation"] = f"""
+WITH {OUTCOMES_CTE}
+SELECT seq, op, id, user_id, outcome FROM outc"""
+
+
+def _patched(k: str, cast: str | None = None) -> str:
+    val = f"s.patch['{k}']"
+    if cast:
+        val = f"TRY_CAST({val} AS {cast})"
+    return f"CASE WHEN s.patch IS NOT NULL AND map_contains(s.patch, '{k}') THEN {val} ELSE r.{k} END AS {k}"
+
+
+ORACLE["apply_changes"] = f"""
+WITH {OUTCOMES_CTE},
+done AS (SELECT * FROM outc WHERE outcome = 'applied'),
+deleted AS (SELECT DISTINCT id FROM done WHERE op = 'delete'),
+ins AS (SELECT id, user_id, trim(fields['company']) AS company, trim(fields['role']) AS role,
+               ins_status AS status, TRY_CAST(fields['applied_date'] AS DATE) AS applied_date,
+               fields['source_url'] AS source_url, fields['notes'] AS notes,
+               TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at
+        FROM done WHERE op = 'insert' AND delete_seq IS NULL),
+pe AS (SELECT id, seq, unnest(map_keys(fields)) AS k, unnest(map_values(fields)) AS v
+       FROM done WHERE op = 'patch'),
+lastv AS (SELECT id, k, arg_max({{'v': v}}, seq).v AS v FROM pe WHERE k IN ({ALLOWED_SQL}) GROUP BY id, k),
+sets AS (SELECT id, map_from_entries(list({{'k': k, 'v': v}})) AS patch FROM lastv GROUP BY id),
+rws AS (SELECT * FROM apps WHERE id NOT IN (SELECT id FROM deleted) UNION ALL SELECT * FROM ins)
+SELECT r.id, r.user_id, {_patched('company')}, {_patched('role')}, {_patched('status')},
+       {_patched('applied_date', 'DATE')}, {_patched('source_url')}, {_patched('notes')}, r.created_at,
+       CASE WHEN s.patch IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE r.updated_at END AS updated_at
+FROM rws r LEFT JOIN sets s ON r.id = s.id"""
+
+ORACLE["cascade_delete"] = f"""
+WITH {APPS_CTE}
+SELECT id, user_id FROM apps WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
+
+ORACLE["cascade_set_null"] = f"""
+WITH {APPS_CTE}
+SELECT id, CASE WHEN status = 'withdrawn' THEN NULL ELSE id END AS application_id FROM apps"""
+
+ORACLE["orphan_rows"] = f"""
+WITH {APPS_CTE}
+SELECT id, user_id FROM apps WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"""
+
+ORACLE["new_users"] = """
+SELECT user_id AS ext_id, sha256(CAST(user_id AS VARCHAR)) AS id, min(ts) AS created_at
+FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
+GROUP BY user_id"""

@@ -242,3 +242,51 @@ def q_top_matches(spark, d):
     e = read_table(spark, d, "embeddings", "vec_id", "embedding", "label")
     return matching.top_matches(e.filter(F.col("label") == 0), e.filter(F.col("label") != 0),
                                 TOP_MATCHES)
+
+
+# ---- table maintenance ----------------------------------------------------------
+
+from hirelens.operators import changes as CH  # noqa: E402
+from hirelens.plans.params import AS_OF  # noqa: E402
+
+
+def _closed_accounts(spark, d):
+    """Users whose accounts are closed: customers with a negative balance."""
+    return read_table(spark, d, "customer", "c_custkey", "c_acctbal").filter(
+        F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("user_id"))
+
+
+@register("change_validation")
+def q_change_validation(spark, d):
+    return CH.apply_changes(A.applications(spark, d), A.change_sets(spark, d), AS_OF)[1]
+
+
+@register("apply_changes")
+def q_apply_changes(spark, d):
+    return CH.apply_changes(A.applications(spark, d), A.change_sets(spark, d), AS_OF)[0]
+
+
+@register("cascade_delete")
+def q_cascade_delete(spark, d):
+    apps = A.applications(spark, d).select("id", "user_id")
+    return CH.cascade_delete(apps, _closed_accounts(spark, d), "user_id")
+
+
+@register("cascade_set_null")
+def q_cascade_set_null(spark, d):
+    child = A.analyses(spark, d).select("id", F.col("id").alias("application_id"))
+    purged = A.applications(spark, d).filter(F.col("status") == "withdrawn").select(
+        F.col("id").alias("application_id"))
+    return CH.cascade_set_null(child, purged, "application_id")
+
+
+@register("orphan_rows")
+def q_orphan_rows(spark, d):
+    apps = A.applications(spark, d).select("id", "user_id")
+    return CH.orphans(apps, A.users(spark, d), "user_id", "ext_id")
+
+
+@register("new_users")
+def q_new_users(spark, d):
+    seen = read_table(spark, d, "events", "user_id", "ts").select(F.col("user_id").alias("ext_id"), "ts")
+    return CH.new_users(seen, A.users(spark, d))
