@@ -562,3 +562,24 @@ ORACLE["new_users"] = """
 SELECT user_id AS ext_id, sha256(CAST(user_id AS VARCHAR)) AS id, min(ts) AS created_at
 FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
 GROUP BY user_id"""
+
+
+# ---- streaming, CSV and file intake -------------------------------------------------
+
+ORACLE["stream_weekly_trends"] = ORACLE["weekly_trends"]
+ORACLE["corpus_csv_roundtrip"] = ORACLE["category_top30"]
+
+ORACLE["resume_intake_checks"] = r"""
+WITH f AS (
+  SELECT 'resume_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) ||
+         CASE WHEN turn = 0 THEN '.docx' WHEN turn = 2 THEN '.DOCX' WHEN turn = 4 THEN '.pdf'
+              ELSE '.txt' END AS file_name,
+         regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t
+  FROM conversations WHERE role = 'user'),
+s AS (
+  SELECT file_name, t,
+         CASE WHEN lower(file_name) LIKE '%.pdf' THEN 'pdf reader not available'
+              WHEN lower(file_name) NOT LIKE '%.docx' THEN 'unsupported type'
+              WHEN t = '' THEN 'no text' ELSE 'accepted' END AS status
+  FROM f)
+SELECT file_name, status, CASE WHEN status = 'accepted' THEN t END AS raw_text FROM s"""

@@ -290,3 +290,55 @@ def q_orphan_rows(spark, d):
 def q_new_users(spark, d):
     seen = read_table(spark, d, "events", "user_id", "ts").select(F.col("user_id").alias("ext_id"), "ts")
     return CH.new_users(seen, A.users(spark, d))
+
+
+# ---- streaming, encoder, CSV and file intake -----------------------------------
+
+from hirelens.operators import vectors  # noqa: E402
+from hirelens.schemas import JOB_SKILLS, POSTINGS, SKILLS  # noqa: E402
+from hirelens.session import shared_path  # noqa: E402
+from hirelens.sources import csvio, intake  # noqa: E402
+from hirelens.streaming import weekly  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+
+@register("stream_weekly_trends")
+def q_stream_weekly_trends(spark, d):
+    return weekly.stream_weekly_trends(spark, A.analyses(spark, d))
+
+
+@register("tfidf_vectors")
+def q_tfidf_vectors(spark, d):
+    return vectors.tfidf_vectors(_final(spark, d), "job_id", "clean_description", EMBEDDING_DIM)
+
+
+@register("corpus_csv_roundtrip")
+def q_corpus_csv_roundtrip(spark, d):
+    """Writes the posting, tag and label tables as CSV, reads them back with fixed
+    schemas and the pandas missing-value rules, and runs the flagship query on them."""
+    base = shared_path(spark, "csv")
+    post_schema = T.StructType(POSTINGS.fields + [T.StructField("ingest", T.IntegerType())])
+    csvio.write_csv(A.postings(spark, d), f"{base}/postings")
+    csvio.write_csv(A.job_skills(spark, d), f"{base}/job_skills")
+    csvio.write_csv(A.skills(spark, d), f"{base}/skills")
+    posts = csvio.read_csv(spark, f"{base}/postings", post_schema)
+    tags = csvio.read_csv(spark, f"{base}/job_skills", JOB_SKILLS).withColumn(
+        "skill_abr", F.col("skill_abr").cast("long"))
+    labels = csvio.read_csv(spark, f"{base}/skills", SKILLS).withColumn(
+        "skill_abr", F.col("skill_abr").cast("long"))
+    return corpus.category_top(corpus.corpus_final(posts, tags, labels))
+
+
+def _resume_files(spark, d):
+    c = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text").filter(
+        F.col("role") == "user")
+    ext = (F.when(F.col("turn") == 0, ".docx").when(F.col("turn") == 2, ".DOCX")
+           .when(F.col("turn") == 4, ".pdf").otherwise(".txt"))
+    path = F.concat(F.lit("upload/resume_"), F.col("conv_id").cast("string"), F.lit("_"),
+                    F.col("turn").cast("string"), ext)
+    return intake.as_files(c.withColumn("path", path), "path", "text")
+
+
+@register("resume_intake_checks")
+def q_resume_intake_checks(spark, d):
+    return intake.intake(_resume_files(spark, d))
