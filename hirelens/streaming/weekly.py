@@ -9,7 +9,8 @@ The sink is ``foreachBatch`` in update mode: each micro-batch appends its change
 (window, skill) counts with the batch id to a Parquet folder in the shared checkpoint
 area; the table's current value is the latest batch's row per key. Checkpoint and
 output both live under the cluster's checkpoint folder, so a restarted query resumes.
-Rows older than the watermark are dropped by Spark's state store (late data, ST2).
+Rows older than the watermark are dropped by Spark's state store (late data, ST2);
+Spark judges lateness against the previous micro-batch's watermark.
 """
 
 from __future__ import annotations
