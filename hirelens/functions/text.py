@@ -8,7 +8,7 @@ All of it stays inside whole-stage codegen; no Python worker is involved.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values: the cleaning rules, applied in this order ---------------
@@ -29,6 +29,10 @@ BOILERPLATE = [                                                          # case-
     r"please send (resume|cv).*",
 ]
 NOT_KEPT = r"[^a-zA-Z0-9\s\.\,\-\/\+\#]"
+KEPT_RUN = r"[^a-zA-Z0-9.,\-/+#]+"
+# needles: a text without any of them cannot match R1–R6
+LITERAL_NEEDLES = ["<", "http", "www.", "@", "$", ":"]
+CASE_BLIND_NEEDLES = ["pportun", "we are comm", "all qual", "plea"]
 SPACES = r"\s+"
 # ---------------------------------------------------------------------------
 
@@ -49,15 +53,58 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def clean_description(c: Column) -> Column:
-    """The corpus cleaning of a job description; null or blank gives ''."""
-    out = F.coalesce(c, F.lit(""))
-    for pattern, flags in CLEAN_STEPS:
+def _chain(out: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, flags in steps:
         out = F.regexp_replace(out, java_pattern(pattern, flags), " ")
     out = F.regexp_replace(out, java_pattern(SPACES), " ")
     return py_strip(out)
 
 
+def _tail(out: Column) -> Column:
+    """R7 + R8 + strip in one pass: every run of characters outside the kept set
+    (whitespace is outside it too) becomes one space, then end spaces go. Same result
+    as replacing each dropped character by a space, collapsing whitespace runs and
+    stripping."""
+    return F.trim(F.regexp_replace(out, KEPT_RUN, " "))
+
+
+def clean_description(c: Column) -> Column:
+    """The corpus cleaning of a job description; null or blank gives ''.
+
+    Exact fast path: R1–R5 each need a literal the text must hold ('<', 'http' or
+    'www.', '@', '$', ':'); without any of them those steps cannot match and leave the
+    text unchanged, so the boilerplate cuts (R6) see the raw text. Five cuts need ':';
+    each of the other four contains a run of letters with no 's', 'k' or 'i' (the only
+    ASCII letters that case-blind Unicode matching pairs with other characters: ſ, K,
+    İ, ı), so its lower-cased run must appear in the lower-cased text. A text with none
+    of the needles (most texts) only needs R7, R8 and the strip; the rest run every
+    step. The needle checks are byte searches on Spark's UTF-8 strings; everything
+    stays in generated code, and each branch reads the input column once per step."""
+    raw = F.coalesce(c, F.lit(""))
+    trigger = None
+    for needle in LITERAL_NEEDLES:
+        t = F.contains(raw, F.lit(needle))
+        trigger = t if trigger is None else trigger | t
+    low = F.lower(raw)
+    for needle in CASE_BLIND_NEEDLES:
+        trigger = trigger | F.contains(low, F.lit(needle))
+    full = raw
+    for pattern, flags in CLEAN_STEPS[:-1]:
+        full = F.regexp_replace(full, java_pattern(pattern, flags), " ")
+    return _tail(F.when(trigger, full).otherwise(raw))
+
+
+def clean_description_plain(c: Column) -> Column:
+    """R0–R8 with every step run (the reference order, for tests)."""
+    return _chain(F.coalesce(c, F.lit("")), CLEAN_STEPS)
+
+
+def with_clean_text(df: DataFrame, src: str, dst: str, only_if: Column | None = None) -> DataFrame:
+    """Adds ``dst`` = R0–R8 of ``src`` (null where ``only_if`` is false)."""
+    cleaned = clean_description(F.col(src))
+    return df.withColumn(dst, cleaned if only_if is None else F.when(only_if, cleaned))
+
+
 def clean_skill(c: Column) -> Column:
     """strip + lower of a label; missing gives ''."""
     return F.coalesce(F.lower(py_strip(c)), F.lit(""))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from hirelens.functions.text import py_strip
 from hirelens.operators.joins import join_dimension
 from hirelens.schemas import DEFAULT_STATUS, PATCH_FIELDS, STATUSES
+from hirelens.session import materialize
 
 NEVER = -(2 ** 62)      # creation seq of rows already in the base
 
@@ -95,8 +96,9 @@ def outcomes(base: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Returns (new snapshot, outcome per change)."""
-    out = outcomes(base, changes)
+    """Returns (new snapshot, outcome per change). The outcomes feed four branches, so
+    they are written once as a change-set-sized table in the shared folder."""
+    out = materialize(outcomes(base, changes), "change-outcomes")
     done = out.filter(F.col("outcome") == "applied")
     ts = F.lit(as_of).cast("timestamp_ntz")
     deleted = done.filter(F.col("op") == "delete").select("id").distinct()

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.functions.text import clean_description, clean_skill, iso_seconds
+from hirelens.functions.text import clean_skill, iso_seconds, with_clean_text
 from hirelens.operators.joins import join_dimension
+from hirelens.session import materialize
 from hirelens.schemas import (CATEGORY_FLOOR, CLEAN_MIN_CHARS, RAW_MIN_CHARS,
                               RETRAIN_THRESHOLD, TOP_CATEGORIES)
 
@@ -42,10 +43,9 @@ def staged_postings(postings: DataFrame) -> DataFrame:
     """All dedup survivors with stage flags; cleaning runs only on rows that passed P6."""
     d = keep_first(postings)
     long_raw = d["_kept"] & (F.length("description") > RAW_MIN_CHARS)
-    return (d.withColumn("_long", long_raw)
-            .withColumn("clean_description",
-                        F.when(F.col("_long"), clean_description(F.col("description"))))
-            .withColumn("_clean", F.col("_long") & (F.length("clean_description") > CLEAN_MIN_CHARS)))
+    d = with_clean_text(d.withColumn("_long", long_raw), "description", "clean_description",
+                        only_if=F.col("_long"))
+    return d.withColumn("_clean", F.col("_long") & (F.length("clean_description") > CLEAN_MIN_CHARS))
 
 
 def clean_postings(postings: DataFrame) -> DataFrame:
@@ -114,7 +114,10 @@ def corpus_funnel(postings: DataFrame, job_skills: DataFrame, skills: DataFrame)
 def corpus_metadata(final: DataFrame, trained_at, embedding_model: str,
                     embedding_dim: int) -> DataFrame:
     """S8 + A9: the one-row metadata record. Pieces are aggregated separately (each
-    small: one count row, the top list, the level rows) and folded in one final agg."""
+    small: one count row, the top list, the level rows) and folded in one final agg.
+    ``final`` feeds four of them, so it is materialised once (it is the corpus table
+    the job writes anyway) instead of re-running the cleaning four times."""
+    final = materialize(final, "corpus-final")
     counts = category_counts(final)
     pieces = (
         final.agg(F.count(F.lit(1)).alias("n")).select(F.lit("jds").alias("kind"),

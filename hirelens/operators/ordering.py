@@ -8,14 +8,15 @@ the offset contributed by earlier partitions. Every step's group is bounded by o
 range partition, not by the size of a key.
 
 The partition ids must be the same in both branches (row index and offsets), so the
-range-partitioned data is checkpointed once into the cluster's shared checkpoint
-folder; both branches read that copy, and the lineage is cut there (a lost executor
-re-reads it instead of recomputing the range sampling).
+range-partitioned data is written once as a table in the cluster's shared checkpoint
+folder; both branches read that copy (each file keeps its partition id), and the
+lineage is cut there (a lost executor re-reads it instead of recomputing the range
+sampling).
 """
 
 from __future__ import annotations
 
-from hirelens.session import ensure_checkpoint_dir
+from hirelens.session import ensure_checkpoint_dir, materialize
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +31,8 @@ def position_within(df: DataFrame, keys: list[str], order: list[Column], name: s
     n = num_partitions or _partitions(df)
     ensure_checkpoint_dir(df.sparkSession)
     key_cols = [F.col(k).asc_nulls_first() for k in keys]
-    ranged = (df.repartitionByRange(n, *key_cols, *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(n, *key_cols, *order)
+                         .withColumn("_pid", F.spark_partition_id()), "ranked")
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)))
     counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelens.operators.joins import join_dimension
-from hirelens.session import ensure_checkpoint_dir
+from hirelens.session import materialize
 
 # ---- fixed values ------------------------------------------------------------
 SEPARATORS = r"[^a-z0-9+#.]+"
@@ -27,45 +27,76 @@ DICTIONARY_MIN_TOKEN = 3     # characters per token of a dictionary entry
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+
+
+def _shift(toks: Column, k: int) -> Column:
+    """Tokens from position k+1 on (empty when shorter)."""
+    return F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0)))
 
 
 def ngrams(toks: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                        lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+    """n-grams of a token array (used for small inputs; jobs use ``explode_ngrams``)."""
+    out = toks
+    for k in range(1, n):
+        out = F.zip_with(out, _shift(toks, k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.slice(out, 1, F.greatest(F.size(toks) - (n - 1), F.lit(0))) if n > 1 else out
+
+
+def _positions(df: DataFrame, keep: list[str], text_col: str, width: int) -> DataFrame:
+    """keep + one row per token position with the token and the next ``width - 1``
+    tokens (null past the end) as columns w0, w1, ... Built from ``arrays_zip`` over
+    shifted copies and ``explode``: generated code, no per-element lambdas."""
+    t = df.select(*keep, tokens(F.col(text_col)).alias("w0"))
+    t = t.select(*keep, "w0", *[_shift(F.col("w0"), k).alias(f"w{k}") for k in range(1, width)])
+    z = t.select(*keep, F.explode(F.arrays_zip(*[f"w{k}" for k in range(width)])).alias("z"))
+    return z.select(*keep, *[F.col(f"z.w{k}").alias(f"w{k}") for k in range(width)])
 
 
-def all_ngrams(toks: Column, max_n: int = MAX_NGRAM) -> Column:
-    """``toks`` must be a column reference (materialised tokens): the lambdas refer to
-    it many times, and an inlined split would be re-run per n-gram."""
-    return F.concat(*[ngrams(toks, n) for n in range(1, max_n + 1)])
+def _words(n: int) -> Column:
+    """w0 .. w{n-1} joined by spaces; null when a word is missing (past the end)."""
+    parts = [F.col("w0")]
+    for k in range(1, n):
+        parts += [F.lit(" "), F.col(f"w{k}")]
+    return F.concat(*parts)
 
 
-def explode_ngrams(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """keep + one row per 1..3-gram of ``text_col`` (column ``skill``)."""
-    t = df.select(*keep, tokens(F.col(text_col)).alias("_t"))
-    return t.select(*keep, F.explode(all_ngrams(F.col("_t"))).alias("skill"))
+def explode_ngrams(df: DataFrame, keep: list[str], text_col: str, max_n: int = MAX_NGRAM) -> DataFrame:
+    """keep + one row per 1..max_n-gram of ``text_col`` (column ``skill``)."""
+    pos = _positions(df, keep, text_col, max_n)
+    grams = [_words(n) for n in range(1, max_n + 1)]
+    g = pos.select(*keep, F.explode(F.array(*grams)).alias("skill"))
+    return g.filter(F.col("skill").isNotNull())
 
 
 def build_dictionary(texts: DataFrame, id_col: str, text_col: str,
                      size: int = DICTIONARY_SIZE, min_token: int = DICTIONARY_MIN_TOKEN) -> DataFrame:
     """A skill dictionary learned from a corpus: the ``size`` 1- and 2-grams found in the
-    most texts (every token >= ``min_token`` characters), ties by the term."""
-    t = texts.select(id_col, tokens(F.col(text_col)).alias("t"))
-    uni = F.filter(F.col("t"), lambda x: F.length(x) >= min_token)
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))),
-                 lambda i: (i < F.size("t")) & (F.length(F.element_at("t", i)) >= min_token)
-                 & (F.length(F.element_at("t", i + 1)) >= min_token)),
-        lambda i: F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1)))
-    terms = t.select(id_col, F.explode(F.array_distinct(F.concat(uni, pairs))).alias("skill"))
-    top = (terms.groupBy("skill").agg(F.count(F.lit(1)).alias("df"))
-           .orderBy(F.desc("df"), F.asc("skill")).limit(size))
+    most texts (every token >= ``min_token`` characters), ties by the term.
+
+    Exact pruning of the bigrams: a bigram is in no more texts than either of its words,
+    and the cut-off of the final list is at least the ``size``-th largest unigram count
+    (unigrams compete too). So only bigrams of words at or above that count can make the
+    list; the rest are never counted. The word counts are a small written table."""
+    pos = _positions(texts, [id_col], text_col, 2).select(
+        id_col, *[F.when(F.length(f"w{k}") >= min_token, F.col(f"w{k}")).alias(f"w{k}")
+                  for k in range(2)])
+    words = materialize(
+        pos.filter(F.col("w0").isNotNull()).select(id_col, F.col("w0").alias("skill")).distinct()
+        .groupBy("skill").agg(F.count(F.lit(1)).alias("df")), "dictionary-words")
+    floor = (words.orderBy(F.desc("df"), F.asc("skill")).limit(size)
+             .agg(F.min("df").alias("floor"), F.count(F.lit(1)).alias("n")).first())
+    cut = floor["floor"] if floor["n"] == size else 1
+    frequent = words.filter(F.col("df") >= cut).select("skill")
+    pairs = pos.filter(F.col("w1").isNotNull())
+    pairs = join_dimension(pairs, frequent.withColumnRenamed("skill", "w0"), "w0", "left_semi")
+    pairs = join_dimension(pairs, frequent.withColumnRenamed("skill", "w1"), "w1", "left_semi")
+    bigrams = (pairs.select(id_col, _words(2).alias("skill")).distinct()
+               .groupBy("skill").agg(F.count(F.lit(1)).alias("df")))
+    top = (words.unionByName(bigrams).orderBy(F.desc("df"), F.asc("skill")).limit(size))
     # rank over the <= size kept rows (a one-task window over 200 rows)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), F.asc("skill"))))
-    ensure_checkpoint_dir(texts.sparkSession)
-    return top.checkpoint(eager=True)
+    return materialize(top, "skill-dictionary")
 
 
 def _lookup(grams: DataFrame, dictionary: DataFrame, bound: int | None) -> DataFrame:

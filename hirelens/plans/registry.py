@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.functions.text import clean_description
+from hirelens.functions.text import with_clean_text
 from hirelens.operators import corpus
 from hirelens.plans.params import EMBEDDING_DIM, EMBEDDING_MODEL, TRAINED_AT
 from hirelens.sources import adapters as A
@@ -57,14 +57,14 @@ def q_experience_dist(spark, d):
 
 @register("clean_documents")
 def q_clean_documents(spark, d):
-    return read_table(spark, d, "documents", "doc_id", "text").select(
-        "doc_id", clean_description(F.col("text")).alias("clean_text"))
+    return with_clean_text(read_table(spark, d, "documents", "doc_id", "text"), "text",
+                           "clean_text").select("doc_id", "clean_text")
 
 
 @register("clean_pages")
 def q_clean_pages(spark, d):
-    return read_table(spark, d, "pages", "page_id", "html").select(
-        "page_id", clean_description(F.col("html")).alias("clean_text"))
+    return with_clean_text(read_table(spark, d, "pages", "page_id", "html"), "html",
+                           "clean_text").select("page_id", "clean_text")
 
 
 @register("corpus_final")

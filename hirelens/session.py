@@ -56,3 +56,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/hirelens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back:
+    cuts the lineage (a lost executor re-reads the files) and, unlike an eager
+    ``checkpoint()``, computes the plan only once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

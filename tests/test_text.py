@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hirelens.functions.text import clean_description, clean_skill, week_monday
+from hirelens.functions.text import (clean_description, clean_description_plain, clean_skill,
+                                     week_monday, with_clean_text)
 
 NBSP = " "
 CASES = [
@@ -23,11 +24,20 @@ CASES = [
 ]
 
 
+EXTRA = [("<p>x</p> $5/hour and: y\nsalary: z\nEqual Opportunity Employer rest", "x and y"),
+         ("no triggers here, just words: none", "no triggers here, just words none")]
+
+
 def test_clean_description_edges(spark):
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "i int, t string")
+    cases = CASES + EXTRA
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
     got = {r.i: r.c for r in df.select("i", clean_description(F.col("t")).alias("c")).collect()}
-    for i, (_, want) in enumerate(CASES):
-        assert got[i] == want, (CASES[i][0], got[i], want)
+    fast = {r.i: r.c for r in with_clean_text(df, "t", "c").collect()}
+    plain = {r.i: r.c for r in df.select("i", clean_description_plain(F.col("t")).alias("c")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert got[i] == want, (cases[i][0], got[i], want)
+        assert fast[i] == want, (cases[i][0], fast[i], want)
+        assert plain[i] == want, (cases[i][0], plain[i], want)
 
 
 def test_clean_skill_missing_and_spaces(spark):
