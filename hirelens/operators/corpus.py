@@ -139,7 +139,7 @@ def corpus_metadata(final: DataFrame, trained_at, embedding_model: str,
     levels = F.map_from_entries(F.array_sort(F.collect_list(
         F.when(kind == "lvl", F.struct(F.col("key"), F.col("n"))))))
     return pieces.agg(
-        iso_seconds(F.lit(trained_at).cast("timestamp")).alias("trained_at"),
+        iso_seconds(F.lit(trained_at).cast("timestamp_ntz")).alias("trained_at"),
         F.coalesce(F.sum(F.when(kind == "jds", F.col("n"))), F.lit(0)).cast("long").alias("total_jds"),
         F.coalesce(F.sum(F.when(kind == "cats", F.col("n"))), F.lit(0)).cast("long").alias("total_categories"),
         F.to_json(top).alias("top_categories"),

@@ -15,7 +15,7 @@ Spark judges lateness against the previous micro-batch's watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +32,21 @@ WATERMARK = "7 days"
 WEEK_START = "4 days"     # shift from the Thursday epoch to Monday
 
 
+def utc_instant(ntz: Column) -> Column:
+    """A wall-clock (timestamp_ntz) read as UTC, as an instant. Watermarks need an
+    instant; going through UTC explicitly keeps week edges off the session time zone."""
+    return F.make_timestamp(F.year(ntz), F.month(ntz), F.dayofmonth(ntz), F.hour(ntz),
+                            F.minute(ntz), F.date_part(F.lit("SECOND"), ntz), F.lit("UTC"))
+
+
+def utc_date(instant: Column) -> Column:
+    """The UTC calendar date of an instant (session time zone not involved)."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
+
+
 def weekly_counts(stream: DataFrame) -> DataFrame:
     """The streaming aggregation (also usable on a batch DataFrame)."""
-    ts = stream.withColumn("ts", F.col("created_at").cast("timestamp"))
+    ts = stream.withColumn("ts", utc_instant(F.col("created_at")))
     rows = ts.withWatermark("ts", WATERMARK).select(
         F.window("ts", "1 week", startTime=WEEK_START).alias("w"),
         F.explode(F.concat(F.array(F.lit(None).cast("string")),
@@ -66,7 +78,7 @@ def read_weekly_table(spark: SparkSession, out: str) -> DataFrame:
     total spread by a window over the week (bounded by the skills of one week)."""
     raw = spark.read.parquet(out)
     cur = (raw.groupBy("w", "skill_name").agg(F.max_by("n", "batch_id").alias("n"))
-           .withColumn("week_of", F.to_date(F.col("w.start"))))
+           .withColumn("week_of", utc_date(F.col("w.start"))))
     total = F.max(F.when(F.col("skill_name").isNull(), F.col("n"))).over(Window.partitionBy("week_of"))
     return (cur.withColumn("source_count", total.cast("int"))
             .filter(F.col("skill_name").isNotNull())
