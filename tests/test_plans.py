@@ -33,3 +33,10 @@ def test_no_python_nodes(spark, name):
     p = _plan(E.queries()[name](spark, D))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert node not in p, (name, node)
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"stream_weekly_trends"}))
+def test_no_cross_products(spark, name):
+    p = _plan(E.queries()[name](spark, D))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in p, (name, node)
