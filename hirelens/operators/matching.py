@@ -51,6 +51,21 @@ def analysis_json(report: DataFrame, keys: list[str]) -> DataFrame:
     return body.select(*keys, F.to_json(F.struct(*[F.col(c) for c in body.columns])).alias("json"))
 
 
+def analysis_rows(report: DataFrame, pairs: DataFrame, keys: list[str], user_col: str,
+                  as_of) -> DataFrame:
+    """C7 + P13: the rows appended to the analyses table, with a derived id and the
+    score CHECK (0 <= score <= 1; null passes) as a flag. Unlike the reference's insert,
+    preferred and resume skills are kept too."""
+    id_ = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256)
+    score_ok = F.col("match_score").isNull() | F.col("match_score").between(0.0, 1.0)
+    return (report.join(pairs.select(*keys, user_col, "jd_text"), keys)
+            .select(id_.alias("id"), F.col(user_col).alias("user_id"), "jd_text", "jd_role",
+                    "jd_company", "required_skills", "preferred_skills", "resume_skills",
+                    "matched_skills", "gap_skills", "match_score", "suggestions",
+                    F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+                    score_ok.alias("score_ok")))
+
+
 def lexical_pair_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """J4 + V2 with a term-frequency encoder: cosine of the two texts' L2-normalised
     term-count vectors, clamped to [0, 1], rounded to 6; plus the percent (M5).

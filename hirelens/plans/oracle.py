@@ -428,6 +428,15 @@ SELECT conv_id, resume_turn, to_json({{'conv_id': conv_id, 'resume_turn': resume
   'band': band, 'suggestions': json(suggestions)}})::VARCHAR AS json
 FROM report2"""
 
+ORACLE["analysis_append"] = f"""
+WITH {REPORT_CTE}
+SELECT sha256(CAST(r.conv_id AS VARCHAR) || '|' || CAST(r.resume_turn AS VARCHAR)) AS id,
+       r.conv_id AS user_id, p.jd_text, jd_role, jd_company, required_skills, preferred_skills,
+       resume_skills, matched_skills, gap_skills, match_score, suggestions,
+       TIMESTAMP '{AS_OF}' AS created_at,
+       (match_score IS NULL OR match_score BETWEEN 0.0 AND 1.0) AS score_ok
+FROM report2 r JOIN pairs p ON r.conv_id = p.conv_id AND r.resume_turn = p.resume_turn"""
+
 ORACLE["score_eval"] = f"""
 WITH {DICT_CTE},
 ld AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
@@ -582,4 +591,6 @@ s AS (
               WHEN lower(file_name) NOT LIKE '%.docx' THEN 'unsupported type'
               WHEN t = '' THEN 'no text' ELSE 'accepted' END AS status
   FROM f)
-SELECT file_name, status, CASE WHEN status = 'accepted' THEN t END AS raw_text FROM s"""
+SELECT file_name, status, CASE WHEN status = 'accepted' THEN t END AS raw_text,
+       CASE WHEN status = 'accepted' THEN []::VARCHAR[] END AS extracted_skills
+FROM s"""

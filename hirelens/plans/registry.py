@@ -172,7 +172,7 @@ def q_trend_upsert(spark, d):
 
 from hirelens.functions.jsonparse import get_or_default, parse_replies  # noqa: E402
 from hirelens.operators import matching, skills  # noqa: E402
-from hirelens.plans.params import TOP_MATCHES  # noqa: E402
+from hirelens.plans.params import AS_OF, TOP_MATCHES  # noqa: E402
 
 REFERENCE_SKILLS = 20      # score_eval's fixed list: the dictionary's top 20
 
@@ -221,6 +221,13 @@ def q_analysis_json_out(spark, d):
     return matching.analysis_json(rep, PAIR_KEYS)
 
 
+@register("analysis_append")
+def q_analysis_append(spark, d):
+    pairs = A.turn_pairs(spark, d)
+    rep = matching.match_report(pairs, PAIR_KEYS, _dictionary(spark, d))
+    return matching.analysis_rows(rep, pairs, PAIR_KEYS, "conv_id", AS_OF)
+
+
 @register("score_eval")
 def q_score_eval(spark, d):
     dic = _dictionary(spark, d)

@@ -73,8 +73,11 @@ def intake(files: DataFrame) -> DataFrame:
               .when(F.col("error").isNotNull(), F.lit("unreadable"))
               .when(F.col("raw_text") == "", F.lit("no text"))
               .otherwise(F.lit("accepted")))
+    accepted = status == "accepted"
     return out.select("file_name", status.alias("status"),
-                      F.when(status == "accepted", F.col("raw_text")).alias("raw_text"))
+                      F.when(accepted, F.col("raw_text")).alias("raw_text"),
+                      # Appended resumes start with no extracted skills
+                      F.when(accepted, F.array().cast("array<string>")).alias("extracted_skills"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -21,3 +21,10 @@ def test_intake_from_files(spark, tmp_dir):
     assert got == {"a.docx": ("accepted", "Hello\nWorld"), "b.DOCX": ("no text", None),
                    "c.pdf": ("pdf reader not available", None), "d.txt": ("unsupported type", None),
                    "e.docx": ("unreadable", None)}
+
+
+def test_accepted_resume_has_empty_skills(spark, tmp_dir):
+    with open(os.path.join(tmp_dir, "r.docx"), "wb") as f:
+        f.write(intake.docx_bytes("SQL"))
+    r = intake.intake(intake.read_files(spark, tmp_dir)).first()
+    assert r.status == "accepted" and r.extracted_skills == []
