@@ -61,9 +61,17 @@ def _words(n: int) -> Column:
     return F.concat(*parts)
 
 
-def explode_ngrams(df: DataFrame, keep: list[str], text_col: str, max_n: int = MAX_NGRAM) -> DataFrame:
-    """keep + one row per 1..max_n-gram of ``text_col`` (column ``skill``)."""
+def explode_ngrams(df: DataFrame, keep: list[str], text_col: str, max_n: int = MAX_NGRAM,
+                   first_words: DataFrame | None = None) -> DataFrame:
+    """keep + one row per 1..max_n-gram of ``text_col`` (column ``skill``).
+
+    With ``first_words`` (a bounded table, column ``w0``), only positions whose token
+    starts some dictionary entry build grams: a gram can match an entry only if its
+    first word is the entry's first word. A broadcast semi-join on the token rows, so
+    most gram strings are never made."""
     pos = _positions(df, keep, text_col, max_n)
+    if first_words is not None:
+        pos = pos.join(F.broadcast(first_words.select("w0")), "w0", "left_semi")
     grams = [_words(n) for n in range(1, max_n + 1)]
     g = pos.select(*keep, F.explode(F.array(*grams)).alias("skill"))
     return g.filter(F.col("skill").isNotNull())
@@ -81,8 +89,10 @@ def build_dictionary(texts: DataFrame, id_col: str, text_col: str,
     pos = _positions(texts, [id_col], text_col, 2).select(
         id_col, *[F.when(F.length(f"w{k}") >= min_token, F.col(f"w{k}")).alias(f"w{k}")
                   for k in range(2)])
+    # a text's words are deduplicated inside its row, so one partial aggregation counts texts
     words = materialize(
-        pos.filter(F.col("w0").isNotNull()).select(id_col, F.col("w0").alias("skill")).distinct()
+        texts.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("skill"))
+        .filter(F.length("skill") >= min_token)
         .groupBy("skill").agg(F.count(F.lit(1)).alias("df")), "dictionary-words")
     floor = (words.orderBy(F.desc("df"), F.asc("skill")).limit(size)
              .agg(F.min("df").alias("floor"), F.count(F.lit(1)).alias("n")).first())
@@ -99,6 +109,13 @@ def build_dictionary(texts: DataFrame, id_col: str, text_col: str,
     return materialize(top, "skill-dictionary")
 
 
+def _first_words(dictionary: DataFrame, bound: int | None) -> DataFrame | None:
+    """First words of the entries; only when the dictionary's row bound is known."""
+    if bound is None:
+        return None
+    return dictionary.select(F.split(F.col("skill"), " ").getItem(0).alias("w0")).distinct()
+
+
 def _lookup(grams: DataFrame, dictionary: DataFrame, bound: int | None) -> DataFrame:
     """Join n-grams with the dictionary; broadcast when its row bound is known by
     construction, otherwise after a size check."""
@@ -112,7 +129,7 @@ def extract_skills(texts: DataFrame, id_cols: list[str], text_col: str,
                    dictionary: DataFrame, bound: int | None = DICTIONARY_SIZE) -> DataFrame:
     """id_cols + sorted distinct dictionary skills found in the text (texts
     with no skill have no row; callers left-join and default to [])."""
-    grams = explode_ngrams(texts, id_cols, text_col)
+    grams = explode_ngrams(texts, id_cols, text_col, first_words=_first_words(dictionary, bound))
     hits = _lookup(grams, dictionary, bound)
     return hits.groupBy(*id_cols).agg(F.array_sort(F.collect_set("skill")).alias("skills"))
 
@@ -123,7 +140,8 @@ def posting_skills(postings: DataFrame, id_cols: list[str], text_col: str,
     a skill named on any other line is required only."""
     lines = postings.select(*id_cols, F.explode(F.split(F.col(text_col), "\n")).alias("line"))
     lines = lines.withColumn("pref", F.col("line").rlike(PREFERRED_LINE))
-    grams = explode_ngrams(lines, [*id_cols, "pref"], "line")
+    grams = explode_ngrams(lines, [*id_cols, "pref"], "line",
+                           first_words=_first_words(dictionary, bound))
     hits = _lookup(grams, dictionary, bound)
     per_skill = hits.groupBy(*id_cols, "skill").agg(F.min(F.col("pref").cast("int")).alias("pref_only"))
     return per_skill.groupBy(*id_cols).agg(
