@@ -63,6 +63,19 @@ def rising_skills(trends: DataFrame) -> DataFrame:
                          (F.col("frequency") - prev).alias("delta"))
 
 
+def rising_skills_calendar(trends: DataFrame) -> DataFrame:
+    """W3, calendar variant: every Monday between a skill's first and last week is
+    present (a missing week counts 0), so the change is week over calendar week. The
+    spine per skill is bounded by the time span, and so is each skill's window."""
+    span = trends.groupBy("skill_name").agg(F.min("week_of").alias("first"),
+                                            F.max("week_of").alias("last"))
+    spine = span.select("skill_name", F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 WEEK")))
+                        .alias("week_of"))
+    filled = (spine.join(trends.select(*TREND_KEYS, "frequency"), TREND_KEYS, "left")
+              .withColumn("frequency", F.coalesce("frequency", F.lit(0))))
+    return rising_skills(filled)
+
+
 def trend_feed(corpus_top: DataFrame, user_top: DataFrame, k: int = SHOWN_TRENDS) -> DataFrame:
     """Both lists in one table with a source tag and rank (each list <= 30 rows)."""
     ml = corpus_top.select(F.lit("ml_trends").alias("source"), F.col("category").alias("skill"),

@@ -264,6 +264,20 @@ SELECT skill_name, week_of, frequency,
        frequency - lag(frequency) OVER (PARTITION BY skill_name ORDER BY week_of) AS delta
 FROM weekly"""
 
+ORACLE["rising_skills_calendar"] = f"""
+WITH {ANALYSES_CTE}, {weekly_sql()},
+span AS (SELECT skill_name, min(week_of) AS f, max(week_of) AS l FROM weekly GROUP BY skill_name),
+spine AS (SELECT skill_name,
+                 CAST(unnest(generate_series(CAST(f AS TIMESTAMP), CAST(l AS TIMESTAMP), INTERVAL 7 DAY))
+                      AS DATE) AS week_of
+          FROM span),
+filled AS (SELECT s.skill_name, s.week_of, coalesce(w.frequency, 0) AS frequency
+           FROM spine s LEFT JOIN weekly w ON s.skill_name = w.skill_name AND s.week_of = w.week_of)
+SELECT skill_name, week_of, frequency,
+       lag(frequency) OVER (PARTITION BY skill_name ORDER BY week_of) AS prev_frequency,
+       frequency - lag(frequency) OVER (PARTITION BY skill_name ORDER BY week_of) AS delta
+FROM filled"""
+
 ORACLE["trend_feed"] = f"""
 WITH {CORPUS_CTES}, {ANALYSES_CTE}, {RECENT_SQL},
 top AS (SELECT category, postings FROM cat_counts ORDER BY postings DESC, category LIMIT 30),

@@ -149,6 +149,11 @@ def q_rising_skills(spark, d):
     return trends.rising_skills(trends.weekly_trends(A.analyses(spark, d)))
 
 
+@register("rising_skills_calendar")
+def q_rising_skills_calendar(spark, d):
+    return trends.rising_skills_calendar(trends.weekly_trends(A.analyses(spark, d)))
+
+
 @register("trend_feed")
 def q_trend_feed(spark, d):
     return trends.trend_feed(corpus.category_top(_final(spark, d)),
