@@ -112,12 +112,13 @@ def corpus_funnel(postings: DataFrame, job_skills: DataFrame, skills: DataFrame)
 
 
 def corpus_metadata(final: DataFrame, trained_at, embedding_model: str,
-                    embedding_dim: int) -> DataFrame:
+                    embedding_dim: int, written: bool = False) -> DataFrame:
     """S8 + A9: the one-row metadata record. Pieces are aggregated separately (each
     small: one count row, the top list, the level rows) and folded in one final agg.
     ``final`` feeds four of them, so it is materialised once (it is the corpus table
     the job writes anyway) instead of re-running the cleaning four times."""
-    final = materialize(final, "corpus-final")
+    if not written:          # a table read back from files is already materialised
+        final = materialize(final, "corpus-final")
     counts = category_counts(final)
     pieces = (
         final.agg(F.count(F.lit(1)).alias("n")).select(F.lit("jds").alias("kind"),

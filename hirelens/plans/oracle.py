@@ -591,6 +591,7 @@ GROUP BY user_id"""
 
 ORACLE["stream_weekly_trends"] = ORACLE["weekly_trends"]
 ORACLE["corpus_csv_roundtrip"] = ORACLE["category_top30"]
+ORACLE["corpus_artefacts"] = ORACLE["corpus_metadata"]
 
 ORACLE["resume_intake_checks"] = r"""
 WITH f AS (

@@ -309,7 +309,7 @@ def q_new_users(spark, d):
 from hirelens.operators import vectors  # noqa: E402
 from hirelens.schemas import JOB_SKILLS, POSTINGS, SKILLS  # noqa: E402
 from hirelens.session import shared_path  # noqa: E402
-from hirelens.sources import csvio, intake  # noqa: E402
+from hirelens.sources import csvio, intake, sinks  # noqa: E402
 from hirelens.streaming import weekly  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
@@ -351,6 +351,17 @@ def _resume_files(spark, d):
     return intake.as_files(c.withColumn("path", path), "path", "text")
 
 
+@register("corpus_artefacts")
+def q_corpus_artefacts(spark, d):
+    """Writes the corpus table and metadata JSON, loads them back, returns the loaded
+    metadata record."""
+    from hirelens.session import materialize
+    final = materialize(_final(spark, d), "corpus-final")
+    meta = corpus.corpus_metadata(final, TRAINED_AT, EMBEDDING_MODEL, EMBEDDING_DIM, written=True)
+    base = sinks.write_corpus_artefacts(final, meta, shared_path(spark, "artefacts"))
+    return sinks.load_corpus_artefacts(spark, base)[1]
+
+
 @register("resume_intake_checks")
 def q_resume_intake_checks(spark, d):
     return intake.intake(_resume_files(spark, d))

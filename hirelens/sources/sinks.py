@@ -7,6 +7,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+METADATA_SCHEMA = T.StructType([
+    T.StructField("trained_at", T.StringType()),
+    T.StructField("total_jds", T.LongType()),
+    T.StructField("total_categories", T.LongType()),
+    T.StructField("top_categories", T.StringType()),
+    T.StructField("exp_distribution", T.StringType()),
+    T.StructField("retrain_threshold", T.IntegerType()),
+    T.StructField("analyses_since_retrain", T.IntegerType()),
+    T.StructField("embedding_model", T.StringType()),
+    T.StructField("embedding_dim", T.IntegerType()),
+])
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
@@ -33,3 +46,17 @@ def rows_of_user(spark: SparkSession, view: str, user_id, status: str | None = N
         sql += " AND status = :status"
         args["status"] = status
     return spark.sql(sql, args=args)
+
+
+def write_corpus_artefacts(final: DataFrame, metadata: DataFrame, base: str) -> str:
+    """S6 + S8: the corpus table (Parquet, one row per posting, so no positional lists)
+    and the one-row metadata record (JSON)."""
+    write_snapshot(final, f"{base}/corpus")
+    write_json_records(metadata, f"{base}/metadata")
+    return base
+
+
+def load_corpus_artefacts(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Load both artefacts with fixed schemas (no inference)."""
+    return (spark.read.parquet(f"{base}/corpus"),
+            spark.read.schema(METADATA_SCHEMA).json(f"{base}/metadata"))
