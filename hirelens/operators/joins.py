@@ -27,3 +27,10 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFr
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
                    max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
     return fact.join(maybe_broadcast(dim, max_rows), on, how)
+
+
+def broadcast_if_within(df: DataFrame, bound: int | None) -> DataFrame | None:
+    """``broadcast(df)`` when ``df`` is proven to hold at most ``bound`` rows, else None."""
+    if bound is not None and has_at_most(df, bound):
+        return F.broadcast(df)
+    return None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelens.functions import scoring as S
+from hirelens.operators.joins import broadcast_if_within
 from hirelens.operators.ordering import top_k_within
 from hirelens.operators.skills import extract_skills, posting_skills, tokens
 from hirelens.schemas import DEFAULT_LEVEL, EXPECTED_PERCENT
@@ -94,7 +95,8 @@ def score_eval(doc_skills: DataFrame, labels: DataFrame, reference: DataFrame,
     """M5 over labelled documents: score = share of the reference skill list a document
     names; percent = round(score*100); error = |percent - expected|. One row per
     quality class with its mean percent and mean absolute error."""
-    ref = F.broadcast(reference.select("skill"))
+    ref = broadcast_if_within(reference.select("skill"), ref_size)
+    ref = reference.select("skill") if ref is None else ref
     hits = (doc_skills.select("doc_id", F.explode("skills").alias("skill"))
             .join(ref, "skill").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits")))
     scored = (labels.select("doc_id", "quality").join(hits, "doc_id", "left")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelens.operators.joins import join_dimension
+from hirelens.operators.joins import broadcast_if_within, join_dimension
 from hirelens.session import materialize
 
 # ---- fixed values ------------------------------------------------------------
@@ -110,18 +110,20 @@ def build_dictionary(texts: DataFrame, id_col: str, text_col: str,
 
 
 def _first_words(dictionary: DataFrame, bound: int | None) -> DataFrame | None:
-    """First words of the entries; only when the dictionary's row bound is known."""
-    if bound is None:
+    """First words of the entries, as a broadcast table; only when the dictionary is
+    proven to hold at most ``bound`` rows."""
+    if broadcast_if_within(dictionary.select("skill"), bound) is None:
         return None
     return dictionary.select(F.split(F.col("skill"), " ").getItem(0).alias("w0")).distinct()
 
 
 def _lookup(grams: DataFrame, dictionary: DataFrame, bound: int | None) -> DataFrame:
-    """Join n-grams with the dictionary; broadcast when its row bound is known by
-    construction, otherwise after a size check."""
+    """Join n-grams with the dictionary: broadcast when it is proven to hold at most
+    ``bound`` rows, otherwise the size-checked join of ``join_dimension``."""
     d = dictionary.select("skill")
-    if bound is not None:
-        return grams.join(F.broadcast(d), "skill")
+    small = broadcast_if_within(d, bound)
+    if small is not None:
+        return grams.join(small, "skill")
     return join_dimension(grams, d, "skill")
 
 
