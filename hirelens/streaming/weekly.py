@@ -5,9 +5,10 @@ File source -> watermark on created_at -> tumbling 1-week windows that start on
 stateful aggregation carries both the skill frequency and the weekly total: every
 analysis contributes a null-skill row, whose count is the week's source_count.
 
-The sink is ``foreachBatch`` in update mode: each micro-batch appends its changed
-(window, skill) counts with the batch id to a Parquet folder in the shared checkpoint
-area; the table's current value is the latest batch's row per key. Checkpoint and
+The sink is ``foreachBatch`` in update mode: each micro-batch writes its changed
+(window, skill) counts to its own ``batch_id=N`` folder (overwrite, so a replayed batch
+is idempotent) under the shared checkpoint area; the table's current value is the
+latest batch's row per key. Checkpoint and
 output both live under the cluster's checkpoint folder, so a restarted query resumes.
 Rows older than the watermark are dropped by Spark's state store (late data, ST2);
 Spark judges lateness against the previous micro-batch's watermark.
@@ -65,7 +66,9 @@ def run_weekly_stream(spark: SparkSession, source_dir: str, max_files: int | Non
     agg = weekly_counts(reader.parquet(source_dir))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        # foreachBatch may re-run a batch after a failure: each batch owns its folder and
+        # overwrites it, so a replay replaces its own rows instead of adding them again
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
