@@ -44,12 +44,13 @@ def position_within(df: DataFrame, keys: list[str], order: list[Column], name: s
             .drop("_pid", "_local", "_off"))
 
 
-def top_k_within(df: DataFrame, keys: list[str], order: list[Column], k: int,
-                 name: str = "rank", salts: int = 16, salt_col: str | None = None) -> DataFrame:
+def top_k_within(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_col: str,
+                 name: str = "rank", salts: int = 16) -> DataFrame:
     """Exact top-k per key (k bounded): rank inside (key, salt) slices first and keep
     k per slice, then rank the <= k * salts survivors per key. ``order`` must be a
-    total order (end it with a unique column) so ties are deterministic."""
-    salt = (F.abs(F.xxhash64(F.col(salt_col))) % salts) if salt_col else (F.rand(7) * salts).cast("int")
+    total order (end it with a unique column) so ties are deterministic. The salt is a
+    hash of ``salt_col``, so a retried task puts every row in the same slice again."""
+    salt = F.abs(F.xxhash64(F.col(salt_col))) % salts
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
     first = (df.withColumn("_salt", salt)
              .withColumn("_r1", F.row_number().over(w1))
