@@ -18,9 +18,6 @@ from hirelens.session import materialize
 from hirelens.schemas import (CATEGORY_FLOOR, CLEAN_MIN_CHARS, RAW_MIN_CHARS,
                               RETRAIN_THRESHOLD, TOP_CATEGORIES)
 
-POSTING_COLS = ["title", "description", "company_name", "formatted_experience_level", "location"]
-
-
 def keep_first(postings: DataFrame, key: str = "job_id", order: str = "ingest",
                required: tuple[str, ...] = ("description", "title")) -> DataFrame:
     """W1 + P5: drop rows missing ``required``, then keep the first row per ``key`` in

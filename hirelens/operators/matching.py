@@ -14,7 +14,7 @@ from hirelens.functions import scoring as S
 from hirelens.operators.joins import broadcast_if_within
 from hirelens.operators.ordering import top_k_within
 from hirelens.operators.skills import extract_skills, posting_skills, tokens
-from hirelens.schemas import DEFAULT_LEVEL, EXPECTED_PERCENT
+from hirelens.schemas import DEFAULT_LEVEL, EXPECTED_PERCENT, SUGGESTION
 
 def _empty():
     return F.array().cast("array<string>")
@@ -47,7 +47,7 @@ def match_report(pairs: DataFrame, keys: list[str], dictionary: DataFrame,
 def analysis_json(report: DataFrame, keys: list[str]) -> DataFrame:
     """S12 + N4 + N6: each stored analysis as one JSON object, suggestions decoded back
     into the object (not left as a string)."""
-    sugg = F.from_json(F.col("suggestions"), "array<struct<type:string,text:string,priority:string>>")
+    sugg = F.from_json(F.col("suggestions"), T.ArrayType(SUGGESTION))
     body = report.withColumn("suggestions", sugg)
     return body.select(*keys, F.to_json(F.struct(*[F.col(c) for c in body.columns])).alias("json"))
 

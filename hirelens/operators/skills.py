@@ -35,14 +35,6 @@ def _shift(toks: Column, k: int) -> Column:
     return F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0)))
 
 
-def ngrams(toks: Column, n: int) -> Column:
-    """n-grams of a token array (used for small inputs; jobs use ``explode_ngrams``)."""
-    out = toks
-    for k in range(1, n):
-        out = F.zip_with(out, _shift(toks, k), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.slice(out, 1, F.greatest(F.size(toks) - (n - 1), F.lit(0))) if n > 1 else out
-
-
 def _positions(df: DataFrame, keep: list[str], text_col: str, width: int) -> DataFrame:
     """keep + one row per token position with the token and the next ``width - 1``
     tokens (null past the end) as columns w0, w1, ... Built from ``arrays_zip`` over
