@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelens.operators.joins import broadcast_if_within, join_dimension
+from hirelens.operators.joins import broadcast_if_within, join_dimension, maybe_broadcast
 from hirelens.session import materialize
 
 # ---- fixed values ------------------------------------------------------------
@@ -89,10 +89,10 @@ def build_dictionary(texts: DataFrame, id_col: str, text_col: str,
     floor = (words.orderBy(F.desc("df"), F.asc("skill")).limit(size)
              .agg(F.min("df").alias("floor"), F.count(F.lit(1)).alias("n")).first())
     cut = floor["floor"] if floor["n"] == size else 1
-    frequent = words.filter(F.col("df") >= cut).select("skill")
+    frequent = maybe_broadcast(words.filter(F.col("df") >= cut).select("skill"))  # one size check
     pairs = pos.filter(F.col("w1").isNotNull())
-    pairs = join_dimension(pairs, frequent.withColumnRenamed("skill", "w0"), "w0", "left_semi")
-    pairs = join_dimension(pairs, frequent.withColumnRenamed("skill", "w1"), "w1", "left_semi")
+    pairs = pairs.join(frequent.withColumnRenamed("skill", "w0"), "w0", "left_semi")
+    pairs = pairs.join(frequent.withColumnRenamed("skill", "w1"), "w1", "left_semi")
     bigrams = (pairs.select(id_col, _words(2).alias("skill")).distinct()
                .groupBy("skill").agg(F.count(F.lit(1)).alias("df")))
     top = (words.unionByName(bigrams).orderBy(F.desc("df"), F.asc("skill")).limit(size))
