@@ -51,3 +51,17 @@ def test_clean_skill_missing_and_spaces(spark):
 def test_monday_week(spark, ts, monday):
     df = spark.createDataFrame([(ts,)], "t string").select(F.col("t").cast("timestamp").alias("t"))
     assert str(df.select(week_monday(F.col("t"))).first()[0]) == monday
+
+
+def test_guarded_cleaning_equals_plain_on_random_texts(spark):
+    import random
+    rnd = random.Random(7)
+    pieces = ["pay", "Salary", " : ", ":", "\n", "\r", "$", "12,5", "/hour", "http", "www.", "x.com",
+              "@", "<b>", "</b>", ">", "<", " ", " ", "ſ", "K", "İ", "café",
+              "Equal Opportunity Employer", "we are COMMITTED to", "diversity", "all qualified",
+              "applicants", "Job Type", "benefits", "Schedule", "work location", "expected hours",
+              "please send", "resume", "cv", "C++", "C#", ".NET", "abc", "\t", "-", "/", "#"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    diff = df.filter(clean_description(F.col("t")) != clean_description_plain(F.col("t")))
+    assert diff.count() == 0, diff.limit(3).collect()
