@@ -95,6 +95,15 @@ def retrain_check(analyses: DataFrame, since: int = 0,
                         ((n - F.lit(since)) >= F.lit(threshold)).alias("should_retrain"))
 
 
+def retrain_check_from_metadata(analyses: DataFrame, metadata: DataFrame) -> DataFrame:
+    """A11 with the threshold and baseline read from the stored metadata record (one row,
+    two integers; defaults 50 and 0 as in the reference when a key is missing)."""
+    m = metadata.select("retrain_threshold", "analyses_since_retrain").first()
+    threshold = RETRAIN_THRESHOLD if m is None or m[0] is None else int(m[0])
+    since = 0 if m is None or m[1] is None else int(m[1])
+    return retrain_check(analyses, since=since, threshold=threshold)
+
+
 def upsert(base: DataFrame, new: DataFrame, keys: list[str] = TREND_KEYS) -> DataFrame:
     """Latest wins on the unique key: keep base rows the batch does not touch."""
     return base.join(new.select(*keys), keys, "left_anti").unionByName(new)

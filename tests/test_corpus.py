@@ -51,3 +51,12 @@ def test_retrain_threshold(spark):
     for n, want in [(49, False), (50, True)]:
         a = spark.range(n).withColumnRenamed("id", "x")
         assert trends.retrain_check(a).first().should_retrain is want
+
+
+def test_retrain_from_metadata(spark):
+    meta = spark.createDataFrame([(5, 3)], "retrain_threshold int, analyses_since_retrain int")
+    a = spark.range(8)
+    r = trends.retrain_check_from_metadata(a, meta).first()
+    assert (r.analyses, r.since, r.threshold, r.should_retrain) == (8, 3, 5, True)
+    empty = spark.createDataFrame([], "retrain_threshold int, analyses_since_retrain int")
+    assert trends.retrain_check_from_metadata(spark.range(49), empty).first().should_retrain is False
