@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hirelens.functions.text import text_window
 from hirelens.operators.skills import SEPARATORS
 from hirelens.schemas import TEXT_WINDOW
+from hirelens.session import materialize
 
 
 def encoder(num_features: int) -> Pipeline:
@@ -29,7 +30,9 @@ def encoder(num_features: int) -> Pipeline:
 
 def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, num_features: int) -> DataFrame:
     """id, features (unit vector), nnz, norm (1.0, or 0.0 for a text with no token)."""
-    inp = docs.select(id_col, text_window(F.col(text_col), TEXT_WINDOW).alias("_text"))
+    # fit (IDF document frequencies) and transform both read the input: write it once
+    inp = materialize(docs.select(id_col, text_window(F.col(text_col), TEXT_WINDOW).alias("_text")),
+                      "encoder-input")
     model = encoder(num_features).fit(inp)
     out = model.transform(inp)
     arr = vector_to_array(F.col("features"))
