@@ -10,12 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hirelens.functions.jsonparse import get_or_default, parse_replies
 from hirelens.functions.text import with_clean_text
-from hirelens.operators import corpus
-from hirelens.plans.params import EMBEDDING_DIM, EMBEDDING_MODEL, TRAINED_AT
+from hirelens.operators import changes as CH
+from hirelens.operators import corpus, matching, skills, tracker, trends, vectors
+from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, TOP_MATCHES,
+                                   TRAINED_AT)
+from hirelens.schemas import JOB_SKILLS, POSTINGS, SKILLS
+from hirelens.session import materialize, shared_path
 from hirelens.sources import adapters as A
+from hirelens.sources import csvio, intake, sinks
 from hirelens.sources.tables import read_table
+from hirelens.streaming import weekly
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,8 +92,6 @@ def q_corpus_metadata(spark, d):
 
 # ---- tracker ----------------------------------------------------------------
 
-from hirelens.operators import tracker, trends  # noqa: E402
-
 
 @register("tracker_list")
 def q_tracker_list(spark, d):
@@ -175,9 +181,6 @@ def q_trend_upsert(spark, d):
 
 # ---- model replies, skills and matching ---------------------------------------
 
-from hirelens.functions.jsonparse import get_or_default, parse_replies  # noqa: E402
-from hirelens.operators import matching, skills  # noqa: E402
-from hirelens.plans.params import AS_OF, TOP_MATCHES  # noqa: E402
 
 REFERENCE_SKILLS = 20      # score_eval's fixed list: the dictionary's top 20
 
@@ -258,9 +261,6 @@ def q_top_matches(spark, d):
 
 # ---- table maintenance ----------------------------------------------------------
 
-from hirelens.operators import changes as CH  # noqa: E402
-from hirelens.plans.params import AS_OF  # noqa: E402
-
 
 def _closed_accounts(spark, d):
     """Users whose accounts are closed: customers with a negative balance."""
@@ -306,13 +306,6 @@ def q_new_users(spark, d):
 
 # ---- streaming, encoder, CSV and file intake -----------------------------------
 
-from hirelens.operators import vectors  # noqa: E402
-from hirelens.schemas import JOB_SKILLS, POSTINGS, SKILLS  # noqa: E402
-from hirelens.session import shared_path  # noqa: E402
-from hirelens.sources import csvio, intake, sinks  # noqa: E402
-from hirelens.streaming import weekly  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
-
 
 @register("stream_weekly_trends")
 def q_stream_weekly_trends(spark, d):
@@ -355,7 +348,6 @@ def _resume_files(spark, d):
 def q_corpus_artefacts(spark, d):
     """Writes the corpus table and metadata JSON, loads them back, returns the loaded
     metadata record."""
-    from hirelens.session import materialize
     final = materialize(_final(spark, d), "corpus-final")
     meta = corpus.corpus_metadata(final, TRAINED_AT, EMBEDDING_MODEL, EMBEDDING_DIM, written=True)
     base = sinks.write_corpus_artefacts(final, meta, shared_path(spark, "artefacts"))
