@@ -113,6 +113,7 @@ def score_eval(doc_skills: DataFrame, labels: DataFrame, reference: DataFrame,
 
 RESUME_BLOCK = 1024      # resumes per task block
 POSTING_BLOCK = 4096     # postings per task block (block score matrix ~ 32 MB)
+MIN_POSTING_BLOCK = 256  # smallest posting block worth a task of its own
 
 _TOPK_SCHEMA = T.StructType([
     T.StructField("resume_id", T.LongType()),
@@ -153,7 +154,10 @@ def top_matches(resumes: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     n_r = resumes.count()
     n_p = postings.count()
     rb = max(1, -(-n_r // RESUME_BLOCK))
-    pb = max(1, -(-n_p // POSTING_BLOCK))
+    # enough posting blocks to use every core even when the data fits one block
+    # (at least MIN_POSTING_BLOCK postings each); large inputs are sized by POSTING_BLOCK
+    cores = resumes.sparkSession.sparkContext.defaultParallelism
+    pb = max(1, -(-n_p // POSTING_BLOCK), min(cores, n_p // MIN_POSTING_BLOCK))
     r = (resumes.select(F.col("vec_id").alias("resume_id"), F.col("embedding").alias("vec"))
          .withColumn("rblock", (F.abs(F.xxhash64("resume_id")) % rb).cast("int"))
          .withColumn("pblock", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)))))
