@@ -6,7 +6,8 @@ at once with the application's per-request rules, in ``seq`` order per id:
 * insert: company and role required (stripped, non-blank), status defaults to
   'applied' when the key is absent and must be in the domain; a new id only.
 * patch: the target must exist and be the caller's at that moment; only the six
-  allowed fields count; none -> rejected; a sent status must be in the domain.
+  allowed fields count; none -> rejected; a sent status must be in the domain; company
+  and role may be blank but not null (NOT NULL columns).
 * delete: the target must exist and be the caller's; later ops on it find nothing.
 
 Plain Parquet has no MERGE, so the result is a new snapshot plus an outcome per
@@ -50,6 +51,7 @@ def validate(changes: DataFrame) -> DataFrame:
     op = F.col("op")
     ins_status = F.when(_has("status"), _field("status")).otherwise(F.lit(DEFAULT_STATUS))
     blank = lambda k: F.coalesce(py_strip(_field(k)), F.lit("")) == ""
+    null_sent = lambda k: _has(k) & _field(k).isNull()
     allowed = F.map_filter(F.col("fields"), lambda k, v: k.isin(*PATCH_FIELDS))
     invalid = (
         F.when((op == "insert") & (blank("company") | blank("role")), F.lit("company and role are required"))
@@ -57,6 +59,8 @@ def validate(changes: DataFrame) -> DataFrame:
         .when((op == "insert") & ~_date_ok("applied_date"), F.lit("invalid date"))
         .when((op == "patch") & (F.size(allowed) == 0), F.lit("no valid fields"))
         .when((op == "patch") & _has("status") & ~_in_domain(_field("status")), F.lit("invalid status"))
+        .when((op == "patch") & (null_sent("company") | null_sent("role")),
+              F.lit("company and role cannot be null"))          # NOT NULL columns
         .when((op == "patch") & ~_date_ok("applied_date"), F.lit("invalid date"))
     )
     return changes.withColumn("invalid", invalid).withColumn("allowed", allowed)

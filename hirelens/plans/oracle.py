@@ -513,6 +513,9 @@ v2 AS (
     WHEN op = 'patch' AND n_allowed = 0 THEN 'no valid fields'
     WHEN op = 'patch' AND has_status AND NOT coalesce(fields['status'] IN ({statuses_sql()}), false)
       THEN 'invalid status'
+    WHEN op = 'patch' AND ((map_contains(fields, 'company') AND fields['company'] IS NULL)
+                           OR (map_contains(fields, 'role') AND fields['role'] IS NULL))
+      THEN 'company and role cannot be null'
     WHEN op = 'patch' AND NOT date_ok THEN 'invalid date'
   END AS invalid FROM v),
 first_ins AS (SELECT id, arg_min(user_id, seq) AS owner, min(seq) AS created_seq

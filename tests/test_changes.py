@@ -22,10 +22,11 @@ CHANGES = [
     (9, "patch", 2, 10, {"company": ""}),
     (10, "patch", 3, 10, {"notes": "x"}),
     (11, "insert", 3, 20, {"company": "Dup", "role": "R"}),
+    (12, "patch", 2, 10, {"role": None}),
 ]
 WANT = {1: "applied", 2: "applied", 3: "applied", 4: "not found", 5: "no valid fields",
         6: "invalid status", 7: "invalid status", 8: "company and role are required", 9: "applied",
-        10: "not found", 11: "duplicate id"}
+        10: "not found", 11: "duplicate id", 12: "company and role cannot be null"}
 
 
 def _frames(spark):
