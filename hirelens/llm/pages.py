@@ -9,9 +9,9 @@ boilerplate, as are blocks with many links; where a page marks its article, bloc
 are boilerplate too. Long blocks and blocks of prose (by stop words) are content. Headings and
 short blocks without such a sign stay open.
 
-Pass 2 gives each open block the label of its nearest decided neighbour on either side,
-counted in blocks within the same article or outside it; if both are as near and differ, the
-block is content.
+Pass 2 looks from each open block to the nearest block on either side, within the same
+article or outside it, whose text (not its element) has decided it. The open block inherits
+their label; if they differ, or if there is none, it is content.
 
 Stop words are not a fixed list: they are the commonest words of the whole table, per language
 of the page as it states it, so the rules work for any language. Character references are
@@ -153,39 +153,33 @@ def blocks(page: str) -> list[Block]:
 def label(found: list[Block], stop: frozenset[str]) -> list[bool]:
     """Whether each block is content."""
     has_article = any(b.article and not b.bad and not b.hidden for b in found)
-    state: list[bool | None] = []
+    state: list[bool | None] = []  # by its text; None: open
     for b in found:
         words = b.text.lower().split()
         dense = sum(w.strip(".,;:!?()\"'") in stop for w in words) / len(words)
-        if b.hidden or b.bad or has_article and not b.article:
+        if b.linked > LINK_DENSITY * len(b.text):
             state.append(False)
-        elif b.linked > LINK_DENSITY * len(b.text):
-            state.append(False)
-        elif b.heading:
-            state.append(None)
-        elif len(b.text) >= LONG or dense >= STOP_DENSITY and len(words) >= 10:
+        elif not b.heading and (len(b.text) >= LONG or dense >= STOP_DENSITY and len(words) >= 10):
             state.append(True)
         else:
             state.append(None)
-    out = []
-    for i, (b, s) in enumerate(zip(found, state)):
-        if s is None:  # nearest decided neighbours inside the same article (or outside all)
-            near = [(abs(j - i), not state[j], state[j]) for step in (-1, 1)
-                    for j in [_next(found, state, i, step)] if j is not None]
-            s = min(near)[2] if near else True
-        out.append(s)
+    placed = [not (b.hidden or b.bad or has_article and not b.article) for b in found]
+    near = [_nearest(found, state, placed, step) for step in (1, -1)]
+    return [ok and (s if s is not None else True in around or False not in around)
+            for ok, s, *around in zip(placed, state, *near)]
+
+
+def _nearest(found: list[Block], state: list, placed: list[bool], step: int) -> list[bool | None]:
+    """For each block the label of the last block decided by its text, coming from one side."""
+    out: list[bool | None] = [None] * len(found)
+    last: dict[int, bool] = {}
+    for i in range(len(found))[::step]:
+        out[i] = last.get(found[i].article)
+        if placed[i] and state[i] is not None:
+            last[found[i].article] = state[i]
     return out
 
 
-def _next(found: list[Block], state: list[bool | None], i: int, step: int) -> int | None:
-    j = i + step
-    while 0 <= j < len(found):
-        if state[j] is not None and found[j].article == found[i].article:
-            return j
-        j += step
-    return None
-
-
 def page_lang(page: str | None) -> str:
     m = _LANG.search((page or "")[:2000])
     return m[1].lower() if m else ""

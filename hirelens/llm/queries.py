@@ -6,8 +6,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hirelens.llm import near_dup, packing, quality, toxicity
+from hirelens.llm import (
+    line_dedup,
+    mixing,
+    near_dup,
+    packing,
+    pages,
+    pii,
+    quality,
+    rules,
+    toxicity,
+    vector_search,
+)
 from hirelens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +49,33 @@ def op3_near_dup(spark, d):
 @_register
 def op4_toxicity(spark, d):
     return toxicity.toxicity(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+@_register
+def op5_personal_data(spark, d):
+    return pii.personal_data(read_table(spark, d, "documents"))
+
+
+@_register
+def op6_vector_search(spark, d):
+    return vector_search.search(read_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_register
+def op7_line_dedup(spark, d):
+    return line_dedup.line_dedup(read_table(spark, d, "documents"))
+
+
+@_register
+def op8_mixing(spark, d):
+    return mixing.mix(read_table(spark, d, "documents"))
+
+
+@_register
+def op9_quality_rules(spark, d):
+    return rules.quality_rules(read_table(spark, d, "documents"))
+
+
+@_register
+def op10_pages(spark, d):
+    return pages.extract(read_table(spark, d, "pages"))
