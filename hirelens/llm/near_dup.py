@@ -13,8 +13,11 @@ Texts with equal sets are one class, and only classes are compared:
 1. per key, every class meets the key's first class (a star, as many pairs as rows);
 2. pairs whose set sizes and signatures allow it are confirmed on the full sets, and
    components are formed;
-3. keys that still hold several components are compared in blocks of bounded size, only
-   between components, on signatures; what passes is confirmed on the full sets as well.
+3. keys that still hold several components are compared in blocks of bounded size, between
+   components only, on signatures. A block reports which components are near each other, not
+   their pairs;
+4. near components are compared on the full sets: small ones pair by pair, a large one in
+   blocks of its classes that meet the classes near it, where a task looks for one link.
 
 A pair within one component cannot change the result, so no link between different texts is
 lost and no group is ever expanded into all its pairs.
@@ -44,6 +47,7 @@ SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
 PERCENT = 80
 BLOCK = 2048
+LARGE = 16  # classes of a component that is compared in blocks
 BROADCAST_IDS = 1_000_000  # longs: 8 MB
 _rng = np.random.default_rng(42)
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -145,12 +149,9 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The pairs of classes that are linked on their full sets. The sets are made again from
-    the documents, only for classes that have a pair left."""
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(classes, "vid")
-    ids = materialize(needed.select("vid", "fp", F.col("doc_id").alias("__id")), "needed")
+def _sets(vids: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(vid, own): the full sets of some classes, made again from their documents."""
+    ids = materialize(vids.distinct().join(classes, "vid").select("vid", "fp", F.col("doc_id").alias("__id")), "ids")
     hint = broadcast_if_within(ids.select("__id").distinct(), BROADCAST_IDS)
     wanted = docs.join(ids.select("__id") if hint is None else hint,
                        docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
@@ -160,51 +161,129 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
         return list(zip(*made)) or [[], []]
     own = (map_text(wanted, [], "fp string, own binary", sets).join(ids.select("vid", "fp"), "fp")
            .groupBy("vid").agg(F.first("own").alias("own")))  # rows of a class have equal sets
-    own = materialize(own, "sets")
+    return materialize(own, "sets")
 
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of classes that are linked on their full sets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             hit = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(p["x"], p["y"])]
             yield p.loc[hit, ["a", "b"]]
-    return (pairs.join(own.select(F.col("vid").alias("a"), F.col("own").alias("x")), "a")
-            .join(own.select(F.col("vid").alias("b"), F.col("own").alias("y")), "b")
+    return (pairs.join(sets.select(F.col("vid").alias("a"), F.col("own").alias("x")), "a")
+            .join(sets.select(F.col("vid").alias("b"), F.col("own").alias("y")), "b")
             .mapInPandas(run, "a long, b long"))
 
 
-def _blocks(classes: DataFrame, keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs near by signature and in different components, from keys with several of them."""
-    comp = keyed.join(found, F.col("vid") == F.col("id"), "left").select(
-        "key", "vid", F.coalesce("component", "vid").alias("comp"))
+def _first_shared_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first key that each pair of signatures has in common."""
+    same = (x == y).reshape(-1, CHUNKS, WIDTH)
+    chunk = (same.sum(2) >= WIDTH - 1).argmax(1)
+    row = np.arange(len(x))
+    own = same[row, chunk]
+    place = chunk * WIDTH + np.where(own.all(1), 0, own.argmin(1))
+    return np.concatenate([_keys(x[at:at + 4096])[np.arange(len(x[at:at + 4096])), place[at:at + 4096]]
+                           for at in range(0, len(x), 4096)])
+
+
+def _near_in_block(b: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of components that a block's keys bring near each other. A pair of classes
+    is looked at under its first shared key only."""
+    b = b.sort_values(["key", "vid"])
+    sig = _symbols(b["signature"])
+    key, comp, n, part = (b[c].to_numpy() for c in ("key", "comp", "n", "part"))
+    end = np.searchsorted(key, key, "right")
+    mixed = b["lo"].iat[0] != b["hi"].iat[0]
+    found = [(np.empty(0, int), np.empty(0, int))]
+    for i in range(len(b)):
+        rest = slice(i + 1, end[i])
+        may = ((comp[rest] != comp[i])
+               & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i])))
+        if mixed:  # pairs within a part belong to that part's own block
+            may &= part[rest] != part[i]
+        at = np.flatnonzero(may) + i + 1
+        if len(at):
+            at = at[(sig[at] != sig[i]).sum(1) <= MAX_DISTANCE]
+            found.append((np.full(len(at), i), at))
+    x, y = (np.concatenate(f) for f in zip(*found))
+    if len(x):
+        mine = _first_shared_key(sig[x], sig[y]) == key[x]
+        x, y = x[mine], y[mine]
+    pairs = np.unique(np.column_stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])]), axis=0)
+    return pd.DataFrame(pairs, columns=["a", "b"])
+
+
+def _near_components(classes: DataFrame, keyed: DataFrame, member: DataFrame) -> DataFrame:
+    """(a, b): components with classes that share a key and are near by signature."""
+    comp = keyed.join(member, "vid")
     # a key with two classes had its only pair tested in the star
-    open_keys = (comp.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"),
-                                         F.max("comp").alias("hi"))
-                 .where((F.col("rows") > 2) & (F.col("lo") < F.col("hi")))
-                 .select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts")))
-    open_keys = materialize(open_keys, "open-keys")  # read as a table, so a hot key's rows can be split
+    open_keys = materialize(
+        comp.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .where((F.col("rows") > 2) & (F.col("lo") < F.col("hi")))
+        .select("key", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts")), "open-keys")
+    groups = max(1, (open_keys.agg(F.sum("rows")).first()[0] or 0) // BLOCK)
     dealt = (comp.join(open_keys, "key")
              .withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
              # a block holds two parts (or one twice), so every two rows of a key meet in one
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-             .join(classes.select("vid", "n", "signature"), "vid"))
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("vid")
-        sig = _symbols(b["signature"])
-        vid, comp, n, part = (b[c].to_numpy() for c in ("vid", "comp", "n", "part"))
-        mixed = b["lo"].iat[0] != b["hi"].iat[0]
-        out = []
-        for i in range(len(b) - 1):
-            may = ((comp[i + 1:] != comp[i])
-                   & (100 * np.minimum(n[i + 1:], n[i]) >= PERCENT * np.maximum(n[i + 1:], n[i])))
-            if mixed:  # pairs within a part belong to that part's own block
-                may &= part[i + 1:] != part[i]
-            at = np.flatnonzero(may) + i + 1
-            at = at[(sig[at] != sig[i]).sum(1) <= MAX_DISTANCE]
-            out.append(np.column_stack([np.full(len(at), vid[i]), vid[at]]))
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), int), columns=["a", "b"])
-
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+             # keys of one part share blocks
+             .withColumn("block", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(groups)))
+                         .otherwise(F.col("key")))
+             .join(classes.select("vid", "n", "signature"), "vid")
+             .select("block", "lo", "hi", "key", "vid", "comp", "part", "n", "signature"))
+    return dealt.groupBy("block", "lo", "hi").applyInPandas(_near_in_block, "a long, b long").distinct()
+
+
+def _links_in_block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    """One link to the large component's classes ``y`` for each component among ``x``, if any."""
+    out, done = [], set()
+    if len(x) and len(y):
+        sy = _symbols(y["signature"])
+        sets = [np.frombuffer(s, "<u8") for s in y["own"]]
+        vids = y["vid"].to_numpy()
+        for vid, comp, signature, own in zip(x["vid"], x["comp"], x["signature"], x["own"]):
+            if comp in done:
+                continue
+            here = np.frombuffer(own, "<u8")
+            for at in np.flatnonzero((sy != np.frombuffer(signature, "<u2")).sum(1) <= MAX_DISTANCE):
+                if linked(here, sets[at]):
+                    out.append((vid, vids[at]))
+                    done.add(comp)
+                    break
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _cross_links(near: DataFrame, member: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Links between classes of components that are near each other."""
+    size = materialize(member.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    side = lambda x: size.select(F.col("comp").alias(x), F.col("size").alias(f"size_{x}"))
+    more = (F.col("size_a") >= F.col("size_b"))
+    pair = materialize(
+        near.join(side("a"), "a").join(side("b"), "b")
+        .select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("big"),
+                F.when(more, F.col("b")).otherwise(F.col("a")).alias("small"),
+                F.greatest("size_a", "size_b").alias("size")), "near-components")
+    of = lambda x, vid: member.select(F.col("comp").alias(x), F.col("vid").alias(vid))
+    few = materialize(pair.where(F.col("size") <= LARGE).join(of("small", "a"), "small").join(of("big", "b"), "big")
+                      .select("a", "b"), "few")
+    large = pair.where(F.col("size") > LARGE)
+    x = materialize(large.join(of("small", "vid"), "small")
+                    .select("big", F.col("small").alias("comp"), "vid", F.ceil(F.col("size") / BLOCK).alias("parts")), "x")
+    blocks = x.groupBy("big", "parts").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("x_parts"))
+    y = materialize(blocks.join(of("big", "vid"), "big"), "y")
+    sets = _sets(few.select(F.explode(F.array("a", "b")).alias("vid")).unionAll(x.select("vid"))
+                 .unionAll(y.select("vid")), docs, classes, width)
+    full = classes.select("vid", "signature").join(sets, "vid")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("vid"), F.col(n))
+    x = x.join(y.select("big", "x_parts").distinct(), "big").select(
+        "big", "comp", "vid", each("parts").alias("part"), slot("x_parts").alias("x_part")).join(full, "vid")
+    y = y.select("big", "vid", slot("parts").alias("part"), each("x_parts").alias("x_part")).join(
+        full.select(*[F.col(c).alias(c) for c in full.columns]), "vid")  # columns of their own
+    key = ["big", "part", "x_part"]
+    return _confirm(few, sets).unionAll(
+        x.groupBy(*key).cogroup(y.groupBy(*key)).applyInPandas(_links_in_block, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -219,9 +298,15 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     stars = materialize(stars.select("key", "a"), "stars")
     shared = materialize(keyed.join(stars, "key"), "shared")
     pairs = shared.where("a <> vid").select("a", F.col("vid").alias("b")).distinct()
-    links = materialize(_confirm(_near(pairs, classes), docs, classes, width), "links")
-    found = components(links)
-    more = materialize(_confirm(_blocks(classes, shared.select("key", "vid"), found), docs, classes, width), "links")
+    pairs = materialize(_near(pairs, classes), "pairs")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("vid")), docs, classes, width)
+    links = materialize(_confirm(pairs, sets), "links")
+    found = materialize(components(links), "components")
+    comp = classes.select("vid").join(found, F.col("vid") == F.col("id"), "left").select(
+        "vid", F.coalesce("component", "vid").alias("comp"))
+    comp = materialize(comp, "comp")
+    near = _near_components(classes, shared.select("key", "vid"), comp)
+    more = materialize(_cross_links(near, comp, classes, docs, width), "links")
     if not more.isEmpty():
         found = components(links.unionAll(more))
 
