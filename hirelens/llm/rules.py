@@ -98,15 +98,14 @@ def thresholds(counts: DataFrame) -> DataFrame:
     levels = materialize(counts.rollup("lang", "source").agg(
         F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketch), "sketches")
     own = levels.where("level = 0")
-    wider = {k: levels.where(F.col("level") == k).select(
-        *([F.col("lang").alias("__lang")] if k == 1 else []), F.col("n").alias(f"n{k}"),
-        *[F.col(m).alias(f"{m}{k}") for m in MEASURES]) for k in (1, 3)}
-    # one row per language, and one row in all
-    both = (own.join(wider[1], F.col("lang").eqNullSafe(F.col("__lang"))).join(F.broadcast(wider[3])))
+    language = levels.where("level = 1").select(F.col("lang").alias("__lang"), F.col("n").alias("n1"),
+                                                *[F.col(m).alias(f"{m}1") for m in MEASURES])
+    whole = levels.where("level = 3").first()  # one row
+    both = own.join(language, F.col("lang").eqNullSafe(F.col("__lang")))
     out = [F.col("lang").alias("__lang"), F.col("source").alias("__source")]
     for m, (_, _, below, above) in MEASURES.items():
         q = (F.when(F.col("n") >= LEAST, F.col(m)).when(F.col("n1") >= LEAST, F.col(f"{m}1"))
-             .otherwise(F.col(f"{m}3")))
+             .otherwise(F.lit(whole[m] if whole else None).cast("array<double>")))
         spread = FENCE * (q[1] - q[0])
         out.append((q[1] + F.greatest(spread, F.lit(above))).alias(f"hi_{m}"))
         if below is not None:
