@@ -23,7 +23,7 @@ from hirelens.session import materialize
 from hirelens.sources.tables import read_table
 
 __all__ = ["WORD", "Words", "doc_columns", "hash_docs", "held_out", "labelled_sample",
-           "map_text", "materialize", "mix64", "read_table"]
+           "map_text", "materialize", "mix64", "packed", "read_table", "unpacked"]
 
 #: A word of a text, for Java, Python and DuckDB regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,7 +127,8 @@ def hash_docs(texts: Iterable[str | None], lower: bool = True, punctuation: bool
 def held_out(doc_id: Column | str) -> Column:
     """True for the fold no label is learned from: crc32(doc_id as text) mod 4 is 2
     (a null id counts as the empty text, so it is never held out)."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % 4 == 2
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit(""))) % 4 == 2
 
 
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
@@ -135,6 +136,18 @@ def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n] for n in names])
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in one struct ``rest``: columns that a caller brings
+    along cannot clash with those an operator adds."""
+    others = [docs[c] for c in docs.columns if c not in names]
+    return docs.select((F.struct(*others) if others else F.lit(0)).alias("rest"), *[docs[n] for n in names])
+
+
+def unpacked(rows: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """``columns`` again, those in ``names`` as they stand in ``rows``, the others from ``rest``."""
+    return rows.select(*[F.col(c) if c in names else F.col("rest")[c].alias(c) for c in columns])
+
+
 def map_text(docs: DataFrame, keep: Iterable[str], new: str, function: Callable[[list], list],
              text: str = "text") -> DataFrame:
     """The columns in ``keep``, passed through as Arrow data, and those that ``function``

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.llm.common import doc_columns, hash_docs, materialize
+from hirelens.llm.common import doc_columns, hash_docs, materialize, packed, unpacked
 from hirelens.operators.joins import has_at_most
 
 MIN_WORDS = 25
@@ -173,29 +173,25 @@ def _cut(text: str, spans: list) -> tuple[str, int]:
 
 
 def _apply(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with its text cut, and the columns __lines and __removed."""
-    # merged span by span first: at most one row per document and line
+    """rest, doc_id, text (cut), lines (with a word, before) and removed of every row."""
     spans = materialize(spans.distinct(), "spans")
-    per_doc = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    per_doc = per_doc.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), "__spans")
+    per_doc = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    per_doc = per_doc.select(F.col("doc_id").alias("id"), "th", "spans")
     if has_at_most(spans, BROADCAST_SPANS):
         per_doc = F.broadcast(per_doc)
-    columns = docs.columns
-    both = docs.join(per_doc, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc"))
-                     & (F.xxhash64(docs["text"]) == F.col("__hash")), "left").select(*columns, "__spans")
-    at = columns.index("text")
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__lines int, __removed int").fields])
+    rows = packed(docs, "doc_id", "text")
+    both = rows.join(per_doc, rows["doc_id"].cast("long").eqNullSafe(F.col("id"))
+                     & (F.xxhash64(rows["text"]) == F.col("th")), "left").select("rest", "doc_id", "text", "spans")
+    schema = T.StructType([*both.schema.fields[:3], *T.StructType.fromDDL("lines int, removed int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b.column(at).to_pylist(), b.column(len(columns)).to_pylist()
-            made = [_cut(t, s) if s else (t, 0) for t, s in zip(texts, spans)]
-            count = [len(_word_lines(t or "")) for t in texts]
-            cols = b.columns[:-1]
-            cols[at] = pa.array([t for t, _ in made], b.column(at).type)
+            texts = b.column(2).to_pylist()
+            made = [_cut(t, s) if s else (t, 0) for t, s in zip(texts, b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(count, pa.int32()), pa.array([n for _, n in made], pa.int32())],
-                [*columns, "__lines", "__removed"])
+                [b.column(0), b.column(1), pa.array([t for t, _ in made], b.column(2).type),
+                 pa.array([len(_word_lines(t or "")) for t in texts], pa.int32()),
+                 pa.array([n for _, n in made], pa.int32())], schema.names)
     return both.mapInArrow(run, schema)
 
 
@@ -203,15 +199,14 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without later copies, n_lines (with a word, before) and n_removed."""
     docs = doc_columns(docs, "doc_id", "text")
     return _apply(docs, later_copies(docs, min_words)).select(
-        "doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+        "doc_id", "text", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later copies of repeated runs; ``n_chars``, if there, follows the
     text. A document all of whose lines are later copies goes."""
-    out = _apply(docs, later_copies(docs, min_words))
-    out = out.where((F.col("__removed") == 0) | (F.col("__removed") < F.col("__lines")))
+    rows = _apply(docs, later_copies(docs, min_words)).where((F.col("removed") == 0) | (F.col("removed") < F.col("lines")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text"))
-                             .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        n_chars = F.when(F.col("removed") > 0, F.length("text")).otherwise(F.col("rest")["n_chars"])
+        rows = rows.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return unpacked(rows, docs.columns, "doc_id", "text", "n_chars")

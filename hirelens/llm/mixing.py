@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import WORD, materialize
+from hirelens.llm.common import WORD, materialize, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE, REPEAT = 1.5, 2
@@ -140,24 +140,22 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole copy of a document
     and for each range of its words that is taken once more; ``n_chars``, if there, follows
     the text. Rows equal in doc_id and text are mixed as one."""
-    docs = docs.dropDuplicates(["doc_id", "text"])
-    sizes = docs.select(docs["doc_id"], docs["source"], F.xxhash64(docs["text"]).alias("th"),
-                        n_words(docs["text"]).alias("size"))
+    columns, n_chars = docs.columns, docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    docs = packed(docs, "doc_id", "source", "text").dropDuplicates(["doc_id", "text"])
+    sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("th"), n_words(docs["text"]).alias("size"))
     plan = mix_plan(materialize(sizes, "sizes")).where("taken > 0")
     span = lambda lo, hi: F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"))
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi")),
                            F.col("base").cast("int"))
     parts = F.filter(F.concat(whole, F.array(span("lo1", "hi1"), span("lo2", "hi2"))), lambda s: s.hi > s.lo)
-    plan = materialize(plan.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"),
-                                   F.col("size").alias("__size"), F.explode(parts).alias("__part")), "copies")
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__th")))
-    # a word with the white space before it; the first part may be white space alone
+    plan = materialize(plan.select(F.col("doc_id").alias("id"), "th", "size", F.explode(parts).alias("part")), "copies")
+    out = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(docs["text"]) == F.col("th")))
+    # a word with the white space before it
     tokens = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(tokens, (F.col("__part.lo") + 1).cast("int"),
-                               (F.col("__part.hi") - F.col("__part.lo")).cast("int")), "")
-    partial = (F.col("__part.hi") - F.col("__part.lo")) < F.col("__size")
-    out = out.withColumn("text", F.when(partial, F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", ""))
+    n = F.col("part.hi") - F.col("part.lo")
+    cut = F.array_join(F.slice(tokens, (F.col("part.lo") + 1).cast("int"), n.cast("int")), "")
+    out = out.withColumn("text", F.when(n < F.col("size"), F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", ""))
                          .otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    if n_chars is not None:
+        out = out.withColumn("n_chars", F.length("text").cast(n_chars))
+    return unpacked(out, columns, "doc_id", "source", "text", "n_chars")

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import Words, doc_columns, hash_docs, map_text, materialize, mix64
+from hirelens.llm.common import Words, doc_columns, hash_docs, map_text, materialize, mix64, packed, unpacked
 from hirelens.llm.components import components
 from hirelens.operators.joins import broadcast_if_within
 
@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """One document of each group of near-duplicates, with its own columns."""
-    kept = near_duplicates(doc_columns(docs, "doc_id", "text"), width).where("kept").select(
-        F.col("doc_id").alias("__kept")).distinct()
-    return (docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    kept = near_duplicates(docs, width).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = packed(docs, "doc_id", "text")
+    rows = (rows.join(kept, rows["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
             .dropDuplicates(["doc_id", "text"]))
+    return unpacked(rows, docs.columns, "doc_id", "text")

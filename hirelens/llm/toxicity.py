@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import Words, hash_docs, held_out, labelled_sample, map_text, mix64
+from hirelens.llm.common import Words, hash_docs, held_out, labelled_sample, map_text, mix64, packed, unpacked
 
 MAX_ROWS = 12_000
 BITS = 20
@@ -126,5 +126,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the model does not call toxic, with their own columns."""
-    scored = with_score(docs, train(docs, labels), docs.columns, "__toxicity")
-    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")
+    scored = with_score(packed(docs, "text"), train(docs, labels), ["rest", "text"])
+    return unpacked(scored.where(F.col("score") < threshold), docs.columns, "text")

@@ -212,7 +212,7 @@ def measure(index: Index, placed: DataFrame, queries: DataFrame, k: int, probes:
     return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)]) if len(depth) else 0
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, centroids: int = CENTROIDS,
+def search(vectors: DataFrame, is_query: Column | str, k: int = K, centroids: int = CENTROIDS,
            recall: float = RECALL, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query; ``is_query``
     is a condition on vec_id."""
