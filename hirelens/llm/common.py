@@ -15,11 +15,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.session import materialize
+from hirelens import session
 from hirelens.sources.tables import read_table
 
 __all__ = ["WORD", "Words", "doc_columns", "hash_docs", "held_out", "labelled_sample",
@@ -42,6 +42,23 @@ _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 
 
+#: Bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches of the session by bytes, unless the session has a limit of its own:
+    rows hold whole documents, and a worker holds a batch several times over."""
+    if spark.conf.get(BATCH[0]) == "67108864b":  # Spark's default
+        spark.conf.set(*BATCH)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back."""
+    bound_batches(df.sparkSession)
+    return session.materialize(df, name)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -152,6 +169,7 @@ def map_text(docs: DataFrame, keep: Iterable[str], new: str, function: Callable[
              text: str = "text") -> DataFrame:
     """The columns in ``keep``, passed through as Arrow data, and those that ``function``
     makes from a batch of texts (a list of columns in the order of the DDL ``new``)."""
+    bound_batches(docs.sparkSession)
     keep = list(keep)
     fields = T.StructType.fromDDL(new).fields
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
@@ -174,6 +192,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     fold, those with the smallest hash of doc_id. A document with several labels takes the
     largest; null labels and null texts are left out. The sample is chosen among the small
     label rows first, so only its texts are read into the shuffle."""
+    bound_batches(docs.sparkSession)
     chosen = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
               .where(~held_out("doc_id"))
               .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))

@@ -103,13 +103,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     idf = term_idf(docs, dim)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(b[["key", "doc_id", "label"]], term_vectors(list(b["text"]), idf)) for b in batches]
-        if parts:
-            rows = pd.concat([p[0] for p in parts], ignore_index=True).sort_values(["key", "doc_id"])
-            x = np.concatenate([p[1] for p in parts])[rows.index.to_numpy()]
+        rows = [r for b in batches for r in zip(b["key"], b["doc_id"], b["label"], b["text"])]
+        if rows:
+            rows.sort(key=lambda r: r[:2])  # one order, however the rows came in
+            x = np.empty((len(rows), dim + 1), np.float32)
+            for at in range(0, len(rows), _BLOCK):
+                x[at:at + _BLOCK] = term_vectors([r[3] for r in rows[at:at + _BLOCK]], idf)
             axes = fit_axes(x, rank)
             out = io.BytesIO()
-            np.savez(out, axes=axes, near=_unit(x @ axes), label=rows["label"].to_numpy(np.float32))
+            np.savez(out, axes=axes, near=_unit(x @ axes), label=np.array([r[2] for r in rows], np.float32))
             yield pd.DataFrame({"model": [out.getvalue()]})
 
     rows = labelled_sample(docs, labels, label, max_rows).repartition(1).mapInPandas(fit, "model binary").collect()
