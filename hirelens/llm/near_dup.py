@@ -14,10 +14,10 @@ Texts with equal sets are one class, and only classes are compared:
 2. pairs whose set sizes and signatures allow it are confirmed on the full sets, and
    components are formed;
 3. keys that still hold several components are compared in blocks of bounded size, between
-   components only, on signatures. A block reports which components are near each other, not
-   their pairs;
-4. near components are compared on the full sets: small ones pair by pair, a large one in
-   blocks of its classes that meet the classes near it, where a task looks for one link.
+   components only, on signatures. Of the components near each other a block reports a
+   spanning forest, not the pairs; connected, they are families;
+4. a family's classes meet in blocks of bounded size with their full sets. A task compares
+   those of different components and reports a link only if it joins two of them.
 
 A pair within one component cannot change the result, so no link between different texts is
 lost and no group is ever expanded into all its pairs.
@@ -47,7 +47,7 @@ SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
 PERCENT = 80
 BLOCK = 2048
-LARGE = 16  # classes of a component that is compared in blocks
+FAMILY = 512  # classes of a part of a family, with their sets
 BROADCAST_IDS = 1_000_000  # longs: 8 MB
 _rng = np.random.default_rng(42)
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -186,9 +186,26 @@ def _first_shared_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
                            for at in range(0, len(x), 4096)])
 
 
+def _forest(pairs: np.ndarray) -> list:
+    """Those of the pairs that join what the ones before have not joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+    out = []
+    for a, b in pairs.tolist():
+        x, y = root(a), root(b)
+        if x != y:
+            parent[y] = x
+            out.append((a, b))
+    return out
+
+
 def _near_in_block(b: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of components that a block's keys bring near each other. A pair of classes
-    is looked at under its first shared key only."""
+    """A spanning forest of the components that a block's keys bring near each other. A pair
+    of classes is looked at under its first shared key only."""
     b = b.sort_values(["key", "vid"])
     sig = _symbols(b["signature"])
     key, comp, n, part = (b[c].to_numpy() for c in ("key", "comp", "n", "part"))
@@ -210,7 +227,7 @@ def _near_in_block(b: pd.DataFrame) -> pd.DataFrame:
         mine = _first_shared_key(sig[x], sig[y]) == key[x]
         x, y = x[mine], y[mine]
     pairs = np.unique(np.column_stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])]), axis=0)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+    return pd.DataFrame(_forest(pairs), columns=["a", "b"], dtype="int64")
 
 
 def _near_components(classes: DataFrame, keyed: DataFrame, member: DataFrame) -> DataFrame:
@@ -235,55 +252,45 @@ def _near_components(classes: DataFrame, keyed: DataFrame, member: DataFrame) ->
     return dealt.groupBy("block", "lo", "hi").applyInPandas(_near_in_block, "a long, b long").distinct()
 
 
-def _links_in_block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-    """One link to the large component's classes ``y`` for each component among ``x``, if any."""
-    out, done = [], set()
-    if len(x) and len(y):
-        sy = _symbols(y["signature"])
-        sets = [np.frombuffer(s, "<u8") for s in y["own"]]
-        vids = y["vid"].to_numpy()
-        for vid, comp, signature, own in zip(x["vid"], x["comp"], x["signature"], x["own"]):
-            if comp in done:
-                continue
-            here = np.frombuffer(own, "<u8")
-            for at in np.flatnonzero((sy != np.frombuffer(signature, "<u2")).sum(1) <= MAX_DISTANCE):
-                if linked(here, sets[at]):
-                    out.append((vid, vids[at]))
-                    done.add(comp)
-                    break
+def _links_in_block(b: pd.DataFrame) -> pd.DataFrame:
+    """Links between classes of one family that join components not joined before."""
+    b = b.sort_values(["family", "vid"])
+    sig, sets = _symbols(b["signature"]), [np.frombuffer(x, "<u8") for x in b["own"]]
+    family, vid, n, part = (b[c].to_numpy() for c in ("family", "vid", "n", "part"))
+    comp = b["comp"].to_numpy().copy()
+    end = np.searchsorted(family, family, "right")
+    mixed = b["lo"].iat[0] != b["hi"].iat[0]
+    out = []
+    for i in range(len(b)):
+        rest = slice(i + 1, end[i])
+        may = ((comp[rest] != comp[i])
+               & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i])))
+        if mixed:  # pairs within a part belong to that part's own block
+            may &= part[rest] != part[i]
+        at = np.flatnonzero(may) + i + 1
+        for j in at[(sig[at] != sig[i]).sum(1) <= MAX_DISTANCE]:
+            if comp[j] != comp[i] and linked(sets[i], sets[j]):
+                out.append((vid[i], vid[j]))
+                comp[comp == comp[j]] = comp[i]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _cross_links(near: DataFrame, member: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Links between classes of components that are near each other."""
-    size = materialize(member.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    side = lambda x: size.select(F.col("comp").alias(x), F.col("size").alias(f"size_{x}"))
-    more = (F.col("size_a") >= F.col("size_b"))
-    pair = materialize(
-        near.join(side("a"), "a").join(side("b"), "b")
-        .select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("big"),
-                F.when(more, F.col("b")).otherwise(F.col("a")).alias("small"),
-                F.greatest("size_a", "size_b").alias("size")), "near-components")
-    of = lambda x, vid: member.select(F.col("comp").alias(x), F.col("vid").alias(vid))
-    few = materialize(pair.where(F.col("size") <= LARGE).join(of("small", "a"), "small").join(of("big", "b"), "big")
-                      .select("a", "b"), "few")
-    large = pair.where(F.col("size") > LARGE)
-    x = materialize(large.join(of("small", "vid"), "small")
-                    .select("big", F.col("small").alias("comp"), "vid", F.ceil(F.col("size") / BLOCK).alias("parts")), "x")
-    blocks = x.groupBy("big", "parts").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("x_parts"))
-    y = materialize(blocks.join(of("big", "vid"), "big"), "y")
-    sets = _sets(few.select(F.explode(F.array("a", "b")).alias("vid")).unionAll(x.select("vid"))
-                 .unionAll(y.select("vid")), docs, classes, width)
-    full = classes.select("vid", "signature").join(sets, "vid")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    slot = lambda n: F.pmod(F.xxhash64("vid"), F.col(n))
-    x = x.join(y.select("big", "x_parts").distinct(), "big").select(
-        "big", "comp", "vid", each("parts").alias("part"), slot("x_parts").alias("x_part")).join(full, "vid")
-    y = y.select("big", "vid", slot("parts").alias("part"), each("x_parts").alias("x_part")).join(
-        full.select(*[F.col(c).alias(c) for c in full.columns]), "vid")  # columns of their own
-    key = ["big", "part", "x_part"]
-    return _confirm(few, sets).unionAll(
-        x.groupBy(*key).cogroup(y.groupBy(*key)).applyInPandas(_links_in_block, "a long, b long"))
+    """Links that join components of one family."""
+    families = components(near).select(F.col("id").alias("comp"), F.col("component").alias("family"))
+    rows = materialize(member.join(families, "comp"), "families")
+    size = materialize(rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("parts")), "parts")
+    groups = max(1, rows.count() // FAMILY)
+    full = classes.select("vid", "n", "signature").join(_sets(rows.select("vid"), docs, classes, width), "vid")
+    dealt = (rows.join(size, "family")
+             .withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+             # families of one part share blocks
+             .withColumn("block", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(groups)))
+                         .otherwise(F.col("family")))
+             .join(full, "vid").select("block", "lo", "hi", "family", "vid", "comp", "part", "n", "signature", "own"))
+    return dealt.groupBy("block", "lo", "hi").applyInPandas(_links_in_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -36,8 +36,8 @@ def test_families_with_many_components(spark, monkeypatch):
     rows = family()
     want = H.components(rows, 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for large, block in ((16, 2048), (2, 7)):  # once in small blocks, so that every path runs
-        monkeypatch.setattr(near_dup, "LARGE", large)
+    for large, block in ((512, 2048), (6, 7)):  # once in small blocks, so that every path runs
+        monkeypatch.setattr(near_dup, "FAMILY", large)
         monkeypatch.setattr(near_dup, "BLOCK", block)
         got = near_dup.near_duplicates(docs, 2).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
