@@ -46,7 +46,9 @@ def weekly_trends(analyses: DataFrame) -> DataFrame:
     exploded = analyses.select(
         week_monday(F.col("created_at")).alias("week_of"),
         F.explode(F.concat(F.array(F.lit(None).cast("string")),
-                           F.array_distinct(cleaned_list(F.col("required_skills"))))).alias("skill_name"))
+                           F.array_distinct(F.coalesce(
+                               cleaned_list(skill_array(analyses, "required_skills")),
+                               F.array().cast("array<string>"))))).alias("skill_name"))
     counts = exploded.groupBy("week_of", "skill_name").agg(F.count(F.lit(1)).cast("int").alias("n"))
     total = F.max(F.when(F.col("skill_name").isNull(), F.col("n"))).over(Window.partitionBy("week_of"))
     return (counts.withColumn("source_count", total)

@@ -8,10 +8,13 @@ analysis contributes a null-skill row, whose count is the week's source_count.
 The sink is ``foreachBatch`` in update mode: each micro-batch writes its changed
 (window, skill) counts to its own ``batch_id=N`` folder (overwrite, so a replayed batch
 is idempotent) under the shared checkpoint area; the table's current value is the
-latest batch's row per key. Checkpoint and
-output both live under the cluster's checkpoint folder, so a restarted query resumes.
+latest batch's row per key. Output and checkpoint folders are arguments: a query started
+again with the same two resumes where it stopped and reads only new files.
 Rows older than the watermark are dropped by Spark's state store (late data, ST2);
-Spark judges lateness against the previous micro-batch's watermark.
+Spark judges lateness against the previous micro-batch's watermark, and ``late_rows``
+counts them. Files of a backlog come in no particular event order, so a job over a backlog
+takes its allowed lateness from the data (``backlog_lateness``): then no micro-batch
+boundary can make a row late. State holds one count per (week, skill) of that span.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ SOURCE_SCHEMA = T.StructType([
 
 WATERMARK = "7 days"
 WEEK_START = "4 days"     # shift from the Thursday epoch to Monday
+MICRO_BATCHES = 4         # micro-batches a backlog is read in
 
 
 def utc_instant(ntz: Column) -> Column:
@@ -45,25 +49,37 @@ def utc_date(instant: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
 
 
-def weekly_counts(stream: DataFrame) -> DataFrame:
+def backlog_lateness(analyses: DataFrame) -> str:
+    """A watermark delay that covers the whole event-time span of ``analyses`` plus a week."""
+    lo, hi = analyses.agg(F.min("created_at"), F.max("created_at")).first()
+    return WATERMARK if lo is None else f"{(hi - lo).days + 8} days"
+
+
+def weekly_counts(stream: DataFrame, lateness: str = WATERMARK) -> DataFrame:
     """The streaming aggregation (also usable on a batch DataFrame)."""
     ts = stream.withColumn("ts", utc_instant(F.col("created_at")))
-    rows = ts.withWatermark("ts", WATERMARK).select(
+    rows = ts.withWatermark("ts", lateness).select(
         F.window("ts", "1 week", startTime=WEEK_START).alias("w"),
         F.explode(F.concat(F.array(F.lit(None).cast("string")),
-                           F.array_distinct(cleaned_list(F.col("required_skills"))))).alias("skill_name"))
+                           F.coalesce(F.array_distinct(cleaned_list(F.col("required_skills"))),
+                                      F.array().cast("array<string>")))).alias("skill_name"))
     return rows.groupBy("w", "skill_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_weekly_stream(spark: SparkSession, source_dir: str, max_files: int | None = None) -> str:
-    """Runs the stream over everything in ``source_dir`` (availableNow) and returns the
-    sink folder."""
-    out = shared_path(spark, "weekly-trends-out")
-    ckpt = shared_path(spark, "weekly-trends-ckpt")
+def run_weekly_stream(spark: SparkSession, source_dir: str, max_files: int | None = None,
+                      out: str | None = None, ckpt: str | None = None,
+                      lateness: str = WATERMARK) -> str:
+    """Runs the stream over everything in ``source_dir`` (availableNow) that the checkpoint
+    ``ckpt`` has not seen and returns the sink folder ``out``; fresh folders where they are
+    not given. A source without files leaves an empty table."""
+    out = out or shared_path(spark, "weekly-trends-out")
+    ckpt = ckpt or shared_path(spark, "weekly-trends-ckpt")
     reader = spark.readStream.schema(SOURCE_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    agg = weekly_counts(reader.parquet(source_dir))
+    agg = weekly_counts(reader.parquet(source_dir), lateness)
+    # an empty first folder: the table can be read before (or without) any micro-batch
+    spark.createDataFrame([], agg.schema).write.mode("ignore").parquet(f"{out}/batch_id=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # foreachBatch may re-run a batch after a failure: each batch owns its folder and
@@ -88,9 +104,29 @@ def read_weekly_table(spark: SparkSession, out: str) -> DataFrame:
             .select("skill_name", "week_of", F.col("n").cast("int").alias("frequency"), "source_count"))
 
 
+def late_rows(spark: SparkSession, source_dir: str, out: str) -> DataFrame:
+    """ST2: one row with the analyses in the source files, those counted in the table and
+    the late ones that the watermark dropped (rows without ``created_at`` are in no week)."""
+    src = spark.read.schema(SOURCE_SCHEMA).parquet(source_dir)
+    seen = src.agg(F.count("created_at").alias("analyses"))
+    kept = (spark.read.parquet(out).filter(F.col("skill_name").isNull())
+            .groupBy("w").agg(F.max_by("n", "batch_id").alias("n"))
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted")))
+    both = seen.select("analyses", F.lit(0).cast("long").alias("counted")).unionByName(
+        kept.select(F.lit(0).cast("long").alias("analyses"), "counted"))
+    return (both.agg(F.sum("analyses").alias("analyses"), F.sum("counted").alias("counted"))
+            .withColumn("late", F.col("analyses") - F.col("counted")))
+
+
 def stream_weekly_trends(spark: SparkSession, analyses: DataFrame) -> DataFrame:
     """Writes the analyses snapshot as the stream's source files, runs the stream to
-    the end of the available data and returns the resulting weekly table."""
+    the end of the available data in several micro-batches and returns the resulting
+    weekly table, equal to the batch job's whatever the batches hold."""
     src = shared_path(spark, "weekly-trends-src")
-    analyses.select("id", "created_at", "required_skills").write.parquet(src)
-    return read_weekly_table(spark, run_weekly_stream(spark, src))
+    n = max(MICRO_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    analyses.select("id", "created_at", "required_skills").repartition(n, "id").write.parquet(src)
+    written = spark.read.schema(SOURCE_SCHEMA).parquet(src)
+    files = len(written.inputFiles())
+    out = run_weekly_stream(spark, src, max_files=max(1, -(-files // MICRO_BATCHES)),
+                            lateness=backlog_lateness(written))
+    return read_weekly_table(spark, out)

@@ -40,3 +40,37 @@ def test_stream_equals_batch(spark):
     s = weekly.stream_weekly_trends(spark, a)
     b = trends.weekly_trends(a)
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_late_rows_are_counted_and_lateness_from_the_data_keeps_them(spark, tmp_dir):
+    src = f"{tmp_dir}/src"
+    for i, day in enumerate(["2024-03-01", "2024-03-02", "2024-01-08"]):
+        _rows(spark, [(i, f"{day} 00:00:00", ["go"])]).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    out = weekly.run_weekly_stream(spark, src, max_files=1)
+    assert weekly.late_rows(spark, src, out).first().asDict() == {"analyses": 3, "counted": 2, "late": 1}
+    lateness = weekly.backlog_lateness(spark.read.parquet(src))
+    out = weekly.run_weekly_stream(spark, src, max_files=1, lateness=lateness)
+    assert weekly.late_rows(spark, src, out).first().late == 0
+
+
+def test_restart_resumes_and_empty_source(spark, tmp_dir):
+    src, out, ckpt = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
+    _rows(spark, []).write.parquet(src)
+    weekly.run_weekly_stream(spark, src, out=out, ckpt=ckpt)
+    assert weekly.read_weekly_table(spark, out).count() == 0
+    for i in (1, 2):
+        _rows(spark, [(i, "2024-03-01 00:00:00", ["go", None]), (9 + i, "2024-03-01 00:00:00", None)]) \
+            .coalesce(1).write.mode("append").parquet(src)
+        weekly.run_weekly_stream(spark, src, out=out, ckpt=ckpt)
+        row = weekly.read_weekly_table(spark, out).first()
+        assert (row.skill_name, row.frequency, row.source_count) == ("go", i, 2 * i)
+
+
+def test_weekly_trends_reads_lists_given_as_json_text(spark):
+    a = _rows(spark, [(1, "2024-03-01 00:00:00", ["SQL ", "go"]), (2, "2024-03-01 00:00:00", None)])
+    text = a.withColumn("required_skills", F.to_json("required_skills"))
+    want = {("sql", 1, 2), ("go", 1, 2)}
+    for df in (a, text):
+        assert {(r.skill_name, r.frequency, r.source_count)
+                for r in trends.weekly_trends(df).collect()} == want
