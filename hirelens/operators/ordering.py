@@ -22,8 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_PER_RANGE = 1_000_000     # rows a range partition should hold
+
+
 def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range partitions for ``df``: the session's shuffle partitions, or more when the
+    data is larger (counted; a projection of a Parquet table counts from its footers)."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(base, -(-df.count() // ROWS_PER_RANGE))
 
 
 def position_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos",
@@ -37,11 +43,16 @@ def position_within(df: DataFrame, keys: list[str], order: list[Column], name: s
         "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)))
     counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *keys,
+    offsets = counts.select(F.col("_pid").alias("_opid"),
+                            *[F.col(k).alias(f"_o_{k}") for k in keys],
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    return (local.join(offsets, ["_pid", *keys])
+    # null keys form a group of their own, as in a window: the join must match them too
+    same = F.col("_pid") == F.col("_opid")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return (local.join(offsets, same)
             .withColumn(name, (F.col("_off") + F.col("_local")).cast("int"))
-            .drop("_pid", "_local", "_off"))
+            .drop("_pid", "_local", "_off", "_opid", *[f"_o_{k}" for k in keys]))
 
 
 def top_k_within(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_col: str,

@@ -38,14 +38,23 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8) -> Spark
     return spark
 
 
+def is_local(master: str) -> bool:
+    """True for ``local`` and ``local[...]``; ``local-cluster`` has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a scratch one only if unset."""
+    """Return the cluster's shared checkpoint folder; where it is unset, a scratch folder in
+    local mode and an error on a cluster, whose executors could not read that folder."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d is None:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if d is None:
-            # Unset only in tests / local runs: a fresh scratch folder per process.
+            # Unset is allowed only where driver and executors share one machine.
+            if not is_local(sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that every executor can "
+                                 f"read: the session runs on {sc.master}")
             d = tempfile.mkdtemp(prefix="hirelens-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()

@@ -44,3 +44,15 @@ def test_csv_missing_tokens_and_newlines(spark, tmp_dir):
     rows = {r.job_id: (r.title, r.description) for r in csvio.read_csv(spark, path, schema).collect()}
     assert rows == {1: (None, "line one\nline two"), 2: (None, None), 3: ("ok", None), 4: ("x", "kept")}
     assert csvio.read_csv(spark, path, schema, max_rows=2).count() == 2
+
+
+def test_position_within_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, 7), (4, 7)], "id long, k long")
+    got = {r.id: r.pos for r in position_within(df, ["k"], [F.col("id").asc()], num_partitions=3).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+def test_only_one_machine_counts_as_local():
+    from hirelens.session import is_local
+    assert is_local("local") and is_local("local[8]") and is_local("local[*]")
+    assert not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
