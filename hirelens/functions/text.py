@@ -44,13 +44,21 @@ CLEAN_STEPS: list[tuple[str, str]] = (
 )
 
 
+# Python counts U+001C-U+001F as white space, Java's Unicode class does not.
+_SPACE, _NOT_SPACE = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+
+
 def java_pattern(pattern: str, flags: str = "") -> str:
+    """``pattern`` for Java with Python's meaning of white space. Inside the one class that
+    names white space (NOT_KEPT) the extra characters are dropped or become a space alike."""
+    if pattern != NOT_KEPT:
+        pattern = pattern.replace(r"\S", _NOT_SPACE).replace(r"\s", _SPACE)
     return f"(?dU{flags}){pattern}"
 
 
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
 def _chain(out: Column, steps: list[tuple[str, str]]) -> Column:
@@ -110,8 +118,8 @@ def clean_skill(c: Column) -> Column:
     return F.coalesce(F.lower(py_strip(c)), F.lit(""))
 
 
-def text_window(c: Column, n: int = 512) -> Column:
-    """first ``n`` code points."""
+def text_window(c: Column, n: int) -> Column:
+    """first ``n`` code points, for an encoder whose model has an input limit."""
     return F.substring(c, 1, n)
 
 

@@ -114,6 +114,7 @@ def score_eval(doc_skills: DataFrame, labels: DataFrame, reference: DataFrame,
 RESUME_BLOCK = 1024      # resumes per task block
 POSTING_BLOCK = 4096     # postings per task block (block score matrix ~ 32 MB)
 MIN_POSTING_BLOCK = 256  # smallest posting block worth a task of its own
+UNIT_TOLERANCE = 1e-6    # a stored float vector this close to length 1 is a unit vector
 
 _TOPK_SCHEMA = T.StructType([
     T.StructField("resume_id", T.LongType()),
@@ -122,14 +123,22 @@ _TOPK_SCHEMA = T.StructType([
 ])
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; rows that have it already (to single precision) and zero
+    rows stay as they are."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    keep = (n == 0.0) | (np.abs(n - 1.0) <= UNIT_TOLERANCE)
+    return m / np.where(keep, 1.0, n)
+
+
 def _block_topk(k: int):
     def fn(res: pd.DataFrame, post: pd.DataFrame) -> pd.DataFrame:
         if res.empty or post.empty:
             return pd.DataFrame({"resume_id": pd.Series([], dtype="int64"),
                                  "posting_id": pd.Series([], dtype="int64"),
                                  "score": pd.Series([], dtype="float64")})
-        R = np.stack(res["vec"].to_numpy()).astype(np.float64)
-        P = np.stack(post["vec"].to_numpy()).astype(np.float64)
+        R = _unit(np.stack(res["vec"].to_numpy()).astype(np.float64))
+        P = _unit(np.stack(post["vec"].to_numpy()).astype(np.float64))
         pid = post["posting_id"].to_numpy(dtype=np.int64)
         sc = np.clip(R @ P.T, 0.0, 1.0)
         kk = min(k, len(pid))
@@ -145,7 +154,7 @@ def _block_topk(k: int):
 
 def top_matches(resumes: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """V3: for every resume vector, the k postings with the highest clamped cosine
-    (ties by posting id). Exact, without a cross join and without emitting all pairs:
+    (ties by posting id; vectors are normalised here, a zero vector scores 0). Exact, without a cross join and without emitting all pairs:
     resumes and postings are hashed into blocks; each (resume block, posting block)
     cell is a co-group (resumes replicated over posting blocks and vice versa, the
     blocked matrix-product layout) scored with one matrix product in a pandas task

@@ -1,6 +1,6 @@
 """Built-in text encoder: a pyspark.ml pipeline
-RegexTokenizer -> HashingTF -> IDF -> Normalizer(p=2) over the first 512 characters of
-the cleaned text. It is lexical, not the reference's sentence model; what carries over
+RegexTokenizer -> HashingTF -> IDF -> Normalizer(p=2) over the whole cleaned text
+(``window`` cuts it only for callers whose model has an input limit). It is lexical, not the reference's sentence model; what carries over
 is the interface (text in, unit vector out) and the unit norm. IDF.fit is one
 distributed aggregation (document frequencies), transform is a map."""
 
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from hirelens.functions.text import text_window
 from hirelens.operators.skills import SEPARATORS
-from hirelens.schemas import TEXT_WINDOW
 from hirelens.session import materialize
 
 
@@ -28,11 +27,12 @@ def encoder(num_features: int) -> Pipeline:
     ])
 
 
-def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, num_features: int) -> DataFrame:
+def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, num_features: int,
+                  window: int | None = None) -> DataFrame:
     """id, features (unit vector), nnz, norm (1.0, or 0.0 for a text with no token)."""
     # fit (IDF document frequencies) and transform both read the input: write it once
-    inp = materialize(docs.select(id_col, text_window(F.col(text_col), TEXT_WINDOW).alias("_text")),
-                      "encoder-input")
+    text = F.col(text_col) if window is None else text_window(F.col(text_col), window)
+    inp = materialize(docs.select(id_col, text.alias("_text")), "encoder-input")
     model = encoder(num_features).fit(inp)
     out = model.transform(inp)
     arr = vector_to_array(F.col("features"))

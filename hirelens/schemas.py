@@ -20,7 +20,6 @@ CATEGORY_FLOOR = 10        # keep categories seen in at least this many postings
 TOP_CATEGORIES = 30        # stored top list
 SHOWN_TRENDS = 20          # shown in the trend feed
 RECENT_ANALYSES = 100      # trend input: latest analyses of all users
-TEXT_WINDOW = 512          # characters fed to the encoder
 RETRAIN_THRESHOLD = 50     # new analyses that trigger a retrain
 EXPECTED_PERCENT = 60      # hand-noted expected match of the check script
 # ---------------------------------------------------------------------------

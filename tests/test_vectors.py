@@ -35,3 +35,20 @@ def test_tfidf_brute_force_cosine(spark):
     b = [idf["python"], idf["sql"], 0.0]
     want = cos(a, b) / (math.sqrt(cos(a, a)) * math.sqrt(cos(b, b)))
     assert math.isclose(cos(v[1], v[2]), want, rel_tol=1e-9)
+
+
+def test_encoder_reads_whole_texts(spark):
+    df = spark.createDataFrame([(1, "pad " * 300 + "tail"), (2, "pad " * 300), (3, "other")], "id long, t string")
+    nnz = {r.id: r.nnz for r in tfidf_vectors(df, "id", "t", 1 << 12).collect()}
+    assert nnz[1] == 2 and nnz[2] == 1
+    cut = {r.id: r.nnz for r in tfidf_vectors(df, "id", "t", 1 << 12, window=512).collect()}
+    assert cut[1] == 1
+
+
+def test_top_matches_normalises(spark):
+    from hirelens.operators.matching import top_matches
+    schema = "vec_id long, embedding array<float>"
+    res = spark.createDataFrame([(1, [3.0, 0.0])], schema)
+    post = spark.createDataFrame([(10, [5.0, 5.0]), (11, [0.5, 0.0]), (12, [0.0, 0.0])], schema)
+    got = [(r.posting_id, r.score) for r in top_matches(res, post, 3).orderBy("rank").collect()]
+    assert got == [(11, 1.0), (10, 0.707107), (12, 0.0)]
