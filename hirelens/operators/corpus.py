@@ -40,8 +40,11 @@ def staged_postings(postings: DataFrame) -> DataFrame:
     """All dedup survivors with stage flags; cleaning runs only on rows that passed P6."""
     d = keep_first(postings)
     long_raw = d["_kept"] & (F.length("description") > RAW_MIN_CHARS)
-    d = with_clean_text(d.withColumn("_long", long_raw), "description", "clean_description",
+    d = with_clean_text(d.withColumn("_long", long_raw), "description", "_cleaned",
                         only_if=F.col("_long"))
+    # The generator is a barrier: without it the length filter moves below this projection
+    # with a copy of the whole cleaning chain, and every text is cleaned twice.
+    d = d.withColumn("clean_description", F.explode(F.array("_cleaned"))).drop("_cleaned")
     return d.withColumn("_clean", F.col("_long") & (F.length("clean_description") > CLEAN_MIN_CHARS))
 
 

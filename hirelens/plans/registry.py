@@ -18,7 +18,7 @@ from hirelens.operators import changes as CH
 from hirelens.operators import corpus, matching, skills, tracker, trends, vectors
 from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, TOP_MATCHES,
                                    TRAINED_AT)
-from hirelens.schemas import JOB_SKILLS, POSTINGS, SKILLS
+from hirelens.schemas import JOB_SKILLS, POSTINGS, RECENT_ANALYSES, SKILLS
 from hirelens.session import materialize, shared_path
 from hirelens.sources import adapters as A
 from hirelens.sources import csvio, intake, sinks
@@ -142,7 +142,7 @@ UPSERT_BATCH_FROM = "1997-12-01"       # recomputed batch: analyses from this da
 
 @register("recent_skill_trends")
 def q_recent_skill_trends(spark, d):
-    return trends.recent_skill_counts(A.analyses(spark, d))
+    return trends.recent_skill_counts(A.analyses(spark, d, newest=RECENT_ANALYSES))
 
 
 @register("weekly_trends")
@@ -163,7 +163,7 @@ def q_rising_skills_calendar(spark, d):
 @register("trend_feed")
 def q_trend_feed(spark, d):
     return trends.trend_feed(corpus.category_top(_final(spark, d)),
-                             trends.recent_skill_counts(A.analyses(spark, d)))
+                             trends.recent_skill_counts(A.analyses(spark, d, newest=RECENT_ANALYSES)))
 
 
 @register("retrain_check")

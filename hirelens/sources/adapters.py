@@ -56,12 +56,20 @@ def _level(priority: Column) -> Column:
             .when(priority == "5-LOW", "fresher"))          # '4-NOT SPECIFIED' -> absent
 
 
-def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def analyses(spark: SparkSession, sf_dir: str, newest: int | None = None) -> DataFrame:
     """Stored analyses: one per order; required_skills = the order's skill names as
-    the model returned them (the first line's skill in upper case), distinct, sorted."""
+    the model returned them (the first line's skill in upper case), distinct, sorted.
+
+    ``newest`` is for the feature that reads the latest analyses of all users only: it
+    picks them before the line items are joined (lists are never null here, so the
+    null-list filter removes none of them)."""
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate",
                         "o_orderpriority")
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    if newest is not None:
+        orders = orders.orderBy(F.desc("o_orderdate"), F.asc("o_orderkey")).limit(newest)
+        li = li.join(F.broadcast(orders.select(F.col("o_orderkey").alias("l_orderkey"))),
+                     "l_orderkey", "left_semi")       # at most ``newest`` keys
     names = join_dimension(li, skills(spark, sf_dir).withColumnRenamed("skill_abr", "l_partkey"),
                            "l_partkey")
     raw = F.when(F.col("l_linenumber") == 1, F.upper("skill_name")).otherwise(F.col("skill_name"))

@@ -4,6 +4,7 @@ the JVM-only queries."""
 import pytest
 
 import __spark_entry__ as E
+from hirelens.plans.registry import QUERIES
 
 D = "/root/testdata/sf0.001"
 PYTHON_OK = {"top_matches", "resume_intake_checks", "tfidf_vectors", "stream_weekly_trends",
@@ -28,15 +29,23 @@ def test_filter_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderdate), LessThan(o_orderdate" in p
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - PYTHON_OK))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON_OK))
 def test_no_python_nodes(spark, name):
     p = _plan(E.queries()[name](spark, D))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert node not in p, (name, node)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"stream_weekly_trends"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_weekly_trends"}))
 def test_no_cross_products(spark, name):
     p = _plan(E.queries()[name](spark, D))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in p, (name, node)
+
+
+def test_corpus_cleans_each_text_once(spark):
+    import re
+
+    from hirelens.functions.text import KEPT_RUN
+    p = E.queries()["corpus_final"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(re.escape(KEPT_RUN), p)) == 1
