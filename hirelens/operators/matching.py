@@ -11,34 +11,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelens.functions import scoring as S
-from hirelens.operators.joins import broadcast_if_within
+from hirelens.functions.text import py_strip
 from hirelens.operators.ordering import top_k_within
-from hirelens.operators.skills import extract_skills, posting_skills, tokens
+from hirelens.operators.skills import (extract_skills, posting_company, posting_role,
+                                       posting_skills, tokens)
 from hirelens.schemas import DEFAULT_LEVEL, EXPECTED_PERCENT, SUGGESTION
 
-def _empty():
-    return F.array().cast("array<string>")
 
-
-def match_report(pairs: DataFrame, keys: list[str], dictionary: DataFrame,
-                 level_col: str | None = None) -> DataFrame:
-    """M1 + M2 + M3 + M4 + N5 for every (resume_text, jd_text) pair of ``pairs``.
-
-    Output: the 9 keys of the reference's analysis plus band and level."""
-    res = extract_skills(pairs, keys, "resume_text", dictionary).withColumnRenamed("skills", "resume_skills")
-    post = posting_skills(pairs, keys, "jd_text", dictionary)
-    level = F.coalesce(F.col(level_col), F.lit(DEFAULT_LEVEL)) if level_col else F.lit(DEFAULT_LEVEL)
-    base = pairs.select(*keys, level.alias("level"))
-    j = base.join(res, keys, "left").join(post, keys, "left")
-    req = F.coalesce(F.col("required_skills"), _empty())
-    pref = F.coalesce(F.col("preferred_skills"), _empty())
-    rs = F.coalesce(F.col("resume_skills"), _empty())
+# request outcomes, in the order they are checked
+NO_RESUME, NO_TEXT, NOT_FOUND, ACCEPTED = (
+    "resume_id missing", "jd_text missing", "resume not found", "accepted")
+
+
+def request_outcomes(requests: DataFrame, resumes: DataFrame) -> DataFrame:
+    """P10 + J3: every analysis request (request_id, resume_id, user_id, application_id,
+    jd_text, level) with its outcome. A request needs a resume id, a posting text that is
+    not blank (it is stored stripped) and a resume of the requesting user; one without a
+    level is read as the default one (P17)."""
+    own = resumes.select("resume_id", "user_id", F.lit(True).alias("_own"))
+    text = py_strip(F.coalesce(F.col("jd_text"), F.lit("")))
+    j = (requests.withColumn("jd_text", text)
+         .withColumn("level", F.coalesce(F.col("level"), F.lit(DEFAULT_LEVEL)))
+         .join(own, ["resume_id", "user_id"], "left"))
+    outcome = (F.when(F.col("resume_id").isNull(), NO_RESUME)
+               .when(F.col("jd_text") == "", NO_TEXT)
+               .when(F.col("_own").isNull(), NOT_FOUND).otherwise(ACCEPTED))
+    return j.select("request_id", "resume_id", "user_id", "application_id", "jd_text", "level",
+                    outcome.alias("outcome"))
+
+
+def match_report(requests: DataFrame, resumes: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """M1 + M2 + M3 + M4 + N5 for every accepted request: skills are extracted once per
+    posting text and once per requested resume, then joined by resume id."""
+    ids = ["request_id", "resume_id", "user_id", "application_id", "level"]
+    named = requests.select(*ids, posting_role(F.col("jd_text")).alias("jd_role"),
+                            posting_company(F.col("jd_text")).alias("jd_company"), "jd_text")
+    post = posting_skills(named, [*ids, "jd_role", "jd_company"], "jd_text", dictionary)
+    asked = resumes.select("resume_id", "raw_text").join(
+        requests.select("resume_id").distinct(), "resume_id", "left_semi")
+    res = extract_skills(asked, ["resume_id"], "raw_text", dictionary)
+    j = post.join(res, "resume_id")
+    req, pref, rs = F.col("required_skills"), F.col("preferred_skills"), F.col("skills")
     gap = S.gap(req, pref, rs)
     score = S.match_score(req, pref, rs)
     return j.select(
-        *keys, "level",
-        rs.alias("resume_skills"), req.alias("required_skills"), pref.alias("preferred_skills"),
-        F.lit("").alias("jd_role"), F.lit("").alias("jd_company"),
+        *ids, rs.alias("resume_skills"), "required_skills", "preferred_skills",
+        "jd_role", "jd_company",
         S.matched(req, pref, rs).alias("matched_skills"), gap.alias("gap_skills"),
         score.alias("match_score"), S.band(score).alias("band"),
         F.to_json(S.suggestions(gap, req)).alias("suggestions"))
@@ -46,21 +64,21 @@ def match_report(pairs: DataFrame, keys: list[str], dictionary: DataFrame,
 
 def analysis_json(report: DataFrame, keys: list[str]) -> DataFrame:
     """S12 + N4 + N6: each stored analysis as one JSON object, suggestions decoded back
-    into the object (not left as a string)."""
+    into the object (not left as a string). Absent values are written as null."""
     sugg = F.from_json(F.col("suggestions"), T.ArrayType(SUGGESTION))
     body = report.withColumn("suggestions", sugg)
-    return body.select(*keys, F.to_json(F.struct(*[F.col(c) for c in body.columns])).alias("json"))
+    return body.select(*keys, F.to_json(F.struct(*[F.col(c) for c in body.columns]),
+                                        {"ignoreNullFields": "false"}).alias("json"))
 
 
-def analysis_rows(report: DataFrame, pairs: DataFrame, keys: list[str], user_col: str,
-                  as_of) -> DataFrame:
+def analysis_rows(report: DataFrame, requests: DataFrame, as_of) -> DataFrame:
     """C7 + P13: the rows appended to the analyses table, with a derived id and the
     score CHECK (0 <= score <= 1; null passes) as a flag. Unlike the reference's insert,
     preferred and resume skills are kept too."""
-    id_ = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256)
+    id_ = F.sha2(F.col("request_id").cast("string"), 256)
     score_ok = F.col("match_score").isNull() | F.col("match_score").between(0.0, 1.0)
-    return (report.join(pairs.select(*keys, user_col, "jd_text"), keys)
-            .select(id_.alias("id"), F.col(user_col).alias("user_id"), "jd_text", "jd_role",
+    return (report.join(requests.select("request_id", "jd_text"), "request_id")
+            .select(id_.alias("id"), "user_id", "resume_id", "application_id", "jd_text", "jd_role",
                     "jd_company", "required_skills", "preferred_skills", "resume_skills",
                     "matched_skills", "gap_skills", "match_score", "suggestions",
                     F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
@@ -90,17 +108,16 @@ def lexical_pair_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, score.alias("score"), S.percent(score).alias("percent"))
 
 
-def score_eval(doc_skills: DataFrame, labels: DataFrame, reference: DataFrame,
-               ref_size: int) -> DataFrame:
+def score_eval(doc_skills: DataFrame, labels: DataFrame, reference: DataFrame) -> DataFrame:
     """M5 over labelled documents: score = share of the reference skill list a document
     names; percent = round(score*100); error = |percent - expected|. One row per
     quality class with its mean percent and mean absolute error."""
-    ref = broadcast_if_within(reference.select("skill"), ref_size)
-    ref = reference.select("skill") if ref is None else ref
+    n = F.lit(float(max(1, reference.count())))
     hits = (doc_skills.select("doc_id", F.explode("skills").alias("skill"))
-            .join(ref, "skill").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits")))
+            .join(reference.select("skill"), "skill").groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("hits")))
     scored = (labels.select("doc_id", "quality").join(hits, "doc_id", "left")
-              .withColumn("score", F.round(F.coalesce(F.col("hits"), F.lit(0)) / F.lit(float(ref_size)), 6))
+              .withColumn("score", F.round(F.coalesce(F.col("hits"), F.lit(0)) / n, 6))
               .withColumn("percent", S.percent(F.col("score")))
               .withColumn("error", F.abs(F.col("percent") - F.lit(EXPECTED_PERCENT))))
     return scored.groupBy("quality").agg(

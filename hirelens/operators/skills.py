@@ -1,28 +1,28 @@
 """Dictionary skill extraction.
 
-Texts are lower-cased and split on anything that is not ``a-z 0-9 + # .``; the 1-, 2-
-and 3-grams of the tokens are joined with a skill dictionary. The dictionary is a
-bounded table (its size is checked before it is broadcast), so the join is a
-map-side hash lookup and the n-grams never shuffle; only the matched (text, skill)
-pairs reach the per-text aggregation. A dictionary built by ``build_dictionary`` is
-bounded by construction (top ``size``) and is checkpointed once, so every use reads
-200 rows instead of recomputing document frequencies.
+The dictionary is the skill label table, of any size and in any language: labels are
+lower-cased and split into terms, and so are the texts; runs of terms as long as the
+longest label are joined with it. Nothing is left out of the dictionary, and no join is
+forced: Spark broadcasts the label side where its size in bytes allows and otherwise
+shuffles both, and adaptive execution splits hot terms. Only terms that start some label
+build longer runs, so most of a text's runs are never made.
+
+Every text gets a row; texts that are null, empty or name no skill get empty lists. Rows
+with the same ids are read as one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.operators.joins import broadcast_if_within, join_dimension, maybe_broadcast
-from hirelens.session import materialize
-
 # ---- fixed values ------------------------------------------------------------
 SEPARATORS = r"[^a-z0-9+#.]+"
-MAX_NGRAM = 3
+# as SEPARATORS, and full stops that end a word ("go." is go, "node.js" stays whole)
+TERM_BREAKS = r"(?:[^a-z0-9+#.]|\.++(?![a-z0-9]))+"
 PREFERRED_LINE = r"(?i)preferred|nice to have|bonus|plus"   # our rule for M2
-DICTIONARY_SIZE = 200        # entries kept by doc frequency
-DICTIONARY_MIN_TOKEN = 3     # characters per token of a dictionary entry
+ROLE_LINE = r"(?imd)^[ \t]*(?:title|role|position)[ \t]*:[ \t]*([^\r\n]*)"
+COMPANY_LINE = r"(?imd)^[ \t]*company[ \t]*:[ \t]*([^\r\n]*)"
 # ------------------------------------------------------------------------------
 
 
@@ -30,16 +30,29 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
 
+def terms(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), TERM_BREAKS), "")
+
+
+def label_dictionary(labels: DataFrame, name_col: str = "skill_name") -> DataFrame:
+    """skill, labels (label rows that share the name), n_words: one row per distinct
+    label name, spelled as its terms. Null names and names without a term have none."""
+    name = F.array_join(terms(F.col(name_col)), " ")
+    return (labels.select(name.alias("skill")).filter(F.col("skill") != "")
+            .groupBy("skill").agg(F.count(F.lit(1)).alias("labels"))
+            .withColumn("n_words", F.size(F.split("skill", " "))))
+
+
 def _shift(toks: Column, k: int) -> Column:
     """Tokens from position k+1 on (empty when shorter)."""
     return F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0)))
 
 
 def _positions(df: DataFrame, keep: list[str], text_col: str, width: int) -> DataFrame:
-    """keep + one row per token position with the token and the next ``width - 1``
-    tokens (null past the end) as columns w0, w1, ... Built from ``arrays_zip`` over
+    """keep + one row per term position with the term and the next ``width - 1``
+    terms (null past the end) as columns w0, w1, ... Built from ``arrays_zip`` over
     shifted copies and ``explode``: generated code, no per-element lambdas."""
-    t = df.select(*keep, tokens(F.col(text_col)).alias("w0"))
+    t = df.select(*keep, terms(F.col(text_col)).alias("w0"))
     t = t.select(*keep, "w0", *[_shift(F.col("w0"), k).alias(f"w{k}") for k in range(1, width)])
     z = t.select(*keep, F.explode(F.arrays_zip(*[f"w{k}" for k in range(width)])).alias("z"))
     return z.select(*keep, *[F.col(f"z.w{k}").alias(f"w{k}") for k in range(width)])
@@ -53,91 +66,49 @@ def _words(n: int) -> Column:
     return F.concat(*parts)
 
 
-def explode_ngrams(df: DataFrame, keep: list[str], text_col: str, max_n: int = MAX_NGRAM,
-                   first_words: DataFrame | None = None) -> DataFrame:
-    """keep + one row per 1..max_n-gram of ``text_col`` (column ``skill``).
-
-    With ``first_words`` (a bounded table, column ``w0``), only positions whose token
-    starts some dictionary entry build grams: a gram can match an entry only if its
-    first word is the entry's first word. A broadcast semi-join on the token rows, so
-    most gram strings are never made."""
-    pos = _positions(df, keep, text_col, max_n)
-    if first_words is not None:
-        pos = pos.join(F.broadcast(first_words.select("w0")), "w0", "left_semi")
-    grams = [_words(n) for n in range(1, max_n + 1)]
-    g = pos.select(*keep, F.explode(F.array(*grams)).alias("skill"))
-    return g.filter(F.col("skill").isNotNull())
-
-
-def build_dictionary(texts: DataFrame, id_col: str, text_col: str,
-                     size: int = DICTIONARY_SIZE, min_token: int = DICTIONARY_MIN_TOKEN) -> DataFrame:
-    """A skill dictionary learned from a corpus: the ``size`` 1- and 2-grams found in the
-    most texts (every token >= ``min_token`` characters), ties by the term.
-
-    Exact pruning of the bigrams: a bigram is in no more texts than either of its words,
-    and the cut-off of the final list is at least the ``size``-th largest unigram count
-    (unigrams compete too). So only bigrams of words at or above that count can make the
-    list; the rest are never counted. The word counts are a small written table."""
-    pos = _positions(texts, [id_col], text_col, 2).select(
-        id_col, *[F.when(F.length(f"w{k}") >= min_token, F.col(f"w{k}")).alias(f"w{k}")
-                  for k in range(2)])
-    # a text's words are deduplicated inside its row, so one partial aggregation counts texts
-    words = materialize(
-        texts.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("skill"))
-        .filter(F.length("skill") >= min_token)
-        .groupBy("skill").agg(F.count(F.lit(1)).alias("df")), "dictionary-words")
-    floor = (words.orderBy(F.desc("df"), F.asc("skill")).limit(size)
-             .agg(F.min("df").alias("floor"), F.count(F.lit(1)).alias("n")).first())
-    cut = floor["floor"] if floor["n"] == size else 1
-    frequent = maybe_broadcast(words.filter(F.col("df") >= cut).select("skill"))  # one size check
-    pairs = pos.filter(F.col("w1").isNotNull())
-    pairs = pairs.join(frequent.withColumnRenamed("skill", "w0"), "w0", "left_semi")
-    pairs = pairs.join(frequent.withColumnRenamed("skill", "w1"), "w1", "left_semi")
-    bigrams = (pairs.select(id_col, _words(2).alias("skill")).distinct()
-               .groupBy("skill").agg(F.count(F.lit(1)).alias("df")))
-    top = (words.unionByName(bigrams).orderBy(F.desc("df"), F.asc("skill")).limit(size))
-    # rank over the <= size kept rows (a one-task window over 200 rows)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), F.asc("skill"))))
-    return materialize(top, "skill-dictionary")
-
-
-def _first_words(dictionary: DataFrame, bound: int | None) -> DataFrame | None:
-    """First words of the entries, as a broadcast table; only when the dictionary is
-    proven to hold at most ``bound`` rows."""
-    if broadcast_if_within(dictionary.select("skill"), bound) is None:
-        return None
-    return dictionary.select(F.split(F.col("skill"), " ").getItem(0).alias("w0")).distinct()
-
-
-def _lookup(grams: DataFrame, dictionary: DataFrame, bound: int | None) -> DataFrame:
-    """Join n-grams with the dictionary: broadcast when it is proven to hold at most
-    ``bound`` rows, otherwise the size-checked join of ``join_dimension``."""
-    d = dictionary.select("skill")
-    small = broadcast_if_within(d, bound)
-    if small is not None:
-        return grams.join(small, "skill")
-    return join_dimension(grams, d, "skill")
+def _hits(df: DataFrame, keep: list[str], text_col: str, dictionary: DataFrame) -> DataFrame:
+    """keep + skill for every place where ``text_col`` names a dictionary entry."""
+    width = dictionary.agg(F.max("n_words")).first()[0] or 1
+    first = dictionary.select(F.split("skill", " ").getItem(0).alias("w0")).distinct()
+    pos = _positions(df, keep, text_col, width).join(first, "w0", "left_semi")
+    runs = F.array(*[_words(n) for n in range(1, width + 1)])
+    grams = pos.select(*keep, F.explode(runs).alias("skill")).filter(F.col("skill").isNotNull())
+    return grams.join(dictionary.select("skill"), "skill").select(*keep, "skill")
+
+
+def _nothing_found(df: DataFrame, ids: list[str]) -> DataFrame:
+    """ids with a null skill, so that texts without a hit keep their row."""
+    return df.select(*ids, F.lit(None).cast("string").alias("skill"))
 
 
 def extract_skills(texts: DataFrame, id_cols: list[str], text_col: str,
-                   dictionary: DataFrame, bound: int | None = DICTIONARY_SIZE) -> DataFrame:
-    """id_cols + sorted distinct dictionary skills found in the text (texts
-    with no skill have no row; callers left-join and default to [])."""
-    grams = explode_ngrams(texts, id_cols, text_col, first_words=_first_words(dictionary, bound))
-    hits = _lookup(grams, dictionary, bound)
-    return hits.groupBy(*id_cols).agg(F.array_sort(F.collect_set("skill")).alias("skills"))
+                   dictionary: DataFrame) -> DataFrame:
+    """id_cols + sorted distinct dictionary skills found in the text."""
+    hits = _hits(texts, id_cols, text_col, dictionary)
+    return (hits.unionByName(_nothing_found(texts, id_cols)).groupBy(*id_cols)
+            .agg(F.array_sort(F.collect_set("skill")).alias("skills")))
 
 
 def posting_skills(postings: DataFrame, id_cols: list[str], text_col: str,
-                   dictionary: DataFrame, bound: int | None = DICTIONARY_SIZE) -> DataFrame:
+                   dictionary: DataFrame) -> DataFrame:
     """M2: skills of lines that mark them as optional are preferred, the rest required;
     a skill named on any other line is required only."""
     lines = postings.select(*id_cols, F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-    lines = lines.withColumn("pref", F.col("line").rlike(PREFERRED_LINE))
-    grams = explode_ngrams(lines, [*id_cols, "pref"], "line",
-                           first_words=_first_words(dictionary, bound))
-    hits = _lookup(grams, dictionary, bound)
-    per_skill = hits.groupBy(*id_cols, "skill").agg(F.min(F.col("pref").cast("int")).alias("pref_only"))
+    lines = lines.withColumn("pref", F.col("line").rlike(PREFERRED_LINE).cast("int"))
+    hits = _hits(lines, [*id_cols, "pref"], "line", dictionary)
+    none = _nothing_found(postings, id_cols).withColumn("pref", F.lit(0))
+    per_skill = (hits.unionByName(none).groupBy(*id_cols, "skill")
+                 .agg(F.min("pref").alias("pref_only")))
     return per_skill.groupBy(*id_cols).agg(
         F.array_sort(F.collect_list(F.when(F.col("pref_only") == 0, F.col("skill")))).alias("required_skills"),
         F.array_sort(F.collect_list(F.when(F.col("pref_only") == 1, F.col("skill")))).alias("preferred_skills"))
+
+
+def posting_role(text: Column) -> Column:
+    """M2: what the first title / role / position line of a posting names; '' without one."""
+    return F.trim(F.coalesce(F.regexp_extract(text, ROLE_LINE, 1), F.lit("")))
+
+
+def posting_company(text: Column) -> Column:
+    """M2: what the first company line of a posting names; '' without one."""
+    return F.trim(F.coalesce(F.regexp_extract(text, COMPANY_LINE, 1), F.lit("")))

@@ -305,25 +305,23 @@ def toks_sql(expr: str) -> str:
     return f"list_filter(string_split_regex(lower({expr}), '[^a-z0-9+#.]+'), lambda x: x <> '')"
 
 
+def terms_sql(expr: str) -> str:
+    """Terms of skill texts: full stops that end a word are blanked first."""
+    return toks_sql(f"regexp_replace(lower({expr}), '\\.+([^a-z0-9.]|$)', ' \\1', 'g')")
+
+
 DICT_CTE = f"""
-dtoks AS (SELECT doc_id, {toks_sql('text')} AS t FROM documents WHERE lang = 'en'),
-dterms AS (
-  SELECT DISTINCT doc_id, g FROM (
-    SELECT doc_id, unnest(list_filter(t, lambda x: length(x) >= 3)) AS g FROM dtoks
-    UNION ALL
-    SELECT doc_id, t[i] || ' ' || t[i + 1] AS g
-    FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM dtoks)
-    WHERE length(t[i]) >= 3 AND length(t[i + 1]) >= 3)
-),
-dict AS (SELECT g AS skill, count(*) AS df FROM dterms GROUP BY g ORDER BY df DESC, g LIMIT 200),
-dictr AS (SELECT skill, df, CAST(row_number() OVER (ORDER BY df DESC, skill) AS INTEGER) AS rank FROM dict)"""
+dict AS (SELECT skill, count(*) AS labels, len(string_split(skill, ' ')) AS n_words
+         FROM (SELECT array_to_string({terms_sql('p_name')}, ' ') AS skill FROM part)
+         WHERE skill <> '' GROUP BY skill)"""
 
 
 def grams_sql(name: str, src: str, keys: str, text: str, extra: str = "") -> str:
-    """CTEs {name}_t (token lists) and {name} (1-3 grams) over table ``src``."""
+    """CTEs {name}_t (term lists) and {name} (1-3 term runs; no label is longer) over
+    table ``src``."""
     ex = f", {extra}" if extra else ""
     return f"""
-{name}_t AS (SELECT {keys}{ex}, {toks_sql(text)} AS t FROM {src}),
+{name}_t AS (SELECT {keys}{ex}, {terms_sql(text)} AS t FROM {src}),
 {name} AS (
   SELECT {keys}{ex}, unnest(t) AS g FROM {name}_t
   UNION ALL SELECT {keys}{ex}, t[i] || ' ' || t[i + 1]
@@ -333,6 +331,53 @@ def grams_sql(name: str, src: str, keys: str, text: str, extra: str = "") -> str
 )"""
 
 
+def order_lines_sql(name: str, line: str, where: str = "true") -> str:
+    return f"""
+{name} AS (SELECT l_orderkey AS order_id, string_agg(line, chr(10) ORDER BY l_linenumber, line) AS lines
+  FROM (SELECT l_orderkey, l_linenumber, {line} AS line
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {where}) GROUP BY l_orderkey)"""
+
+
+POSTING_LINES = order_lines_sql("plines", "CASE WHEN l_linenumber % 3 = 0 THEN 'Nice to have: ' || p_name "
+                                          "ELSE 'Must know ' || upper(p_name) || '.' END")
+
+POSTING_TEXTS = f"""{POSTING_LINES},
+ptexts AS (
+  SELECT doc_id AS job_id, concat_ws(' ', lang, source) AS jd_role, coalesce(source, '') AS jd_company,
+         concat_ws(chr(10), text, concat_ws(' ', 'Title:', lang, source),
+                   concat_ws(' ', 'Company:', source), lines) AS text
+  FROM documents LEFT JOIN plines ON doc_id = order_id)"""
+
+REQUESTS_CTE = f"""{POSTING_LINES},
+{order_lines_sql('rlines', "'Built a ' || p_name || ', alone.'", "l_returnflag <> 'R'")},
+resumes AS (SELECT o_orderkey AS resume_id, o_custkey AS user_id,
+                   concat_ws(chr(10), 'Experience', lines) AS raw_text
+            FROM orders LEFT JOIN rlines ON o_orderkey = order_id),
+reqs AS (
+  SELECT o_orderkey AS request_id,
+         CASE WHEN o_orderkey % 17 = 5 THEN NULL WHEN o_orderkey % 23 = 7 THEN -1 - o_orderkey
+              ELSE o_orderkey END AS resume_id,
+         o_custkey + CASE WHEN o_orderkey % 13 = 3 THEN 1 ELSE 0 END AS user_id,
+         CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS application_id,
+         CASE WHEN o_orderkey % 11 = 4 THEN ''
+              ELSE concat_ws(chr(10), 'Role: engineer ' || o_orderstatus,
+                             'Company: house ' || o_orderpriority, lines) END AS jd_text,
+         'engineer ' || o_orderstatus AS jd_role, 'house ' || o_orderpriority AS jd_company,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'mid_level' WHEN '2-HIGH' THEN 'early_career'
+              WHEN '3-MEDIUM' THEN 'student' ELSE 'fresher' END AS level
+  FROM orders LEFT JOIN plines ON o_orderkey = order_id),
+checked AS (
+  SELECT q.*, raw_text,
+         CASE WHEN q.resume_id IS NULL THEN 'resume_id missing' WHEN jd_text = '' THEN 'jd_text missing'
+              WHEN r.resume_id IS NULL THEN 'resume not found' ELSE 'accepted' END AS outcome
+  FROM reqs q LEFT JOIN resumes r ON q.resume_id = r.resume_id AND q.user_id = r.user_id),
+accepted AS (SELECT * FROM checked WHERE outcome = 'accepted')"""
+
+ORACLE["analysis_requests"] = f"""
+WITH {REQUESTS_CTE}
+SELECT request_id, resume_id, user_id, application_id, jd_text, level, outcome FROM checked"""
+
+
 REPLIES_CTE = r"""
 r AS (SELECT event_id,
         CASE WHEN event_type = 'click' THEN '  ' || props || chr(10)
@@ -358,11 +403,12 @@ FROM s5"""
 
 ORACLE["skill_dictionary"] = f"""
 WITH {DICT_CTE}
-SELECT skill, df, rank FROM dictr"""
+SELECT skill, labels, CAST(n_words AS INTEGER) AS n_words FROM dict"""
 
 ORACLE["doc_skills"] = f"""
-WITH {DICT_CTE}, {grams_sql('dg', 'documents', 'doc_id', 'text')}
-SELECT doc_id, list_sort(list(DISTINCT g)) AS skills FROM dg JOIN dict ON g = skill GROUP BY doc_id"""
+WITH {DICT_CTE}, {POSTING_TEXTS}, {grams_sql('dg', 'ptexts', 'job_id', 'text')},
+found AS (SELECT job_id, list_sort(list(DISTINCT g)) AS skills FROM dg JOIN dict ON g = skill GROUP BY job_id)
+SELECT p.job_id AS doc_id, coalesce(skills, []::VARCHAR[]) AS skills FROM ptexts p LEFT JOIN found USING (job_id)"""
 
 POSTING_LISTS = """
 {name}_h AS (SELECT {keys}, g, min(CAST(pref AS INTEGER)) AS pref_only
@@ -375,13 +421,14 @@ POSTING_LISTS = """
 PREF_RE = "(?i)preferred|nice to have|bonus|plus"
 
 ORACLE["posting_skills"] = f"""
-WITH {DICT_CTE},
-pl AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line
-       FROM conversations WHERE role = 'assistant'),
-pl2 AS (SELECT conv_id, turn, line, regexp_matches(line, '{PREF_RE}') AS pref FROM pl),
-{grams_sql('pg', 'pl2', 'conv_id, turn', 'line', 'pref')},
-{POSTING_LISTS.format(name='plists', keys='conv_id, turn', grams='pg')}
-SELECT * FROM plists"""
+WITH {DICT_CTE}, {POSTING_TEXTS},
+pl AS (SELECT job_id, unnest(string_split(text, chr(10))) AS line FROM ptexts),
+pl2 AS (SELECT job_id, line, regexp_matches(line, '{PREF_RE}') AS pref FROM pl),
+{grams_sql('pg', 'pl2', 'job_id', 'line', 'pref')},
+{POSTING_LISTS.format(name='plists', keys='job_id', grams='pg')}
+SELECT p.job_id, jd_role, jd_company, coalesce(required_skills, []::VARCHAR[]) AS required_skills,
+       coalesce(preferred_skills, []::VARCHAR[]) AS preferred_skills
+FROM ptexts p LEFT JOIN plists USING (job_id)"""
 
 PAIRS_CTE = """
 pairs AS (
@@ -391,28 +438,28 @@ pairs AS (
   WHERE u.role = 'user')"""
 
 REPORT_CTE = f"""
-{DICT_CTE}, {PAIRS_CTE},
-{grams_sql('rg', 'pairs', 'conv_id, resume_turn', 'resume_text')},
-rl AS (SELECT conv_id, resume_turn, list_sort(list(DISTINCT g)) AS resume_skills
+{DICT_CTE}, {REQUESTS_CTE},
+{grams_sql('rg', 'accepted', 'request_id', 'raw_text')},
+rl AS (SELECT request_id, list_sort(list(DISTINCT g)) AS resume_skills
        FROM rg JOIN dict ON g = skill GROUP BY ALL),
-jl AS (SELECT conv_id, resume_turn, unnest(string_split(jd_text, chr(10))) AS line FROM pairs),
-jl2 AS (SELECT conv_id, resume_turn, line, regexp_matches(line, '{PREF_RE}') AS pref FROM jl),
-{grams_sql('jg', 'jl2', 'conv_id, resume_turn', 'line', 'pref')},
-{POSTING_LISTS.format(name='jlists', keys='conv_id, resume_turn', grams='jg')},
+jl AS (SELECT request_id, unnest(string_split(jd_text, chr(10))) AS line FROM accepted),
+jl2 AS (SELECT request_id, line, regexp_matches(line, '{PREF_RE}') AS pref FROM jl),
+{grams_sql('jg', 'jl2', 'request_id', 'line', 'pref')},
+{POSTING_LISTS.format(name='jlists', keys='request_id', grams='jg')},
 j AS (
-  SELECT p.conv_id, p.resume_turn,
+  SELECT p.request_id, resume_id, user_id, application_id, level, jd_role, jd_company,
          coalesce(rl.resume_skills, []::VARCHAR[]) AS rs,
          coalesce(jlists.required_skills, []::VARCHAR[]) AS req,
          coalesce(jlists.preferred_skills, []::VARCHAR[]) AS pref
-  FROM pairs p LEFT JOIN rl USING (conv_id, resume_turn) LEFT JOIN jlists USING (conv_id, resume_turn)),
+  FROM accepted p LEFT JOIN rl USING (request_id) LEFT JOIN jlists USING (request_id)),
 k AS (
   SELECT *, list_distinct(list_concat(req, pref)) AS jd,
          len(req) + 0.5 * len(pref) AS den,
          len(list_intersect(req, rs)) + 0.5 * len(list_intersect(pref, rs)) AS num
   FROM j),
 report AS (
-  SELECT conv_id, resume_turn, 'fresher' AS level, rs AS resume_skills, req AS required_skills,
-         pref AS preferred_skills, '' AS jd_role, '' AS jd_company,
+  SELECT request_id, resume_id, user_id, application_id, level, rs AS resume_skills,
+         req AS required_skills, pref AS preferred_skills, jd_role, jd_company,
          list_sort(list_intersect(jd, rs)) AS matched_skills,
          list_sort(list_filter(jd, lambda x: NOT list_contains(rs, x))) AS gap_skills,
          round(CASE WHEN den > 0 THEN num / den ELSE 0.0 END, 6) AS match_score,
@@ -435,7 +482,8 @@ SELECT * FROM report2"""
 
 ORACLE["analysis_json_out"] = f"""
 WITH {REPORT_CTE}
-SELECT conv_id, resume_turn, to_json({{'conv_id': conv_id, 'resume_turn': resume_turn, 'level': level,
+SELECT request_id, to_json({{'request_id': request_id, 'resume_id': resume_id, 'user_id': user_id,
+  'application_id': application_id, 'level': level,
   'resume_skills': resume_skills, 'required_skills': required_skills,
   'preferred_skills': preferred_skills, 'jd_role': jd_role, 'jd_company': jd_company,
   'matched_skills': matched_skills, 'gap_skills': gap_skills, 'match_score': match_score,
@@ -444,21 +492,20 @@ FROM report2"""
 
 ORACLE["analysis_append"] = f"""
 WITH {REPORT_CTE}
-SELECT sha256(CAST(r.conv_id AS VARCHAR) || '|' || CAST(r.resume_turn AS VARCHAR)) AS id,
-       r.conv_id AS user_id, p.jd_text, jd_role, jd_company, required_skills, preferred_skills,
-       resume_skills, matched_skills, gap_skills, match_score, suggestions,
+SELECT sha256(CAST(r.request_id AS VARCHAR)) AS id,
+       r.user_id, r.resume_id, r.application_id, p.jd_text, r.jd_role, r.jd_company, required_skills,
+       preferred_skills, resume_skills, matched_skills, gap_skills, match_score, suggestions,
        TIMESTAMP '{AS_OF}' AS created_at,
        (match_score IS NULL OR match_score BETWEEN 0.0 AND 1.0) AS score_ok
-FROM report2 r JOIN pairs p ON r.conv_id = p.conv_id AND r.resume_turn = p.resume_turn"""
+FROM report2 r JOIN accepted p ON r.request_id = p.request_id"""
 
 ORACLE["score_eval"] = f"""
-WITH {DICT_CTE},
-ld AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+WITH {DICT_CTE}, {POSTING_TEXTS},
+ld AS (SELECT job_id AS doc_id, text FROM ptexts WHERE job_id IN (SELECT doc_id FROM labels)),
 {grams_sql('lg', 'ld', 'doc_id', 'text')},
-ls AS (SELECT DISTINCT doc_id, g FROM lg JOIN dict ON g = skill),
-hits AS (SELECT doc_id, count(*) AS hits FROM ls JOIN dictr ON g = dictr.skill
-         WHERE dictr.rank <= 20 GROUP BY doc_id),
-sc AS (SELECT l.doc_id, l.quality, round(coalesce(h.hits, 0) / 20.0, 6) AS score
+hits AS (SELECT doc_id, count(DISTINCT g) AS hits FROM lg JOIN dict ON g = skill GROUP BY doc_id),
+sc AS (SELECT l.doc_id, l.quality,
+              round(coalesce(h.hits, 0) / greatest(1, (SELECT count(*) FROM dict)), 6) AS score
        FROM labels l LEFT JOIN hits h USING (doc_id)),
 pc AS (SELECT *, CAST(round_even(score * 100, 0) AS INTEGER) AS percent FROM sc)
 SELECT quality, count(*) AS docs, round(avg(percent), 6) AS mean_percent,

@@ -182,12 +182,10 @@ def q_trend_upsert(spark, d):
 # ---- model replies, skills and matching ---------------------------------------
 
 
-REFERENCE_SKILLS = 20      # score_eval's fixed list: the dictionary's top 20
-
-
 def _dictionary(spark, d):
-    docs = read_table(spark, d, "documents", "doc_id", "text", "lang").filter(F.col("lang") == "en")
-    return skills.build_dictionary(docs, "doc_id", "text")
+    """The skill label table as a dictionary, written once: its uses read it back and
+    Spark knows its size in bytes."""
+    return materialize(skills.label_dictionary(A.skills(spark, d)), "skill-dictionary")
 
 
 @register("safe_parse_json")
@@ -199,52 +197,65 @@ def q_safe_parse_json(spark, d):
 
 @register("skill_dictionary")
 def q_skill_dictionary(spark, d):
-    return _dictionary(spark, d).select("skill", "df", F.col("rank").cast("int").alias("rank"))
+    return skills.label_dictionary(A.skills(spark, d))
 
 
 @register("doc_skills")
 def q_doc_skills(spark, d):
-    docs = read_table(spark, d, "documents", "doc_id", "text")
-    return skills.extract_skills(docs, ["doc_id"], "text", _dictionary(spark, d))
+    texts = A.posting_texts(spark, d).withColumnRenamed("job_id", "doc_id")
+    return skills.extract_skills(texts, ["doc_id"], "text", _dictionary(spark, d))
 
 
 @register("posting_skills")
 def q_posting_skills(spark, d):
-    posts = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text").filter(
-        F.col("role") == "assistant")
-    return skills.posting_skills(posts, ["conv_id", "turn"], "text", _dictionary(spark, d))
+    posts = A.posting_texts(spark, d)
+    named = posts.select("job_id", skills.posting_role(F.col("text")).alias("jd_role"),
+                         skills.posting_company(F.col("text")).alias("jd_company"), "text")
+    return skills.posting_skills(named, ["job_id", "jd_role", "jd_company"], "text",
+                                 _dictionary(spark, d))
 
 
-PAIR_KEYS = ["conv_id", "resume_turn"]
+@register("analysis_requests")
+def q_analysis_requests(spark, d):
+    return matching.request_outcomes(A.analysis_requests(spark, d), A.resumes(spark, d))
+
+
+def _report(spark, d):
+    """(accepted requests, their report); the inputs that several branches read are
+    written once."""
+    res = materialize(A.resumes(spark, d), "resumes")
+    checked = matching.request_outcomes(A.analysis_requests(spark, d), res)
+    accepted = materialize(checked.filter(F.col("outcome") == matching.ACCEPTED), "requests")
+    return accepted, matching.match_report(accepted, res, _dictionary(spark, d))
 
 
 @register("match_report")
 def q_match_report(spark, d):
-    return matching.match_report(A.turn_pairs(spark, d), PAIR_KEYS, _dictionary(spark, d))
+    return _report(spark, d)[1]
 
 
 @register("analysis_json_out")
 def q_analysis_json_out(spark, d):
-    rep = matching.match_report(A.turn_pairs(spark, d), PAIR_KEYS, _dictionary(spark, d))
-    return matching.analysis_json(rep, PAIR_KEYS)
+    return matching.analysis_json(_report(spark, d)[1], ["request_id"])
 
 
 @register("analysis_append")
 def q_analysis_append(spark, d):
-    pairs = A.turn_pairs(spark, d)
-    rep = matching.match_report(pairs, PAIR_KEYS, _dictionary(spark, d))
-    return matching.analysis_rows(rep, pairs, PAIR_KEYS, "conv_id", AS_OF)
+    accepted, report = _report(spark, d)
+    return matching.analysis_rows(report, accepted, AS_OF)
 
 
 @register("score_eval")
 def q_score_eval(spark, d):
     dic = _dictionary(spark, d)
-    docs = read_table(spark, d, "documents", "doc_id", "text")
-    labelled = docs.join(read_table(spark, d, "labels", "doc_id"), "doc_id", "left_semi")
+    labels = read_table(spark, d, "labels", "doc_id", "quality")
+    texts = A.posting_texts(spark, d).withColumnRenamed("job_id", "doc_id")
+    labelled = texts.join(labels.select("doc_id"), "doc_id", "left_semi")
     found = skills.extract_skills(labelled, ["doc_id"], "text", dic)
-    ref = dic.filter(F.col("rank") <= REFERENCE_SKILLS)
-    return matching.score_eval(found, read_table(spark, d, "labels", "doc_id", "quality"), ref,
-                               REFERENCE_SKILLS)
+    return matching.score_eval(found, labels, dic)
+
+
+PAIR_KEYS = ["conv_id", "resume_turn"]
 
 
 @register("pair_scores")

@@ -84,6 +84,68 @@ def analyses(spark: SparkSession, sf_dir: str, newest: int | None = None) -> Dat
                     _level(F.col("o_orderpriority")).alias("level")))
 
 
+def _order_texts(spark: SparkSession, sf_dir: str, line: Column, only: Column | None = None) -> DataFrame:
+    """order_id, lines: one text line per line item of an order, in line order; ``line``
+    is an expression over p_name and l_linenumber. An order has a handful of line items,
+    so its text stays small."""
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    if only is not None:
+        li = li.filter(only)
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
+    rows = li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("l_orderkey").alias("order_id"), F.struct("l_linenumber", line.alias("line")).alias("item"))
+    return rows.groupBy("order_id").agg(
+        F.array_join(F.array_sort(F.collect_list("item")).getField("line"), "\n").alias("lines"))
+
+
+def _posting_line() -> Column:
+    """Every third line item is an optional skill, the rest are asked for."""
+    wish = F.col("l_linenumber") % 3 == 0
+    return F.when(wish, F.concat(F.lit("Nice to have: "), F.col("p_name"))).otherwise(
+        F.concat(F.lit("Must know "), F.upper(F.col("p_name")), F.lit(".")))
+
+
+def posting_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole posting texts with skill lines: every document, followed by a title line, a
+    company line and the lines of the order that has its id."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    lines = _order_texts(spark, sf_dir, _posting_line())
+    text = F.concat_ws("\n", F.col("text"), F.concat_ws(" ", F.lit("Title:"), "lang", "source"),
+                       F.concat_ws(" ", F.lit("Company:"), "source"), F.col("lines"))
+    return docs.join(lines, docs.doc_id == lines.order_id, "left").select(
+        F.col("doc_id").alias("job_id"), text.alias("text"))
+
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumes: one per order, of its customer, naming the skills of the line items that
+    were not returned."""
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    lines = _order_texts(spark, sf_dir, F.concat(F.lit("Built a "), F.col("p_name"), F.lit(", alone.")),
+                         F.col("l_returnflag") != "R")
+    return o.join(lines, o.o_orderkey == lines.order_id, "left").select(
+        F.col("o_orderkey").alias("resume_id"), F.col("o_custkey").alias("user_id"),
+        F.concat_ws("\n", F.lit("Experience"), F.col("lines")).alias("raw_text"))
+
+
+def analysis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to score a resume against a posting text: one per order, level from its
+    priority. Some lack the resume id, name one that does not exist or belongs to another
+    user, or carry a blank text; pending orders have no application."""
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
+                   "o_orderpriority")
+    lines = _order_texts(spark, sf_dir, _posting_line())
+    k = F.col("o_orderkey")
+    text = F.concat_ws("\n", F.concat(F.lit("Role: engineer "), F.col("o_orderstatus")),
+                       F.concat(F.lit("Company: house "), F.col("o_orderpriority")), F.col("lines"))
+    return o.join(lines, o.o_orderkey == lines.order_id, "left").select(
+        k.alias("request_id"),
+        F.when(k % 17 == 5, F.lit(None)).when(k % 23 == 7, -1 - k).otherwise(k).alias("resume_id"),
+        (F.col("o_custkey") + F.when(k % 13 == 3, 1).otherwise(0)).alias("user_id"),
+        F.when(F.col("o_orderstatus") != "P", k).alias("application_id"),
+        F.when(k % 11 == 4, F.lit(" \n")).otherwise(text).alias("jd_text"),
+        _level(F.col("o_orderpriority")).alias("level"))
+
+
 def _status(st: Column, pr: Column) -> Column:
     return (F.when(st == "F", F.when(pr.isin("1-URGENT", "2-HIGH"), "offer").otherwise("rejected"))
             .when(st == "O", F.when(pr == "1-URGENT", "interview")
