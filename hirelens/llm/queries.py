@@ -20,10 +20,10 @@ from hirelens.llm import (
     toxicity,
     vector_search,
 )
+from hirelens.llm.oracle import ORACLE  # noqa: F401 - read by the driver entry
 from hirelens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def _register(f):
