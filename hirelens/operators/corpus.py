@@ -24,12 +24,14 @@ def keep_first(postings: DataFrame, key: str = "job_id", order: str = "ingest",
     ``order``. Also returns ``n_raw``: all rows of the key before dropna (for A8).
 
     ``min_by`` ignores rows whose ordering value is null, which is how the dropna is
-    folded into the same aggregate."""
+    folded into the same aggregate. Rows of a key with equal ``order`` go by a hash of their
+    values, so a retried task keeps the same one."""
     valid = F.lit(True)
     for c in required:
         valid = valid & F.col(c).isNotNull()
     cols = [c for c in postings.columns if c not in (key, order)]
-    first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.when(valid, F.col(order)))
+    rank = F.struct(order, F.xxhash64(*cols).alias("tie"))
+    first = F.min_by(F.struct(*cols), F.when(valid & F.col(order).isNotNull(), rank))
     return (postings.groupBy(key)
             .agg(first.alias("_r"), F.count(F.lit(1)).alias("n_raw"))
             .select(key, "n_raw", "_r.*")

@@ -1,18 +1,19 @@
 """Join helpers.
 
-``join_dimension`` broadcasts the small side only after proving its size: it counts
-at most ``max_rows + 1`` rows of the (already projected) side. Past the bound it falls
-back to a plain join, which Spark plans as a shuffled sort-merge join (AQE may still
+``join_dimension`` broadcasts the small side only after proving its size: it counts the
+rows and adds up the bytes of at most ``max_rows + 1`` rows of the (already projected)
+side. Past either bound it falls back to a plain join, which Spark plans as a shuffled sort-merge join (AQE may still
 convert it at run time from measured sizes, and splits skewed partitions).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# About 1M narrow rows (a key and a short name) stay well under 100 MB per executor.
 DIMENSION_MAX_ROWS = 1_000_000
+DIMENSION_MAX_BYTES = 64 << 20      # of values, as they are counted by ``_row_bytes``
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -20,8 +21,27 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: texts and nested values by length, others 16 each."""
+    def size(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            return F.octet_length(F.col(f"`{f.name}`"))
+        if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            return F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`"))))
+        return F.lit(16)
+    return sum((F.coalesce(size(f), F.lit(0)) for f in df.schema.fields), F.lit(16))
+
+
+def is_small(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS,
+             max_bytes: int = DIMENSION_MAX_BYTES) -> bool:
+    """True when ``df`` holds at most ``max_rows`` rows of ``max_bytes`` bytes together."""
+    n, size = (df.limit(max_rows + 1).select(_row_bytes(df).cast("long").alias("b"))
+               .agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first())
+    return n <= max_rows and size <= max_bytes
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",

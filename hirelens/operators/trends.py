@@ -40,9 +40,8 @@ def recent_skill_counts(analyses: DataFrame, last_n: int = RECENT_ANALYSES,
 
 def weekly_trends(analyses: DataFrame) -> DataFrame:
     """Per (skill, Monday week): analyses naming the skill (once each) and all
-    analyses that week. One aggregation: a null skill row per analysis carries the
-    weekly total, spread to the week's rows by a window over week_of (a week's window
-    holds one row per distinct skill, bounded by the dictionary)."""
+    analyses that week. A null skill row per analysis carries the weekly total; the totals,
+    a row per week, are joined back, so a week's skills need not meet in one task."""
     exploded = analyses.select(
         week_monday(F.col("created_at")).alias("week_of"),
         F.explode(F.concat(F.array(F.lit(None).cast("string")),
@@ -50,12 +49,19 @@ def weekly_trends(analyses: DataFrame) -> DataFrame:
                                cleaned_list(skill_array(analyses, "required_skills")),
                                F.array().cast("array<string>"))))).alias("skill_name"))
     counts = exploded.groupBy("week_of", "skill_name").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    total = F.max(F.when(F.col("skill_name").isNull(), F.col("n"))).over(Window.partitionBy("week_of"))
-    return (counts.withColumn("source_count", total)
-            .filter(F.col("skill_name").isNotNull())
+    return (with_week_total(counts)
             .select("skill_name", "week_of", F.col("n").alias("frequency"), "source_count"))
 
 
+def with_week_total(counts: DataFrame) -> DataFrame:
+    """(week_of, skill_name, n) with the n of a week's null skill as ``source_count``. A
+    null week is a week of its own."""
+    total = (counts.filter(F.col("skill_name").isNull())
+             .select(F.col("week_of").alias("_week"), F.col("n").alias("source_count")))
+    return (counts.filter(F.col("skill_name").isNotNull())
+            .join(total, F.col("week_of").eqNullSafe(F.col("_week"))).drop("_week"))
+
+
 def rising_skills(trends: DataFrame) -> DataFrame:
     """Week-over-week change per skill over the weeks present. A skill's window holds
     one row per week, so it is bounded by the time span, not by the data volume."""

@@ -643,6 +643,15 @@ ORACLE["stream_weekly_trends"] = ORACLE["weekly_trends"]
 ORACLE["corpus_csv_roundtrip"] = ORACLE["category_top30"]
 ORACLE["corpus_artefacts"] = ORACLE["corpus_metadata"]
 
+ORACLE["resume_append"] = rf"""
+SELECT sha256(concat('resume_', conv_id, '_', turn, CASE WHEN turn = 0 THEN '.docx' ELSE '.DOCX' END)) AS id,
+       conv_id AS user_id,
+       concat('resume_', conv_id, '_', turn, CASE WHEN turn = 0 THEN '.docx' ELSE '.DOCX' END) AS file_name,
+       regexp_replace(text, '^\s+|\s+$', '', 'g') AS raw_text, []::VARCHAR[] AS extracted_skills,
+       TIMESTAMP '{AS_OF}' AS created_at
+FROM conversations
+WHERE role = 'user' AND turn IN (0, 2) AND regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> ''"""
+
 ORACLE["resume_intake_checks"] = r"""
 WITH f AS (
   SELECT 'resume_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) ||

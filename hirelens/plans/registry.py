@@ -338,9 +338,9 @@ def q_corpus_csv_roundtrip(spark, d):
     csvio.write_csv(A.job_skills(spark, d), f"{base}/job_skills")
     csvio.write_csv(A.skills(spark, d), f"{base}/skills")
     posts = csvio.read_csv(spark, f"{base}/postings", post_schema)
-    tags = csvio.read_csv(spark, f"{base}/job_skills", JOB_SKILLS).withColumn(
+    tags = csvio.read_csv(spark, f"{base}/job_skills", JOB_SKILLS, multi_line=False).withColumn(
         "skill_abr", F.col("skill_abr").cast("long"))
-    labels = csvio.read_csv(spark, f"{base}/skills", SKILLS).withColumn(
+    labels = csvio.read_csv(spark, f"{base}/skills", SKILLS, multi_line=False).withColumn(
         "skill_abr", F.col("skill_abr").cast("long"))
     return corpus.category_top(corpus.corpus_final(posts, tags, labels))
 
@@ -362,9 +362,19 @@ def q_corpus_artefacts(spark, d):
     final = materialize(_final(spark, d), "corpus-final")
     meta = corpus.corpus_metadata(final, TRAINED_AT, EMBEDDING_MODEL, EMBEDDING_DIM, written=True)
     base = sinks.write_corpus_artefacts(final, meta, shared_path(spark, "artefacts"))
-    return sinks.load_corpus_artefacts(spark, base)[1]
+    loaded = sinks.load_corpus_artefacts(spark, base)[1]
+    return loaded.withColumns({c: F.to_json(c) for c in sinks.NESTED})   # text, to compare
 
 
 @register("resume_intake_checks")
 def q_resume_intake_checks(spark, d):
     return intake.intake(_resume_files(spark, d))
+
+
+@register("resume_append")
+def q_resume_append(spark, d):
+    files = _resume_files(spark, d)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    sent = files.select(name.alias("file_name"),
+                        F.regexp_extract("path", r"resume_(\d+)_", 1).cast("long").alias("user_id"))
+    return intake.resume_rows(intake.intake(files), sent, AS_OF)

@@ -2,7 +2,8 @@
 
 Schemas are always given (never inferred). Descriptions hold newlines, so reads use
 multiLine with RFC-4180 quoting (the quote doubles as the escape) and writes quote the
-same way. After the scan, the missing-value tokens a pandas reader would treat as
+same way. A multi-line file is read by one task; tables without line breaks in their values
+are read with ``multi_line=False``, which splits a file over many. After the scan, the missing-value tokens a pandas reader would treat as
 missing are normalised to null, so dropna sees the same rows."""
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None,
-             max_rows: int | None = None) -> DataFrame:
-    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+             multi_line: bool = True) -> DataFrame:
+    options = CSV_OPTIONS | {"multiLine": str(multi_line).lower()}
+    df = spark.read.schema(schema).options(**options).csv(path)
     if columns:
         df = df.select(*columns)
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType):
             df = df.withColumn(f.name, F.when(~F.col(f.name).isin(*NA_TOKENS), F.col(f.name)))
-    return df.limit(max_rows) if max_rows is not None else df
+    return df
 
 
 def write_csv(df: DataFrame, path: str) -> None:

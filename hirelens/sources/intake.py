@@ -80,6 +80,14 @@ def intake(files: DataFrame) -> DataFrame:
                       F.when(accepted, F.array().cast("array<string>")).alias("extracted_skills"))
 
 
+def resume_rows(checked: DataFrame, uploads: DataFrame, as_of) -> DataFrame:
+    """The rows that accepted uploads append to the resumes table: a derived id, the
+    uploading user (``uploads``: file_name, user_id), the text, no skills yet, the time."""
+    ok = checked.filter(F.col("status") == "accepted").join(uploads, "file_name")
+    return ok.select(F.sha2("file_name", 256).alias("id"), "user_id", "file_name", "raw_text",
+                     "extracted_skills", F.lit(as_of).cast("timestamp_ntz").alias("created_at"))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """S10 scan: files as (path, content) rows."""
     return spark.read.format("binaryFile").load(path).select("path", "content")

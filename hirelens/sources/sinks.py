@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# the metadata record's nested values: JSON text in a DataFrame, objects in the stored record
+NESTED = {
+    "top_categories": T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("count", T.LongType())])),
+    "exp_distribution": T.MapType(T.StringType(), T.LongType()),
+}
+
 METADATA_SCHEMA = T.StructType([
     T.StructField("trained_at", T.StringType()),
     T.StructField("total_jds", T.LongType()),
     T.StructField("total_categories", T.LongType()),
-    T.StructField("top_categories", T.StringType()),
-    T.StructField("exp_distribution", T.StringType()),
+    T.StructField("top_categories", NESTED["top_categories"]),
+    T.StructField("exp_distribution", NESTED["exp_distribution"]),
     T.StructField("retrain_threshold", T.IntegerType()),
     T.StructField("analyses_since_retrain", T.IntegerType()),
     T.StructField("embedding_model", T.StringType()),
@@ -50,9 +57,10 @@ def rows_of_user(spark: SparkSession, view: str, user_id, status: str | None = N
 
 def write_corpus_artefacts(final: DataFrame, metadata: DataFrame, base: str) -> str:
     """S6 + S8: the corpus table (Parquet, one row per posting, so no positional lists)
-    and the one-row metadata record (JSON)."""
+    and the one-row metadata record (JSON, lists and maps as such)."""
     write_snapshot(final, f"{base}/corpus")
-    write_json_records(metadata, f"{base}/metadata")
+    nested = metadata.withColumns({c: F.from_json(c, t) for c, t in NESTED.items()})
+    write_json_records(nested, f"{base}/metadata")
     return base
 
 

@@ -19,11 +19,11 @@ boundary can make a row late. State holds one count per (week, skill) of that sp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.operators.trends import cleaned_list
+from hirelens.operators.trends import cleaned_list, with_week_total
 from hirelens.session import shared_path
 
 SOURCE_SCHEMA = T.StructType([
@@ -93,15 +93,13 @@ def run_weekly_stream(spark: SparkSession, source_dir: str, max_files: int | Non
 
 
 def read_weekly_table(spark: SparkSession, out: str) -> DataFrame:
-    """Current skill_trends rows from the sink: latest batch per (week, skill), weekly
-    total spread by a window over the week (bounded by the skills of one week)."""
+    """Current skill_trends rows from the sink: latest batch per (week, skill), the
+    weekly totals joined back."""
     raw = spark.read.parquet(out)
     cur = (raw.groupBy("w", "skill_name").agg(F.max_by("n", "batch_id").alias("n"))
            .withColumn("week_of", utc_date(F.col("w.start"))))
-    total = F.max(F.when(F.col("skill_name").isNull(), F.col("n"))).over(Window.partitionBy("week_of"))
-    return (cur.withColumn("source_count", total.cast("int"))
-            .filter(F.col("skill_name").isNotNull())
-            .select("skill_name", "week_of", F.col("n").cast("int").alias("frequency"), "source_count"))
+    return with_week_total(cur.select("week_of", "skill_name", F.col("n").cast("int").alias("n"))).select(
+        "skill_name", "week_of", F.col("n").alias("frequency"), "source_count")
 
 
 def late_rows(spark: SparkSession, source_dir: str, out: str) -> DataFrame:

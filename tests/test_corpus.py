@@ -60,3 +60,19 @@ def test_retrain_from_metadata(spark):
     assert (r.analyses, r.since, r.threshold, r.should_retrain) == (8, 3, 5, True)
     empty = spark.createDataFrame([], "retrain_threshold int, analyses_since_retrain int")
     assert trends.retrain_check_from_metadata(spark.range(49), empty).first().should_retrain is False
+
+
+def test_keep_first_breaks_ties_by_value(spark):
+    rows = [(1, "t", d, 0) for d in "abcdef"]
+    kept = {corpus.keep_first(spark.createDataFrame(rows[k:] + rows[:k], "job_id long, title string, "
+                                                    "description string, ingest int").repartition(3))
+            .first().description for k in range(4)}
+    assert len(kept) == 1
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    from hirelens.operators.joins import is_small
+    df = spark.createDataFrame([(i, "x" * 1000, [1, 2], None) for i in range(50)],
+                               "id long, `note.text` string, l array<int>, n string")
+    assert is_small(df) and not is_small(df, max_rows=49) and not is_small(df, max_bytes=50_000)
+    assert is_small(df.limit(0), max_rows=0)

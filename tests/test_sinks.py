@@ -32,3 +32,16 @@ def test_skill_list_as_json_text(spark):
                                "id long, created_at string, required_skills string")
     got = {r.skill: r.n for r in trends.recent_skill_counts(df).collect()}
     assert got == {"sql": 1, "go": 1}
+
+
+def test_metadata_record_is_nested_json(spark, tmp_dir):
+    from hirelens.operators.corpus import corpus_metadata
+    final = spark.createDataFrame([(i, "x", ["sql", "go"][: 1 + i % 2]) for i in range(24)],
+                                  "job_id long, exp_level string, skill_categories array<string>")
+    base = sinks.write_corpus_artefacts(final, corpus_metadata(final, "2024-06-03 09:30:00", "m", 4), f"{tmp_dir}/art")
+    record = json.loads(spark.read.text(f"{base}/metadata").first()[0])
+    assert record["top_categories"] == [{"name": "sql", "count": 24}, {"name": "go", "count": 12}]
+    assert record["exp_distribution"] == {"x": 24}
+    loaded = sinks.load_corpus_artefacts(spark, base)[1].first()
+    assert loaded.top_categories[1]["count"] == 12
+    assert loaded.exp_distribution == {"x": 24}
