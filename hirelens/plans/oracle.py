@@ -643,6 +643,33 @@ ORACLE["stream_weekly_trends"] = ORACLE["weekly_trends"]
 ORACLE["corpus_csv_roundtrip"] = ORACLE["category_top30"]
 ORACLE["corpus_artefacts"] = ORACLE["corpus_metadata"]
 
+def weights_sql(src: str, key: str, text: str) -> str:
+    return f"""
+tc AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest({toks_sql(text)}) AS term FROM {src})
+       GROUP BY ALL),
+vocab AS (SELECT term, ln(CAST((SELECT count(*) FROM {src}) + 1 AS DOUBLE) / (count(*) + 1)) AS idf
+          FROM tc GROUP BY term),
+rw AS (SELECT {key}, term, tf * idf AS w FROM tc JOIN vocab USING (term)),
+weights AS (SELECT {key}, term, coalesce(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY {key})), 0), 0.0) AS weight
+            FROM rw)"""
+
+
+ORACLE["term_vectors"] = f"""
+WITH {CORPUS_CTES}, {weights_sql('final', 'job_id', 'clean_description')}
+SELECT job_id, term, round(weight, 6) AS weight FROM weights"""
+
+ORACLE["request_cosines"] = f"""
+WITH {REQUESTS_CTE},
+both_texts AS (SELECT 'r' || resume_id AS text_id, raw_text AS text FROM resumes
+               UNION ALL SELECT 'q' || request_id, jd_text FROM accepted),
+{weights_sql('both_texts', 'text_id', 'text')},
+dots AS (SELECT request_id, sum(a.weight * b.weight) AS dot
+         FROM accepted JOIN weights a ON a.text_id = 'r' || resume_id
+         JOIN weights b ON b.text_id = 'q' || request_id AND b.term = a.term GROUP BY request_id),
+sc AS (SELECT request_id, round(greatest(0.0, least(1.0, coalesce(dot, 0.0))), 6) AS score
+       FROM accepted LEFT JOIN dots USING (request_id))
+SELECT request_id, score, CAST(round_even(score * 100, 0) AS INTEGER) AS percent FROM sc"""
+
 ORACLE["resume_append"] = rf"""
 SELECT sha256(concat('resume_', conv_id, '_', turn, CASE WHEN turn = 0 THEN '.docx' ELSE '.DOCX' END)) AS id,
        conv_id AS user_id,

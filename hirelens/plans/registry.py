@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from hirelens.functions.jsonparse import get_or_default, parse_replies
 from hirelens.functions.text import with_clean_text
 from hirelens.operators import changes as CH
-from hirelens.operators import corpus, matching, skills, tracker, trends, vectors
+from hirelens.operators import corpus, matching, skills, term_vectors, tracker, trends, vectors
 from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, TOP_MATCHES,
                                    TRAINED_AT)
 from hirelens.schemas import JOB_SKILLS, POSTINGS, RECENT_ANALYSES, SKILLS
@@ -328,6 +328,29 @@ def q_tfidf_vectors(spark, d):
     return vectors.tfidf_vectors(_final(spark, d), "job_id", "clean_description", EMBEDDING_DIM)
 
 
+@register("term_vectors")
+def q_term_vectors(spark, d):
+    w = term_vectors.term_weights(_final(spark, d), "job_id", "clean_description")
+    return w.withColumn("weight", F.round("weight", 6))
+
+
+@register("request_cosines")
+def q_request_cosines(spark, d):
+    """Every accepted request: cosine of its resume's and its posting's term vectors, with
+    document frequencies over both kinds of text."""
+    res = materialize(A.resumes(spark, d), "resumes")
+    checked = matching.request_outcomes(A.analysis_requests(spark, d), res)
+    asked = materialize(checked.filter(F.col("outcome") == matching.ACCEPTED), "requests")
+    texts = (res.select(F.concat(F.lit("r"), "resume_id").alias("text_id"), F.col("raw_text").alias("text"))
+             .unionByName(asked.select(F.concat(F.lit("q"), "request_id").alias("text_id"),
+                                       F.col("jd_text").alias("text"))))
+    weights = materialize(term_vectors.term_weights(texts, "text_id", "text"), "term-weights")
+    pairs = asked.select("request_id", F.concat(F.lit("r"), "resume_id").alias("resume"),
+                         F.concat(F.lit("q"), "request_id").alias("posting"))
+    return term_vectors.pair_cosines(pairs, "resume", "posting", weights, "text_id").select(
+        "request_id", "score", "percent")
+
+
 @register("corpus_csv_roundtrip")
 def q_corpus_csv_roundtrip(spark, d):
     """Writes the posting, tag and label tables as CSV, reads them back with fixed

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from hirelens.plans.registry import QUERIES
 
 D = "/root/testdata/sf0.001"
-PYTHON_OK = {"top_matches", "resume_intake_checks", "tfidf_vectors", "stream_weekly_trends",
+PYTHON_OK = {"top_matches", "resume_intake_checks", "resume_append", "tfidf_vectors", "stream_weekly_trends",
              "corpus_csv_roundtrip"}
 
 
