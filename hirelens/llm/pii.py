@@ -42,6 +42,7 @@ WINDOW = 10
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 SLOTS = 20
+HELD_TERMS = 1 << 19  # terms a task sums up before it hands them on: 8 MB
 KINDS = ("email", "ip", "card", "phone", "term")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -152,6 +153,7 @@ def term_counts(docs: DataFrame, wanted: np.ndarray, slots: int = SLOTS) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         on = np.unpackbits(shared.value).astype(bool)
+        held, counts = np.empty(0, np.uint64), np.empty(0)  # summed over a task's batches
         for b in batches:
             parts = [np.empty(0, np.uint64)]
             for w in hash_docs(b["text"]):
@@ -161,8 +163,13 @@ def term_counts(docs: DataFrame, wanted: np.ndarray, slots: int = SLOTS) -> Data
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 parts.append(h[new])
-            terms, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"term": terms.view(np.int64), "df": n})
+            terms, n = np.unique(np.concatenate([held, *parts]), return_inverse=True)
+            sums = np.bincount(n, np.concatenate([counts, np.ones(len(n) - len(held))]), len(terms))
+            held, counts = terms, sums
+            if len(held) > HELD_TERMS:
+                yield pd.DataFrame({"term": held.view(np.int64), "df": counts.astype(np.int64)})
+                held, counts = held[:0], counts[:0]
+        yield pd.DataFrame({"term": held.view(np.int64), "df": counts.astype(np.int64)})
 
     return docs.select("text").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
