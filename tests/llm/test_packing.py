@@ -30,6 +30,30 @@ def test_ids_equal_those_of_tokenizers(text):
     assert own == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def contract():
+    """As the contract calls it: added tokens inside a text are ids of their own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(parts=st.lists(st.one_of(st.text(max_size=20), st.sampled_from(["<|endoftext|>", "<|endof", " ", "\n"]))))
+def test_added_tokens_are_ids_of_their_own(contract, parts):
+    text = "".join(parts)
+    assert packing.encode(text, packing.default_vocabulary()) == contract(text)
+
+
+def test_rows_with_an_added_token(spark, contract):
+    text = "a <|endoftext|> b"
+    assert contract(text) == [64, 220, 50256, 275]
+    row, = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.length == 5
+    assert row.ids_crc32 == zlib.crc32(np.array([*contract(text), 0], "<u4").tobytes())
+
+
 def check(rows: pd.DataFrame, size=packing.SIZE):
     for _, s in rows.groupby("sequence_id"):
         s = s.sort_values("offset")
