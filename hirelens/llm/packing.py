@@ -15,7 +15,9 @@ many blocks leave open still meets.
 Tokenizing uses the ranks of the same byte-level vocabulary as ``byte_bpe_50k.json`` through
 ``tiktoken``, about five times as fast as ``tokenizers``. The ids are those that ``tokenizers``
 gives with add_special_tokens=False (tests hold them equal): an added token of the JSON that
-stands in a text, such as ``<|endoftext|>``, is its one id.
+stands in a text, such as ``<|endoftext|>``, is its one id. The regular expressions of
+``tiktoken`` fail on runs of some 1,000,000 white-space characters, so a text with a run of
+``2 * SPACES`` or more goes to ``tokenizers`` itself.
 
 Edge cases: a null or empty text is the single id 0; repeated rows are packed as often as they
 occur; null ids are packed; an empty table gives no sequence; other columns are ignored.
@@ -39,6 +41,7 @@ from hirelens.llm.common import materialize
 SIZE = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK, FAN = 16384, 16
+SPACES = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -62,8 +65,22 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path(VOCABULARY))
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(str(Path(path).with_suffix(".json")))
+
+
+def _spacious(text: str) -> bool:
+    """True for every text with a run of 2 * SPACES white-space characters or more: such a run
+    fills one of the slices that start at multiples of SPACES."""
+    return any(text[at:at + SPACES].isspace() for at in range(0, len(text) - SPACES + 1, SPACES))
+
+
 def encode(text: str, path: str) -> list[int]:
     """The ids of a text, with added tokens as ids of their own."""
+    if _spacious(text):
+        return _tokenizer(path).encode(text, add_special_tokens=False).ids
     return _encoder(path).encode(text, allowed_special="all")
 
 

@@ -54,6 +54,25 @@ def test_rows_with_an_added_token(spark, contract):
     assert row.ids_crc32 == zlib.crc32(np.array([*contract(text), 0], "<u4").tobytes())
 
 
+@pytest.mark.parametrize("text", [
+    " " * 1_000_100, "a" + "\n" * 2_000_000 + "b", "a <|endoftext|>" + "\u3000\t" * 600_000 + " b"])
+def test_very_long_white_space(contract, text):
+    assert packing.encode(text, packing.default_vocabulary()) == contract(text)
+
+
+def test_every_long_run_is_seen():
+    n = packing.SPACES
+    assert all(packing._spacious("x" * at + " " * (2 * n) + "x") for at in (0, 1, n - 1, n, n + 1))
+    assert not packing._spacious(" " * (n - 1)) and not packing._spacious("x " * 2 * n)
+
+
+def test_rows_with_very_long_white_space(spark, contract):
+    text = "a" + " " * 1_500_000 + "b"
+    rows = packing.pack_documents(spark.createDataFrame([(1, text), (2, "c")], "doc_id long, text string")).toPandas()
+    check(rows)
+    assert rows[rows.doc_id == 1].length.sum() == len(contract(text)) + 1
+
+
 def check(rows: pd.DataFrame, size=packing.SIZE):
     for _, s in rows.groupby("sequence_id"):
         s = s.sort_values("offset")
