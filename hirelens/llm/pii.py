@@ -1,16 +1,21 @@
 """Personal data: patterns for protected entities, and information-theoretic sanitisation.
 
-Entities (e-mail and IP addresses, card and phone numbers) are found by pattern. What stands
-around them can give them away, so the words within ``WINDOW`` words of a mention are weighed
-by corpus co-occurrence. With df the number of documents that hold a thing, co those in which
-term t stands near entity e, and N all documents,
+Entities (e-mail and IP addresses, card and phone numbers) are found by pattern. What comes
+with them can give them away, so all words of the documents that hold an entity are weighed
+by corpus co-occurrence. With df the number of documents that hold a thing, co those that hold
+both term t and entity e, and N all documents,
 
     disclosure(t, e) = log2(N co / (df(t) df(e))) / log2(N / df(e)),
 
 the pointwise mutual information over the entity's own information: 1 if the term always
-comes with the entity. Terms seen near an entity in ``SUPPORT`` documents or more whose disclosure
-reaches ``GENERALISE`` become spans of kind ``term``; in the sanitised text they are
-generalised to their shape, or removed from ``REMOVE`` on.
+comes with the entity. Terms that come with an entity in ``SUPPORT`` documents or more and whose
+disclosure reaches ``GENERALISE`` become spans of kind ``term`` wherever they stand in a document
+that holds the entity; in the sanitised text they are generalised to their shape, or removed
+from ``REMOVE`` on.
+
+An entity in fewer than ``SUPPORT`` documents has no such term, so only documents with other
+entities are weighed. Entities that stand in the same documents have the same co and df with
+every term and are weighed as one group. A document gives a row per group and distinct term.
 
 Terms are counted over all documents, but only those that could matter: the documents are read
 a second time, and a word is counted if its slot of a bitmap of ``2**SLOTS`` bits is set by a
@@ -38,7 +43,6 @@ from pyspark.sql import functions as F
 
 from hirelens.llm.common import WORD, doc_columns, hash_docs, map_text, materialize
 
-WINDOW = 10
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 SLOTS = 20
@@ -113,38 +117,48 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest()) >> 1
 
 
-def context(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple]:
-    """(entity, term, start, end) of the words within ``window`` words of each entity; words
-    that overlap an entity are not terms."""
+def places(text: str) -> list[tuple[int, int, int]]:
+    """(term, start, end) of the words of a text; words that overlap an entity are not terms."""
     words = [m.span() for m in _WORD.finditer(text)]
     hashes = np.concatenate([w.hashes for w in hash_docs([text])]).view(np.int64)
     starts, ends = [w[0] for w in words], [w[1] for w in words]
     taken = np.zeros(len(words), bool)
-    near = []
-    for s, kind, e in spans:
-        first, last = bisect.bisect_right(ends, s), bisect.bisect_left(starts, e)
-        taken[first:last] = True
-        near.append((_entity(kind, text[s:e]), first, last))
-    return [(entity, int(hashes[i]), *words[i]) for entity, first, last in near
-            for i in (*range(max(0, first - window), first), *range(last, min(len(words), last + window)))
-            if not taken[i]]
-
-
-def base_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, th, spans (start, kind, end), near (entity, term, start, end), entities."""
+    for s, _, e in find(text):
+        taken[bisect.bisect_right(ends, s):bisect.bisect_left(starts, e)] = True
+    return [(h, *w) for h, w, t in zip(hashes.tolist(), words, taken.tolist()) if not t]
+
+
+def base_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, th, spans (start, kind, end), entities, and the text where there are any."""
     def run(texts: list) -> list:
-        spans, near, entities = [], [], []
-        for t in texts:
-            found = find(t)
-            spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-            near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in context(t, found, window)]
-                        if found else [])
-            entities.append(sorted({_entity(k, t[s:e]) for s, k, e in found}))
-        return [spans, near, entities]
+        found = [find(t) for t in texts]
+        return [[[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in found],
+                [sorted({_entity(k, t[s:e]) for s, k, e in x}) for t, x in zip(texts, found)],
+                [t if x else None for t, x in zip(texts, found)]]
 
     keyed = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("th"))
-    return map_text(keyed, ["doc_id", "th"], "spans array<struct<start:int,kind:int,end:int>>, near array<struct<"
-                    "entity:long,term:long,start:int,end:int>>, entities array<long>", run)
+    return map_text(keyed, ["doc_id", "th"], "spans array<struct<start:int,kind:int,end:int>>, entities array<long>, "
+                    "held string", run)
+
+
+def terms(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """row, groups and the distinct terms of the documents with an entity that stands in
+    ``support`` documents or more; a group is the number of its documents and a hash of them."""
+    each = found.select("row", F.explode("entities").alias("entity"))
+    group = F.struct("de", "a", "b")
+    sets = (each.groupBy("entity").agg(F.count(F.lit(1)).alias("de"), F.bit_xor(F.xxhash64("row")).alias("a"),
+                                       F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b"))
+            .where(F.col("de") >= support).select("entity", group.alias("group")))
+    groups = each.join(sets, "entity").groupBy("row").agg(F.collect_set("group").alias("groups"))
+    held = found.where(F.col("held").isNotNull()).select("row", "held").join(groups, "row")
+    return map_text(held, ["row", "groups"], "terms array<long>",
+                    lambda texts: [[sorted({p[0] for p in places(t)}) for t in texts]], "held")
+
+
+def _group_terms(of: DataFrame) -> DataFrame:
+    """(row, group, term) of every document."""
+    return (of.select("row", "terms", F.explode("groups").alias("group"))
+            .select("row", "group", F.explode("terms").alias("term")))
 
 
 def term_counts(docs: DataFrame, wanted: np.ndarray, slots: int = SLOTS) -> DataFrame:
@@ -174,34 +188,39 @@ def term_counts(docs: DataFrame, wanted: np.ndarray, slots: int = SLOTS) -> Data
     return docs.select("text").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE,
+def disclosures(of: DataFrame, docs: DataFrame, total: int, support: int = SUPPORT, least: float = GENERALISE,
                 slots: int = SLOTS) -> DataFrame:
-    """(entity, term, disclosure) of the terms that give an entity away."""
-    pairs = (found.where(F.size("near") > 0)
-             .select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x.entity, x.term)))).alias("p"))
-             .groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("co")).where(F.col("co") >= support))
+    """(group, term, disclosure) of the terms that give the entities of a group away."""
+    pairs = (_group_terms(of).groupBy("group", "term").agg(F.count(F.lit(1)).alias("co"))
+             .where(F.col("co") >= support))
     pairs = materialize(pairs, "pairs")
     slot = F.shiftrightunsigned("term", 64 - slots).cast("int")
     wanted = np.zeros(1 << slots, bool)
     wanted[[r[0] for r in pairs.select(slot.alias("s")).distinct().collect()]] = True  # at most 2**slots rows
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
-    total = found.count()
-    score = (F.log2(F.lit(float(total)) * F.col("co") / (F.col("df") * F.col("de")))
-             / F.log2(F.lit(float(total)) / F.col("de")))
-    return (pairs.join(term_counts(docs, wanted, slots), "term").join(entities, "entity")
-            .where(F.col("de") < total)
-            .select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= least))
-
-
-def _added(found: DataFrame, telling: DataFrame) -> DataFrame:
-    """(doc_id, th, added): the spans of telling terms of each document that has any."""
-    near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select(
-        "doc_id", "th", "x.entity", "x.term", "x.start", "x.end")
+    score = (F.log2(F.lit(float(total)) * F.col("co") / (F.col("df") * F.col("group.de")))
+             / F.log2(F.lit(float(total)) / F.col("group.de")))
+    return (pairs.join(term_counts(docs, wanted, slots), "term").where(F.col("group.de") < total)
+            .select("group", "term", score.alias("disclosure")).where(F.col("disclosure") >= least))
+
+
+def _added(found: DataFrame, of: DataFrame, telling: DataFrame) -> DataFrame:
+    """(row, added): the spans of telling terms, wherever they stand, of each document that
+    has any."""
     telling = materialize(telling, "disclosures")
-    return (near.join(telling, ["entity", "term"])
-            .groupBy("doc_id", "th", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-            .groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end",
-                                                                 "disclosure")).alias("added")))
+    own = (_group_terms(of).join(telling, ["group", "term"])
+           .groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+           .groupBy("row").agg(F.collect_list(F.struct("term", "disclosure")).alias("telling")))
+
+    def run(rows: list) -> list:
+        out = []
+        for r in rows:
+            score = {x["term"]: x["disclosure"] for x in r["telling"]}
+            out.append([{"start": s, "kind": KINDS.index("term"), "end": e, "disclosure": score[t]}
+                        for t, s, e in places(r["held"]) if t in score])
+        return [out]
+
+    marked = found.select("row", "held").join(own, "row").select("row", F.struct("held", "telling").alias("x"))
+    return map_text(marked, ["row"], "added array<struct<start:int,kind:int,end:int,disclosure:double>>", run, "x")
 
 
 def _joined(spans: Column) -> Column:
@@ -213,11 +232,10 @@ def _joined(spans: Column) -> Column:
 def _all_spans(docs: DataFrame) -> DataFrame:
     """doc_id, th, spans and added of every row."""
     docs = doc_columns(docs, "doc_id", "text")
-    found = materialize(base_spans(docs), "spans")
-    added = materialize(_added(found, disclosures(found, docs)), "added")
-    added = added.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "added")
-    return found.join(added, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("th").eqNullSafe(F.col("__th")),
-                      "left").select("doc_id", "th", "spans", "added")
+    found = materialize(base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
+    of = materialize(terms(found), "terms")
+    added = materialize(_added(found, of, disclosures(of, docs, found.count())), "added")
+    return found.join(added, "row", "left").select("doc_id", "th", "spans", "added")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

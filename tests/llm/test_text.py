@@ -66,6 +66,28 @@ def test_telling_terms(spark):
     assert text[0] == "the    <email> the  0" and text[15] == rows[8][1] and text[40] == "rare <email> the the"
 
 
+def test_telling_terms_are_marked_wherever_they_stand(spark):
+    # the name stands next to the address, in the heading and far behind; "heron" always far off
+    far = lambda i, c: " ".join(f"{c}{i}x{k}" for k in range(30))
+    rows = [(i, f"bluehouse {far(i, 'a')} bluehouse ann@x.org {far(i, 'b')} bluehouse heron") for i in range(3)]
+    rows += [(10 + i, f"the other text {i} the") for i in range(20)] + [(40, "bluehouse without an address")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    text = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for i in range(3):
+        assert got[i].n_term == 4
+        assert text[i] == f"x {far(i, 'a')} x <email> {far(i, 'b')} x "
+    assert got[40].n_term == 0 and text[40] == rows[-1][1]
+
+
+def test_entities_of_the_same_documents_are_one_group(spark):
+    rows = [(i, f"ann@x.org bob@y.org heron {i} +49 30 123456{i}") for i in range(3)] + [(9, "a text")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.base_spans(docs).withColumn("row", pii.F.monotonically_increasing_id())
+    assert [(len(r.groups), r.groups[0].de) for r in pii.terms(found).collect()] == [(1, 3)] * 3
+    assert {r.n_term for r in pii.personal_data(docs).collect()} == {0, 1}
+
+
 def test_shape_generalises():
     assert pii.shape("Bluehouse-42") == "Xx-0"
 
