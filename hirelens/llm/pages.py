@@ -6,7 +6,10 @@ inside links, its density of stop words and the elements it stands in.
 Pass 1 decides what it can: blocks in navigation, headers, footers, sidebars, forms, notices,
 adverts, scripts, styles or reader comments (by element, or by class, id or role) are
 boilerplate, as are blocks with many links; where a page marks its article, blocks outside
-are boilerplate too. Long blocks and blocks of prose (by stop words) are content. Headings and
+are boilerplate too. A class, id or role names boilerplate if one of its tokens consists of such
+words and of words of place or layout alone ("site-footer", not "has-sidebar" or
+"search-results"). An article or main element is never boilerplate by its own name, and an
+element around one only if the page has prose in an article elsewhere. Long blocks and blocks of prose (by stop words) are content. Headings and
 short blocks without such a sign stay open.
 
 Pass 2 looks from each open block to the nearest block on either side, within the same
@@ -52,30 +55,49 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
 #: Words of class, id or role that name boilerplate.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice|alert|popup|"
-    r"modal|overlay|newsletter|subscribe|signup|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumb\w*|footer|"
+    r"(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice|alert|popups?|"
+    r"modal|overlay|newsletter|subscribe|signup|sidebars?|side|widgets?|menus?|nav|navbar|navigation|breadcrumb\w*|footer|"
     r"header|masthead|comment|comments|disqus|respond|share|sharing|social|related|recommend\w*|pagination|pager|"
-    r"toolbar|search|login|complementary|contentinfo|banner|dialog)(?=$|[\s_-])", re.I)
+    r"toolbar|search|login|complementary|contentinfo|dialog)", re.I)
+#: Words that may stand beside them in a token: they say where or in which form, not what.
+PLACES = re.compile(
+    r"[0-9x]*|[a-z]|js|site|page|main|global|top|bottom|left|right|upper|lower|primary|secondary|first|last|"
+    r"mobile|desktop|sticky|fixed|inner|outer|lists?|items?|links?|buttons?|btn|icons?|bar|box|boxes|blocks?|"
+    r"container|wrapper|wrap|area|zone|section|group|row|col|column|panel|slot|unit|form|field|input|body|"
+    r"posts|articles|stories|reply|thread", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def names_boilerplate(named: str) -> bool:
+    """Whether one of the tokens of class, id or role values names boilerplate."""
+    for token in named.split():
+        parts = re.split("[_-]+", token)
+        bad = [NAMES.fullmatch(p) for p in parts]
+        if any(bad) and all(b or PLACES.fullmatch(p) for b, p in zip(bad, parts)):
+            return True
+    return False
+
+
 class Block:
-    """Text of one block, the number of its characters in links, and where it stands."""
+    """Text of one block, the number of its characters in links, and where it stands;
+    ``around``: in an element whose name is boilerplate, but which has an article in it."""
 
-    __slots__ = ("text", "linked", "hidden", "bad", "article", "heading")
+    __slots__ = ("text", "linked", "hidden", "bad", "article", "heading", "around")
 
     def __init__(self, text: str, linked: int, hidden: bool, bad: bool, article: int, heading: bool):
         self.text, self.linked, self.hidden, self.bad = text, linked, hidden, bad
-        self.article, self.heading = article, heading
+        self.article, self.heading, self.around = article, heading, False
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, boilerplate, article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, hidden, boilerplate, article, named
+    names: list[list[bool]] = []  # of the open elements named boilerplate: whether an article is inside
+    within: list[list[bool] | None] = []  # the innermost of those, for each block
     parts: list[str] = []
     links = 0
     linked = 0
@@ -89,12 +111,15 @@ def blocks(page: str) -> list[Block]:
             heading = any(re.fullmatch("h[1-6]", s[0]) for s in stack[-3:])
             out.append(Block(text, linked, depth["hidden"] > 0, depth["bad"] > 0,
                              articles if depth["article"] else 0, heading))
+            within.append(names[-1] if names else None)
         parts.clear()
         linked = 0
 
     def leave(upto: int) -> None:
         while len(stack) > upto:
-            _, hidden, bad, article = stack.pop()
+            _, hidden, bad, article, named = stack.pop()
+            if named:
+                names.pop()
             depth["hidden"] -= hidden
             depth["bad"] -= bad
             depth["article"] -= article
@@ -132,8 +157,8 @@ def blocks(page: str) -> list[Block]:
         if tag[3].rstrip().endswith("/") and name in HIDDEN:
             continue
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(tag[3]))
-        entry = (name, name in HIDDEN, name in BOILERPLATE or bool(named and name not in ("html", "body")
-                                                                 and NAMES.search(named)), name in ARTICLE)
+        entry = (name, name in HIDDEN, name in BOILERPLATE, name in ARTICLE,
+                 bool(named) and name not in ("html", "body") and name not in ARTICLE and names_boilerplate(named))
         if name in RAW:  # no markup inside: skip to its own end
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
             at = end.start() if end else n
@@ -142,17 +167,27 @@ def blocks(page: str) -> list[Block]:
             continue
         if entry[3] and not depth["article"]:
             articles += 1
+        if entry[3]:
+            for around in reversed(names):
+                if around[0]:
+                    break  # and so are those around it
+                around[0] = True
+        if entry[4]:
+            names.append([False])
         stack.append(entry)
         depth["hidden"] += entry[1]
         depth["bad"] += entry[2]
         depth["article"] += entry[3]
     close()
+    for b, name in zip(out, within):
+        if name:
+            b.around = name[0]
+            b.bad = b.bad or not name[0]
     return out
 
 
 def label(found: list[Block], stop: frozenset[str]) -> list[bool]:
     """Whether each block is content."""
-    has_article = any(b.article and not b.bad and not b.hidden for b in found)
     state: list[bool | None] = []  # by its text; None: open
     for b in found:
         words = b.text.lower().split()
@@ -163,7 +198,12 @@ def label(found: list[Block], stop: frozenset[str]) -> list[bool]:
             state.append(True)
         else:
             state.append(None)
-    placed = [not (b.hidden or b.bad or has_article and not b.article) for b in found]
+    shown = [not (b.hidden or b.bad) for b in found]
+    # names around articles count where the page has prose in another article
+    elsewhere = any(ok and s and b.article and not b.around for ok, s, b in zip(shown, state, found))
+    shown = [ok and not (elsewhere and b.around) for ok, b in zip(shown, found)]
+    has_article = any(ok and b.article for ok, b in zip(shown, found))
+    placed = [ok and (not has_article or b.article > 0) for ok, b in zip(shown, found)]
     near = [_nearest(found, state, placed, step) for step in (1, -1)]
     return [ok and (s if s is not None else True in around or False not in around)
             for ok, s, *around in zip(placed, state, *near)]

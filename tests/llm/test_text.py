@@ -144,6 +144,24 @@ def test_main_text(page, want):
     assert pages.main_text(page, {"": frozenset(["the", "of"])}) == want
 
 
+PROSE = ("the a of and " * 20).strip()
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div class='content has-sidebar'><p>{PROSE}</p></div>", PROSE),
+    (f"<div class='no-sidebar main'><p>{PROSE}</p><div class='sidebar'>{PROSE}</div></div>", PROSE),
+    (f"<article class='post comments-open'><p>{PROSE}</p></article>", PROSE),
+    (f"<div class='search-results'><p>{PROSE}</p></div>", PROSE),
+    (f"<article class='related'><p>{PROSE}</p></article>", PROSE),
+    (f"<div id='search'><div class='widget'><main><p>{PROSE}</p></main></div><p>{PROSE}</p></div>", PROSE),
+    (f"<p>{PROSE}</p><div class='site-footer'>{PROSE}</div><div class='ad-300x250'>{PROSE}</div>", PROSE),
+    (f"<main><p>{PROSE}</p></main><div class='comments'><article><p>first {PROSE}</p></article></div>", PROSE),
+    (f"<article><p>{PROSE}</p><div class='share-buttons'>{PROSE}</div></article>", PROSE),
+])
+def test_names_of_wrappers_do_not_drop_their_article(page, want):
+    assert pages.main_text(page, {"": frozenset(["the", "of"])}) == want
+
+
 def test_pages_give_their_articles(spark, sf):
     from hirelens.sources.tables import read_table
     table = read_table(spark, sf, "pages")
