@@ -17,7 +17,9 @@ article or outside it, whose text (not its element) has decided it. The open blo
 their label; if they differ, or if there is none, it is content.
 
 Stop words are not a fixed list: they are the commonest words of the whole table, per language
-of the page as it states it, so the rules work for any language. Character references are
+of the page as its html tag states it, so the rules work for any language. The ``LANGUAGES``
+languages with the most words have lists of their own, all others share one, so that the lists
+have a bound however many languages a crawl makes up. Character references are
 decoded, white space in a block becomes one space, blocks are joined by a line feed; nothing
 else is dropped and nothing is cut short.
 
@@ -38,9 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import map_text
+from hirelens.llm.common import map_text, materialize
 
 STOP_WORDS = 50  # per language
+LANGUAGES = 1000  # with stop words of their own
+OTHERS = "*"  # stands for all others: no page states it, as a stated language has letters only
 LINK_DENSITY, STOP_DENSITY, LONG = 0.5, 0.2, 200
 
 # Element names of HTML.
@@ -67,7 +71,8 @@ PLACES = re.compile(
     r"posts|articles|stories|reply|thread", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -221,13 +226,19 @@ def _nearest(found: list[Block], state: list, placed: list[bool], step: int) ->
 
 
 def page_lang(page: str | None) -> str:
-    m = _LANG.search((page or "")[:2000])
-    return m[1].lower() if m else ""
-
-
-def stop_words(pages: DataFrame, top: int = STOP_WORDS) -> dict[str, frozenset[str]]:
-    """The ``top`` commonest words of each language over all pages: each partition counts,
-    the counts are added up, and only the top of each language reaches the driver."""
+    """The language that the page's html tag states, wherever it stands outside comments."""
+    if page and _HTML.search(page):
+        for tag in _TAG.finditer(page):
+            if not tag[1] and (tag[2] or "").lower() == "html":
+                m = _LANG.search(tag[3])
+                return m[1].lower() if m else ""
+    return ""
+
+
+def stop_words(pages: DataFrame, top: int = STOP_WORDS, languages: int = LANGUAGES) -> dict[str, frozenset[str]]:
+    """The ``top`` commonest words over all pages of each of the ``languages`` languages with
+    the most words, and of all others together: each partition counts, the counts are added
+    up, and at most ``top`` words of these reach the driver."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: Counter = Counter()
@@ -239,24 +250,32 @@ def stop_words(pages: DataFrame, top: int = STOP_WORDS) -> dict[str, frozenset[s
             rows = [(lang, w, n) for (lang, w), n in seen.items() if w]
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
+    counts = materialize(pages.select(pages["html"]).mapInPandas(count, "lang string, word string, n long")
+                         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    out: dict[str, set] = {r["lang"]: set()
+                           for r in sizes.orderBy(F.col("n").desc(), "lang").limit(languages).collect()}
+    if len(out) == languages and sizes.count() > languages:
+        counts = (counts.withColumn("lang", F.when(F.col("lang").isin(list(out)), F.col("lang")).otherwise(OTHERS))
+                  .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
-    rows = (pages.select(pages["html"]).mapInPandas(count, "lang string, word string, n long")
-            .groupBy("lang", "word").agg(F.sum("n").alias("n"))
-            .withColumn("r", rank).where(F.col("r") <= top).select("lang", "word").collect())
-    out: dict[str, set] = {}
-    for r in rows:
+    for r in counts.withColumn("r", rank).where(F.col("r") <= top).select("lang", "word").collect():
         out.setdefault(r["lang"], set()).add(r["word"])
     return {k: frozenset(v) for k, v in out.items()}
 
 
+def _stop(page: str | None, stop: dict[str, frozenset[str]]) -> frozenset[str]:
+    return stop.get(page_lang(page), stop.get(OTHERS, frozenset()))
+
+
 def main_text(page: str | None, stop: dict[str, frozenset[str]]) -> str:
     found = blocks(page or "")
-    return "\n".join(b.text for b, good in zip(found, label(found, stop.get(page_lang(page), frozenset()))) if good)
+    return "\n".join(b.text for b, good in zip(found, label(found, _stop(page, stop))) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    stop = pages.sparkSession.sparkContext.broadcast(stop_words(pages))  # ``top`` words per language
+    stop = pages.sparkSession.sparkContext.broadcast(stop_words(pages))  # at most STOP_WORDS * (LANGUAGES + 1) words
 
     def run(found: list) -> list:
         texts = [main_text(p, stop.value) for p in found]

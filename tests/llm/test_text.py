@@ -162,6 +162,21 @@ def test_names_of_wrappers_do_not_drop_their_article(page, want):
     assert pages.main_text(page, {"": frozenset(["the", "of"])}) == want
 
 
+def test_the_html_tag_may_stand_anywhere():
+    assert pages.page_lang("<!-- " + "x" * 5000 + " <html lang=en> --><html class=a lang='fr-CA'>") == "fr"
+    assert pages.page_lang("<HTML LANG=De>") == "de" and pages.page_lang("<p lang=es>") == ""
+
+
+def test_stop_words_are_bounded(spark):
+    rows = [(f"<html lang={x}><p>{y}</p>",) for x, y in (
+        ("en", "the cat the dog the"), ("de", "der die der"), ("xa", "foo bar"), ("xb", "foo"))]
+    table = spark.createDataFrame(rows, "html string")
+    got = pages.stop_words(table, 1, 2)
+    assert got == {"en": {"the"}, "de": {"der"}, pages.OTHERS: {"foo"}}
+    assert pages._stop(rows[2][0], got) == {"foo"} and pages._stop(rows[0][0], got) == {"the"}
+    assert pages.OTHERS not in pages.stop_words(table, 1, 4)
+
+
 def test_pages_give_their_articles(spark, sf):
     from hirelens.sources.tables import read_table
     table = read_table(spark, sf, "pages")
