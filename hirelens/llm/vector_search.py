@@ -3,8 +3,8 @@
 Each vector is split into halves, and each half is quantised by its own k-means codebook
 (``CENTROIDS`` entries, fitted on a bounded sample). A pair of centroids is a cell. A query
 visits the cells by the sum of its halves' squared distances to the two centroids, smallest
-first, with a heap over the sorted grid of pairs, until the cells seen hold enough vectors;
-those are reranked by their exact inner product. So that distance orders by inner product
+first, with a heap over the sorted grid of pairs, until the cells seen hold enough vectors,
+and always the cell that holds its own copies; those are reranked by their exact inner product. So that distance orders by inner product
 for vectors of any length, a last coordinate fills every stored vector up to the
 largest norm; a query has 0 there.
 
@@ -222,7 +222,7 @@ def search(vectors: DataFrame, is_query: Column | str, k: int = K, centroids: in
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return vectors.sparkSession.createDataFrame([], schema)
-    queries = found.join(asked.select("vid").distinct(), "vid", "left_semi").select("vid", "embedding")
+    queries = placed.join(asked.select("vid").distinct(), "vid", "left_semi").select("vid", "embedding", "cell")
     # k + 1, as a query's own vector stands first among its neighbours
     enough = measure(index, placed, queries, k, probes, recall)
     index.lay_out(SHARD)
@@ -232,8 +232,9 @@ def search(vectors: DataFrame, is_query: Column | str, k: int = K, centroids: in
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for p in batches:
-            for vid, e in zip(p["vid"], p["embedding"]):
-                cells = np.array(ix.visit(np.array(e, float), enough))
+            for vid, e, home in zip(p["vid"], p["embedding"], p["cell"]):
+                cells = ix.visit(np.array(e, float), enough)
+                cells = np.array(cells if home in cells else [*cells, home], np.int64)
                 many = ix.parts[cells]
                 shards = np.repeat(ix.shard[cells], many) + np.concatenate([np.arange(m) for m in many])
                 order = np.argsort(shards, kind="stable")

@@ -64,6 +64,23 @@ def test_search_odd_rows(spark):
     assert vector_search.search(table.where("vec_id = 9"), QUERY).collect() == []
 
 
+def test_search_among_copies_of_one_vector(spark):
+    table = spark.createDataFrame([(i, [1.0, 2.0]) for i in (0, 3, 20, 21)], "vec_id long, embedding array<float>")
+    got = vector_search.search(table, QUERY).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [
+        (0, 3, 5.0), (0, 20, 5.0), (0, 21, 5.0), (20, 0, 5.0), (20, 3, 5.0), (20, 21, 5.0)]
+    assert vector_search.search(table.where("vec_id = 0"), QUERY).collect() == []
+
+
+def test_own_copies_are_found_with_the_smallest_depth(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "measure", lambda *a: 0)
+    x = np.random.default_rng(4).standard_normal((60, 4)).astype(np.float32)
+    x[1::20] = x[::20]  # each query has a copy
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vector_search.search(table, QUERY).collect()
+    assert {(0, 1), (20, 21), (40, 41)} <= {(r.query_id, r.vec_id) for r in got}
+
+
 def test_walk_is_in_order_of_distance():
     rng = np.random.default_rng(0)
     ix = vector_search.Index(rng.standard_normal((7, 3)), rng.standard_normal((5, 4)), 1.0)
