@@ -17,6 +17,7 @@ from hirelens.llm import (
     pii,
     quality,
     rules,
+    token_counts,
     toxicity,
     vector_search,
 )
@@ -79,3 +80,8 @@ def op9_quality_rules(spark, d):
 @_register
 def op10_pages(spark, d):
     return pages.extract(read_table(spark, d, "pages"))
+
+
+@_register
+def op13_token_counts(spark, d):
+    return token_counts.token_counts(read_table(spark, d, "documents"))
