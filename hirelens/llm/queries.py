@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.llm import (
+    conversation_repair,
     line_dedup,
     mixing,
     near_dup,
@@ -82,6 +83,12 @@ def op10_pages(spark, d):
     return pages.extract(read_table(spark, d, "pages"))
 
 
+@_register
+def op12_conversation_repair(spark, d):
+    turns = read_table(spark, d, "conversations")
+    return conversation_repair.report(conversation_repair.damage(turns), turns)
+
+
 @_register
 def op13_token_counts(spark, d):
     return token_counts.token_counts(read_table(spark, d, "documents"))
