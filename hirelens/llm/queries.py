@@ -16,6 +16,7 @@ from hirelens.llm import (
     packing,
     pages,
     pii,
+    prefix_trie,
     quality,
     rules,
     token_counts,
@@ -83,6 +84,11 @@ def op10_pages(spark, d):
     return pages.extract(read_table(spark, d, "pages"))
 
 
+@_register
+def op11_prefix_trie(spark, d):
+    return prefix_trie.rebuilt_trie(read_table(spark, d, "conversations"))
+
+
 @_register
 def op12_conversation_repair(spark, d):
     turns = read_table(spark, d, "conversations")
