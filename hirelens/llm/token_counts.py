@@ -28,6 +28,7 @@ columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -58,6 +59,7 @@ class Splitter:
     def __init__(self, path: str):
         import public_tokenizers
         import regex
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
