@@ -1,6 +1,7 @@
 """Personal data, quality rules and page extraction."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -80,6 +81,50 @@ def test_telling_terms_are_marked_wherever_they_stand(spark):
     assert got[40].n_term == 0 and text[40] == rows[-1][1]
 
 
+def plain_terms(rows, least):
+    """(row, start, end) of telling terms, every pair of term and entity compared."""
+    import math
+    held, words = [], []
+    for text in rows:
+        spans = pii.find(text)
+        held.append({pii._entity(k, text[s:e]) for s, k, e in spans})
+        words.append([(H.lower(m[0]), *m.span(), any(s < m.end() and m.start() < e for s, _, e in spans))
+                      for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")])
+    df, de, co = {}, {}, {}
+    for entities, found in zip(held, words):
+        for e in entities:
+            de[e] = de.get(e, 0) + 1
+            for t in {w[0] for w in found if not w[3]}:
+                co[t, e] = co.get((t, e), 0) + 1
+        for t in {w[0] for w in found}:
+            df[t] = df.get(t, 0) + 1
+    n = len(rows)
+    telling = {(t, e) for (t, e), k in co.items() if k >= pii.SUPPORT and de[e] < n
+               and math.log2(n * k / (df[t] * de[e])) / math.log2(n / de[e]) >= least}
+    return {(i, s, e) for i, (entities, found) in enumerate(zip(held, words)) for t, s, e, over in found
+            if not over and any((t, x) in telling for x in entities)}
+
+
+@pytest.mark.parametrize("shares", [(), (2,), pii.SHARES])
+def test_telling_terms_equal_brute_force(spark, monkeypatch, shares):
+    rng = random.Random(5)
+    people = [f"p{i}@x.org" for i in range(25)]
+    rows = []
+    for i in range(400):
+        who = rng.choice(people) if i % 3 else ""
+        own = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(12)]
+        if who and rng.random() < 0.9:
+            own += [f"near{people.index(who)}", f"shared{people.index(who) // 5}"]
+        rng.shuffle(own)
+        rows.append(" ".join([*own[:6], who, *own[6:]]))
+    monkeypatch.setattr(pii.possible_terms, "__defaults__", (pii.GENERALISE, pii.SLOTS, shares))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, *(int(x) for x in span.split(":")[1:])) for r in pii.personal_data(df).collect()
+           for span in r.spans.split(",") if span.startswith("term")}
+    want = plain_terms(rows, pii.GENERALISE)
+    assert got == want and len(want) > 100
+
+
 def test_entities_of_the_same_documents_are_one_group(spark):
     rows = [(i, f"ann@x.org bob@y.org heron {i} +49 30 123456{i}") for i in range(3)] + [(9, "a text")] * 9
     docs = spark.createDataFrame(rows, "doc_id long, text string")
