@@ -4,15 +4,13 @@ Pairs are explicit (an equi-join of request keys), never a cross product."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelens.functions import scoring as S
 from hirelens.functions.text import py_strip
-from hirelens.operators.ordering import top_k_within
+from hirelens.operators import nearest
 from hirelens.operators.skills import (extract_skills, posting_company, posting_role,
                                        posting_skills, tokens)
 from hirelens.schemas import DEFAULT_LEVEL, EXPECTED_PERCENT, SUGGESTION
@@ -128,71 +126,11 @@ def score_eval(doc_skills: DataFrame, labels: DataFrame, reference: DataFrame) -
 
 # ---- V3: exact top-k vector matches --------------------------------------------
 
-RESUME_BLOCK = 1024      # resumes per task block
-POSTING_BLOCK = 4096     # postings per task block (block score matrix ~ 32 MB)
-MIN_POSTING_BLOCK = 256  # smallest posting block worth a task of its own
-UNIT_TOLERANCE = 1e-6    # a stored float vector this close to length 1 is a unit vector
-
-_TOPK_SCHEMA = T.StructType([
-    T.StructField("resume_id", T.LongType()),
-    T.StructField("posting_id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1; rows that have it already (to single precision) and zero
-    rows stay as they are."""
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    keep = (n == 0.0) | (np.abs(n - 1.0) <= UNIT_TOLERANCE)
-    return m / np.where(keep, 1.0, n)
-
-
-def _block_topk(k: int):
-    def fn(res: pd.DataFrame, post: pd.DataFrame) -> pd.DataFrame:
-        if res.empty or post.empty:
-            return pd.DataFrame({"resume_id": pd.Series([], dtype="int64"),
-                                 "posting_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        R = _unit(np.stack(res["vec"].to_numpy()).astype(np.float64))
-        P = _unit(np.stack(post["vec"].to_numpy()).astype(np.float64))
-        pid = post["posting_id"].to_numpy(dtype=np.int64)
-        sc = np.clip(R @ P.T, 0.0, 1.0)
-        kk = min(k, len(pid))
-        out_r, out_p, out_s = [], [], []
-        for i, rid in enumerate(res["resume_id"].to_numpy(dtype=np.int64)):
-            # order: score desc, posting id asc (lexsort's last key is primary)
-            order = np.lexsort((pid, -sc[i]))[:kk]
-            out_r.append(np.full(kk, rid)); out_p.append(pid[order]); out_s.append(sc[i][order])
-        return pd.DataFrame({"resume_id": np.concatenate(out_r), "posting_id": np.concatenate(out_p),
-                             "score": np.concatenate(out_s)})
-    return fn
-
 
 def top_matches(resumes: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """V3: for every resume vector, the k postings with the highest clamped cosine
-    (ties by posting id; vectors are normalised here, a zero vector scores 0). Exact, without a cross join and without emitting all pairs:
-    resumes and postings are hashed into blocks; each (resume block, posting block)
-    cell is a co-group (resumes replicated over posting blocks and vice versa, the
-    blocked matrix-product layout) scored with one matrix product in a pandas task
-    that keeps only k per resume; a final top-k per resume merges <= k * blocks rows,
-    salted so a resume's candidates spread over several tasks."""
-    n_r = resumes.count()
-    n_p = postings.count()
-    rb = max(1, -(-n_r // RESUME_BLOCK))
-    # enough posting blocks to use every core even when the data fits one block
-    # (at least MIN_POSTING_BLOCK postings each); large inputs are sized by POSTING_BLOCK
-    cores = resumes.sparkSession.sparkContext.defaultParallelism
-    pb = max(1, -(-n_p // POSTING_BLOCK), min(cores, n_p // MIN_POSTING_BLOCK))
-    r = (resumes.select(F.col("vec_id").alias("resume_id"), F.col("embedding").alias("vec"))
-         .withColumn("rblock", (F.abs(F.xxhash64("resume_id")) % rb).cast("int"))
-         .withColumn("pblock", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)))))
-    p = (postings.select(F.col("vec_id").alias("posting_id"), F.col("embedding").alias("vec"))
-         .withColumn("pblock", (F.abs(F.xxhash64("posting_id")) % pb).cast("int"))
-         .withColumn("rblock", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
-    cand = (r.groupBy("rblock", "pblock").cogroup(p.groupBy("rblock", "pblock"))
-            .applyInPandas(_block_topk(k), schema=_TOPK_SCHEMA))
-    order = [F.col("score").desc(), F.col("posting_id").asc()]
-    best = top_k_within(cand, ["resume_id"], order, k, name="rank", salt_col="posting_id")
-    return best.select("resume_id", "posting_id", F.round("score", 6).alias("score"),
-                       F.col("rank").cast("int").alias("rank"))
+    """V3: for every resume vector (vec_id, embedding), the k postings with the highest
+    clamped cosine (ties by posting id; vectors are normalised here, a zero vector scores
+    0), by the pruned search of ``nearest``."""
+    best = nearest.top_k(resumes.select(F.col("vec_id").alias("resume_id"), F.col("embedding").alias("vec")),
+                         postings.select(F.col("vec_id").alias("posting_id"), F.col("embedding").alias("vec")), k)
+    return best.withColumn("score", F.round("score", 6))
