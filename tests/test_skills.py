@@ -134,6 +134,47 @@ def test_dictionary_beyond_the_broadcast_bound(spark):
         assert got[i] == sorted(runs & known)
 
 
+def _plain(text, known, longest):
+    w = [t for t in re.sub(r"[^a-z0-9+#.]+", " ", text.lower()).split(" ") if t]
+    w = [t for t in (re.sub(r"\.+(?![a-z0-9])", "", t) for t in w) if t]
+    return sorted({" ".join(w[p:p + n]) for p in range(len(w)) for n in range(1, longest + 1) if p + n <= len(w)} & known)
+
+
+def test_labels_of_many_words(spark):
+    """Labels of up to 200 words among 20,000, with others that share their beginnings; the
+    texts hold them whole, cut short and changed in the last word."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    names = {" ".join(rnd.choices(words, k=rnd.choice([1, 2, 3, 4, 5, 6, 7, 8, 9]))) for _ in range(20_000)}
+    long = rnd.choices(words, k=200)
+    names |= {" ".join(long[:n]) for n in (4, 5, 8, 9, 16, 17, 31, 32, 33, 64, 130, 199, 200)}
+    names |= {" ".join([*long[:20], "x", *long[21:40]])}
+    texts = [" ".join(rnd.choices(words, k=80)) for _ in range(20)]
+    texts += [" ".join(["a", *long[:n], "b"]) for n in (3, 12, 32, 33, 100, 199, 200)] + [" ".join([*long[:-1], "z"])]
+    texts += [" ".join([*long[:20], "x", *long[21:40]]), " ".join(long) + " " + " ".join(long), texts[0]]
+    rows = [(i % 29, t) for i, t in enumerate(texts)] + [(None, texts[-2]), (3, None), (40, "")]
+    dic = SK.label_dictionary(spark.createDataFrame([(n,) for n in sorted(names)], "skill_name string"))
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.skills for r in SK.extract_skills(df, ["id"], "text", dic).collect()}
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, set()).update(_plain(t or "", names, 200))
+    assert got == {i: sorted(x) for i, x in want.items()}
+    assert any(len(s.split()) == 200 for s in got[None])
+
+
+def test_positions_carry_no_more_than_the_stride(spark):
+    """The plan's columns don't grow with the longest label, and only runs of lengths that
+    labels with that first term have are built."""
+    labels = [("a " * 150).strip(), "b c", "d"]
+    dic = SK.label_dictionary(spark.createDataFrame([(x,) for x in labels], "skill_name string"))
+    out = SK.extract_skills(spark.createDataFrame([(1, "b c d " + "a " * 150)], "id long, text string"), ["id"], "text", dic)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "w3" in plan and "w4" not in plan
+    assert out.first().skills == sorted(labels)
+    assert SK.prefix_levels(200) == [4, 8, 16, 32, 64, 128] and SK.prefix_levels(4) == []
+
+
 def test_stand_in_data_reaches_every_branch(spark):
     rep = R.QUERIES["match_report"](spark, D).select(
         "band", "level", F.size("preferred_skills").alias("p"), "suggestions").collect()
