@@ -11,20 +11,25 @@ at once with the application's per-request rules, in ``seq`` order per id:
 * delete: the target must exist and be the caller's; later ops on it find nothing.
 
 Plain Parquet has no MERGE, so the result is a new snapshot plus an outcome per
-change. Every state question is an aggregate keyed by id over the change set (a
+change; ``write_changes`` keeps the table as versions by id bucket and writes only the
+buckets of ids that change. Every state question is an aggregate keyed by id over the change set (a
 partial aggregation, so a hot id is reduced map-side); only change-set-sized tables
 meet the base, broadcast after a size check.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.functions.text import py_strip
-from hirelens.operators.joins import join_dimension
+from hirelens.operators.joins import join_dimension, maybe_broadcast
 from hirelens.schemas import DEFAULT_STATUS, PATCH_FIELDS, STATUSES
 from hirelens.session import materialize
+from hirelens.sources import versioned
 
 NEVER = -(2 ** 62)      # creation seq of rows already in the base
 
@@ -136,6 +141,88 @@ def apply_changes(base: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame
     return snap, out.select("seq", "op", "id", "user_id", "outcome")
 
 
+BUCKETS = 32            # id buckets of a stored table; a bucket should fit one task
+
+
+def create_table(rows: DataFrame, base: str, buckets: int = BUCKETS) -> int:
+    """Version 0 of the stored tracker table, in id buckets."""
+    return versioned.create(rows, base, versioned.id_bucket("id", buckets), ["id"])
+
+
+def write_changes(spark: SparkSession, base: str, changes: DataFrame, as_of,
+                  buckets: int = BUCKETS) -> DataFrame:
+    """S5 + C1-C5: apply a change set to the stored table and publish the next version; the
+    outcome per change. Only buckets that an id of the change set falls in are read, and only
+    those with an applied change are written; a failure leaves the version before."""
+    asked = changes.select(versioned.id_bucket("id", buckets).alias("b")).distinct()
+    near = [r.b for r in asked.collect()]                       # at most ``buckets`` rows
+    old = versioned.read_version(spark, base, only=near)
+    snap, out = apply_changes(old, changes, as_of)
+    out = materialize(out, "outcomes")
+    hit = [r.b for r in out.filter(F.col("outcome") == "applied")
+           .select(versioned.id_bucket("id", buckets).alias("b")).distinct().collect()]
+    part = versioned.id_bucket("id", buckets)
+    versioned.replace_parts(snap.filter(part.isin(hit)) if hit else snap.limit(0), base, part, ["id"], hit)
+    return out
+
+
+# ---- foreign keys ----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class ForeignKey:
+    """``child.column`` refers to ``parent.id``; rows whose parent is deleted go too
+    (``cascade``) or lose the reference."""
+    child: str
+    column: str
+    parent: str
+    cascade: bool
+
+
+def delete_order(tables: list[str], keys: list[ForeignKey]) -> list[str]:
+    """The tables, parents before children."""
+    done: list[str] = []
+    while len(done) < len(tables):
+        ready = [t for t in tables if t not in done
+                 and all(k.parent in done for k in keys if k.child == t)]
+        if not ready:
+            raise ValueError(f"foreign keys in a circle: {sorted(set(tables) - set(done))}")
+        done += ready
+    return done
+
+
+def propagate_deletes(tables: dict[str, DataFrame], keys: list[ForeignKey],
+                      deleted: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """J5-J7 over a graph of foreign keys: (what is left of each table, the ids that went and
+    why). ``deleted`` has the ids to delete per table. Tables are taken parents first: a row
+    goes if its id is asked for ('asked'), or else if a cascading key names a row that went
+    (the parent's name); keys that only lose their reference are set to null in the rows left.
+    The ids that went are written once per table, so each level reads the result of the one
+    before; they are broadcast only when small."""
+    left, gone = {}, {}
+    for name in delete_order(list(tables), keys):
+        rows, own = tables[name], [k for k in keys if k.child == name]
+        reasons = []
+        if name in deleted:
+            ids = deleted[name].select("id").distinct()
+            reasons.append(join_dimension(rows.select("id"), ids, "id", "left_semi")
+                           .select("id", F.lit(0).alias("_o"), F.lit("asked").alias("because")))
+        for n, k in enumerate(own, start=1):
+            if k.cascade:
+                ids = gone[k.parent].select(F.col("id").alias(k.column))
+                reasons.append(join_dimension(rows.select("id", k.column), ids, k.column, "left_semi")
+                               .select("id", F.lit(n).alias("_o"), F.lit(k.parent).alias("because")))
+        none = rows.select("id").limit(0).select("id", F.lit(0).alias("_o"), F.lit("").alias("because"))
+        went = reduce(DataFrame.unionByName, reasons, none)
+        gone[name] = materialize(went.groupBy("id").agg(F.min_by("because", "_o").alias("because")), f"gone-{name}")
+        kept = join_dimension(rows, gone[name].select("id"), "id", "left_anti")
+        for k in own:
+            if not k.cascade:
+                kept = cascade_set_null(kept, gone[k.parent].select(F.col("id").alias(k.column)), k.column)
+        left[name] = kept.select(*rows.columns)
+    return left, gone
+
+
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Child rows whose parent key is absent (null keys are not orphans)."""
     return child.filter(F.col(fk).isNotNull()).join(
@@ -150,7 +237,7 @@ def cascade_delete(child: DataFrame, deleted_parents: DataFrame, fk: str) -> Dat
 def cascade_set_null(child: DataFrame, deleted_parents: DataFrame, fk: str) -> DataFrame:
     """ON DELETE SET NULL: the link to a deleted parent becomes null."""
     gone = deleted_parents.select(F.col(fk).alias("_gone")).distinct()
-    j = child.join(gone, F.col(fk) == F.col("_gone"), "left")
+    j = child.join(maybe_broadcast(gone), F.col(fk) == F.col("_gone"), "left")
     return j.withColumn(fk, F.when(F.col("_gone").isNull(), F.col(fk))).drop("_gone")
 
 

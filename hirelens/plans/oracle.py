@@ -619,6 +619,37 @@ SELECT r.id, r.user_id, {_patched('company')}, {_patched('role')}, {_patched('st
        CASE WHEN s.patch IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE r.updated_at END AS updated_at
 FROM rws r LEFT JOIN sets s ON r.id = s.id"""
 
+ORACLE["changes_written"] = ORACLE["apply_changes"]
+
+ORACLE["delete_propagation"] = f"""
+WITH {APPS_CTE},
+gu AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0),
+ga AS (SELECT id, CASE WHEN status = 'withdrawn' THEN 'asked' ELSE 'users' END AS because
+       FROM apps WHERE status = 'withdrawn' OR user_id IN (SELECT id FROM gu)),
+gr AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 19 = 3 THEN 'asked' ELSE 'users' END AS because
+       FROM orders WHERE o_orderkey % 19 = 3 OR o_custkey IN (SELECT id FROM gu)),
+an AS (SELECT a.o_orderkey AS id, a.o_custkey AS user_id, r.o_orderkey AS resume_id,
+              CASE WHEN a.o_orderstatus <> 'P' THEN a.o_orderkey END AS application_id
+       FROM orders a LEFT JOIN orders r ON r.o_orderkey = a.o_orderkey - a.o_orderkey % 7
+                                        AND a.o_orderkey - a.o_orderkey % 7 > 0),
+tok AS (SELECT event_id AS id, user_id FROM events WHERE event_type = 'signup'),
+rws AS (
+  SELECT 'users' AS table_name, c_custkey AS id, NULL::BIGINT AS user_id, NULL::BIGINT AS resume_id,
+         NULL::BIGINT AS application_id, CASE WHEN c_custkey IN (SELECT id FROM gu) THEN 'asked' END AS deleted_because
+  FROM customer
+  UNION ALL SELECT 'applications', apps.id, user_id, NULL, NULL, because FROM apps LEFT JOIN ga ON apps.id = ga.id
+  UNION ALL SELECT 'resumes', o_orderkey, o_custkey, NULL, NULL, because FROM orders LEFT JOIN gr ON o_orderkey = gr.id
+  UNION ALL SELECT 'analyses', id, user_id,
+                   CASE WHEN resume_id NOT IN (SELECT id FROM gr) THEN resume_id END,
+                   CASE WHEN application_id NOT IN (SELECT id FROM ga) THEN application_id END,
+                   CASE WHEN user_id IN (SELECT id FROM gu) THEN 'users' END FROM an
+  UNION ALL SELECT 'refresh_tokens', id, user_id, NULL, NULL,
+                   CASE WHEN user_id IN (SELECT id FROM gu) THEN 'users' END FROM tok)
+SELECT table_name, id, CASE WHEN deleted_because IS NULL THEN user_id END AS user_id,
+       CASE WHEN deleted_because IS NULL THEN resume_id END AS resume_id,
+       CASE WHEN deleted_because IS NULL THEN application_id END AS application_id, deleted_because
+FROM rws"""
+
 ORACLE["cascade_delete"] = f"""
 WITH {APPS_CTE}
 SELECT id, user_id FROM apps WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""

@@ -7,6 +7,7 @@ library's operators over the whole tables. ``QUERIES`` keeps insertion order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,10 @@ from hirelens.operators import changes as CH
 from hirelens.operators import corpus, matching, skills, term_vectors, tracker, trends, vectors
 from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, TOP_MATCHES,
                                    TRAINED_AT)
-from hirelens.schemas import JOB_SKILLS, POSTINGS, RECENT_ANALYSES, SKILLS
+from hirelens.schemas import FOREIGN_KEYS, JOB_SKILLS, POSTINGS, RECENT_ANALYSES, SKILLS
 from hirelens.session import materialize, shared_path
 from hirelens.sources import adapters as A
-from hirelens.sources import csvio, intake, sinks
+from hirelens.sources import csvio, intake, sinks, versioned
 from hirelens.sources.tables import read_table
 from hirelens.streaming import weekly
 
@@ -289,6 +290,33 @@ def q_apply_changes(spark, d):
     return CH.apply_changes(A.applications(spark, d), A.change_sets(spark, d), AS_OF)[0]
 
 
+@register("changes_written")
+def q_changes_written(spark, d):
+    """The change set applied to the stored table by copy-on-write, read back."""
+    base = shared_path(spark, "applications")
+    CH.create_table(A.applications(spark, d), base)
+    CH.write_changes(spark, base, A.change_sets(spark, d), AS_OF)
+    return versioned.read_version(spark, base)
+
+
+@register("delete_propagation")
+def q_delete_propagation(spark, d):
+    """Every row of the account tables with what became of it: its keys afterwards, or why
+    it went."""
+    tables = A.account_tables(spark, d)
+    keys = [CH.ForeignKey(*k) for k in FOREIGN_KEYS]
+    left, gone = CH.propagate_deletes(tables, keys, A.account_deletes(spark, d))
+    fks = ["user_id", "resume_id", "application_id"]
+
+    def shape(name, df, because):
+        cols = [F.col(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in fks]
+        return df.select(F.lit(name).alias("table_name"), "id", *cols, because.alias("deleted_because"))
+
+    out = [shape(n, df, F.lit(None).cast("string")) for n, df in left.items()]
+    out += [shape(n, df, F.col("because")) for n, df in gone.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 @register("cascade_delete")
 def q_cascade_delete(spark, d):
     apps = A.applications(spark, d).select("id", "user_id")

@@ -22,6 +22,15 @@ SHOWN_TRENDS = 20          # shown in the trend feed
 RECENT_ANALYSES = 100      # trend input: latest analyses of all users
 RETRAIN_THRESHOLD = 50     # new analyses that trigger a retrain
 EXPECTED_PERCENT = 60      # hand-noted expected match of the check script
+# Foreign keys: (child, column, parent, rows of a deleted parent go too).
+FOREIGN_KEYS = [
+    ("applications", "user_id", "users", True),
+    ("resumes", "user_id", "users", True),
+    ("analyses", "user_id", "users", True),
+    ("analyses", "resume_id", "resumes", False),
+    ("analyses", "application_id", "applications", False),
+    ("refresh_tokens", "user_id", "users", True),
+]
 # ---------------------------------------------------------------------------
 
 POSTINGS = T.StructType([

@@ -182,6 +182,39 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("full_name"))
 
 
+def account_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables that hang on user accounts, with their keys. An analysis belongs to its
+    order's customer and names the resume of an order up to six before, if there is one, and the
+    order's application, unless it is pending; refresh tokens are the sign-in events."""
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    k = F.col("o_orderkey")
+    near = k - k % 7
+    own = o.select(k.alias("id"), F.col("o_custkey").alias("user_id"), "o_orderstatus",
+                   F.when(near > 0, near).alias("_near"))
+    ids = o.select(k.alias("resume_id"))
+    linked = own.join(ids, F.col("_near") == F.col("resume_id"), "left")
+    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    return {
+        "users": read_table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("id")),
+        "applications": own.select("id", "user_id"),
+        "resumes": own.select("id", "user_id"),
+        "analyses": linked.select("id", "user_id", "resume_id",
+                                  F.when(F.col("o_orderstatus") != "P", F.col("id")).alias("application_id")),
+        "refresh_tokens": ev.filter(F.col("event_type") == "signup").select(F.col("event_id").alias("id"), "user_id"),
+    }
+
+
+def account_deletes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What is asked to be deleted: closed accounts, withdrawn applications, some resumes."""
+    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
+    o = read_table(spark, sf_dir, "orders", "o_orderkey")
+    return {
+        "users": c.filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("id")),
+        "applications": applications(spark, sf_dir).filter(F.col("status") == "withdrawn").select("id"),
+        "resumes": o.filter(F.col("o_orderkey") % 19 == 3).select(F.col("o_orderkey").alias("id")),
+    }
+
+
 PATCH_STATUS_CHOICES = STATUSES + ["hired"]     # 'hired' is outside the domain
 
 
