@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelens.functions.text import clean_skill, week_monday
 from hirelens.schemas import RECENT_ANALYSES, RETRAIN_THRESHOLD, SHOWN_TRENDS
+from hirelens.session import materialize
+from hirelens.sources import versioned
 
 TREND_KEYS = ["skill_name", "week_of"]
 
@@ -38,28 +40,78 @@ def recent_skill_counts(analyses: DataFrame, last_n: int = RECENT_ANALYSES,
             .orderBy(F.desc("n"), F.asc("skill")).limit(k))
 
 
-def weekly_trends(analyses: DataFrame) -> DataFrame:
-    """Per (skill, Monday week): analyses naming the skill (once each) and all
-    analyses that week. A null skill row per analysis carries the weekly total; the totals,
-    a row per week, are joined back, so a week's skills need not meet in one task."""
+def weekly_counts(analyses: DataFrame) -> DataFrame:
+    """(week_of, skill_name, n, total): analyses of a Monday week that name a skill,
+    once each, and in the row without a skill (``total``) all analyses of the week."""
     exploded = analyses.select(
         week_monday(F.col("created_at")).alias("week_of"),
         F.explode(F.concat(F.array(F.lit(None).cast("string")),
                            F.array_distinct(F.coalesce(
                                cleaned_list(skill_array(analyses, "required_skills")),
                                F.array().cast("array<string>"))))).alias("skill_name"))
-    counts = exploded.groupBy("week_of", "skill_name").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return (with_week_total(counts)
-            .select("skill_name", "week_of", F.col("n").alias("frequency"), "source_count"))
+    # ``total`` is a result of the aggregate, so a filter on it stays above: both readers of
+    # the counts share one shuffle, and the analyses are read once
+    return exploded.groupBy("week_of", "skill_name").agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.max(F.col("skill_name").isNull()).alias("total"))
+
+
+def weekly_trends(analyses: DataFrame) -> DataFrame:
+    """A10: per (skill, Monday week): analyses naming the skill (once each) and all analyses
+    that week. The totals, a row per week, are joined to the skills' rows, so a week's
+    skills need not meet in one task."""
+    return trends_of(weekly_counts(analyses))
 
 
-def with_week_total(counts: DataFrame) -> DataFrame:
-    """(week_of, skill_name, n) with the n of a week's null skill as ``source_count``. A
-    null week is a week of its own."""
-    total = (counts.filter(F.col("skill_name").isNull())
+def trends_of(counts: DataFrame) -> DataFrame:
+    """The weekly table of (week_of, skill_name, n, total) rows. A null week is a week of
+    its own."""
+    total = (counts.filter("total")
              .select(F.col("week_of").alias("_week"), F.col("n").alias("source_count")))
-    return (counts.filter(F.col("skill_name").isNotNull())
-            .join(total, F.col("week_of").eqNullSafe(F.col("_week"))).drop("_week"))
+    return (counts.filter(~F.col("total"))
+            .join(total, F.col("week_of").eqNullSafe(F.col("_week")))
+            .select("skill_name", "week_of", F.col("n").alias("frequency"), "source_count"))
+
+
+# ---- C8 + A10 kept up to date --------------------------------------------------------------
+
+COUNTS_ORDER = ["week_of", "skill_name"]
+
+
+def _week_part() -> Column:
+    return F.coalesce(F.col("week_of").cast("string"), F.lit("none"))
+
+
+def create_weekly_counts(analyses: DataFrame, base: str) -> int:
+    """Version 0 of the stored weekly counts, a part per week. The totals are stored too: a
+    week may hold analyses that name no skill."""
+    return versioned.create(weekly_counts(analyses), base, _week_part(), COUNTS_ORDER)
+
+
+def count_deltas(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(week_of, skill_name, n, total) with signed n: what the counts gain and lose when the
+    analyses ``removed`` go and ``added`` come; a changed analysis is in both."""
+    lost = weekly_counts(removed).withColumn("n", -F.col("n"))
+    both = weekly_counts(added).unionByName(lost)
+    return (both.groupBy("week_of", "skill_name").agg(F.sum("n").cast("int").alias("n"), F.max("total").alias("total"))
+            .filter(F.col("n") != 0))
+
+
+def apply_deltas(spark: SparkSession, base: str, removed: DataFrame, added: DataFrame) -> list[str]:
+    """Bring the stored counts up to date without reading the other analyses: the weeks that
+    gain or lose something are read, summed with their deltas and written as the next
+    version; counts that reach 0 go. Returns those weeks. A count below 0 means that rows
+    were removed which were never counted: an error, and the stored version stays."""
+    deltas = materialize(count_deltas(removed, added), "trend-deltas")
+    weeks = sorted(r.w for r in deltas.select(_week_part().alias("w")).distinct().collect())
+    stored = versioned.read_version(spark, base, only=weeks)
+    n = F.sum("n")
+    new = (stored.unionByName(deltas).groupBy("week_of", "skill_name")
+           .agg(F.when(n < 0, F.raise_error(F.lit("an analysis was removed that was not counted")))
+                .otherwise(n).cast("int").alias("n"), F.max("total").alias("total"))
+           .filter(F.col("n") != 0))
+    if weeks:
+        versioned.replace_parts(new, base, _week_part(), COUNTS_ORDER, weeks)
+    return weeks
 
 
 def rising_skills(trends: DataFrame) -> DataFrame:
@@ -73,14 +125,13 @@ def rising_skills(trends: DataFrame) -> DataFrame:
 
 def rising_skills_calendar(trends: DataFrame) -> DataFrame:
     """W3, calendar variant: every Monday between a skill's first and last week is
-    present (a missing week counts 0), so the change is week over calendar week. The
-    spine per skill is bounded by the time span, and so is each skill's window."""
-    span = trends.groupBy("skill_name").agg(F.min("week_of").alias("first"),
-                                            F.max("week_of").alias("last"))
-    spine = span.select("skill_name", F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 WEEK")))
-                        .alias("week_of"))
-    filled = (spine.join(trends.select(*TREND_KEYS, "frequency"), TREND_KEYS, "left")
-              .withColumn("frequency", F.coalesce("frequency", F.lit(0))))
+    present (a missing week counts 0), so the change is week over calendar week. A row fills
+    the weeks up to the skill's next one; a skill's window is bounded by the time span."""
+    w = Window.partitionBy("skill_name").orderBy("week_of")
+    upto = F.coalesce(F.date_sub(F.lead("week_of").over(w), 7), F.col("week_of"))
+    filled = (trends.select("skill_name", F.col("week_of").alias("_own"), F.col("frequency").alias("_n"), upto.alias("_upto"))
+              .select("skill_name", "_own", "_n", F.explode(F.sequence("_own", "_upto", F.expr("INTERVAL 1 WEEK"))).alias("week_of"))
+              .withColumn("frequency", F.when(F.col("week_of") == F.col("_own"), F.col("_n")).otherwise(0)))
     return rising_skills(filled)
 
 

@@ -299,6 +299,18 @@ SELECT * FROM base_w b WHERE NOT EXISTS (
 UNION ALL SELECT * FROM new_w"""
 
 
+ORACLE["trend_deltas"] = f"""
+WITH {ANALYSES_CTE},
+after AS (
+  SELECT id, created_at, required_skills FROM analyses WHERE created_at >= TIMESTAMP '1998-01-01'
+  UNION ALL
+  SELECT id, CASE WHEN id % 31 = 5 THEN created_at + INTERVAL 7 DAY ELSE created_at END,
+         CASE WHEN id % 31 = 5 THEN required_skills[:len(required_skills) - 1] ELSE required_skills END
+  FROM analyses WHERE created_at < TIMESTAMP '1998-01-01' AND id % 29 <> 3),
+{weekly_sql().replace("FROM analyses", "FROM after")}
+SELECT skill_name, week_of, frequency, source_count FROM weekly"""
+
+
 # ---- model replies, skills and matching ----------------------------------------
 
 def toks_sql(expr: str) -> str:

@@ -180,6 +180,24 @@ def q_trend_upsert(spark, d):
     return trends.upsert(base, new)
 
 
+@register("trend_deltas")
+def q_trend_deltas(spark, d):
+    """The weekly table kept up to date: counts stored for the analyses before 1998, then
+    one change with the later analyses appended, some deleted and some moved by a week and
+    shortened by a skill; equal to a full computation over the result."""
+    a = materialize(A.analyses(spark, d), "analyses")
+    before = F.col("created_at") < F.lit(UPSERT_BASE_BEFORE).cast("timestamp_ntz")
+    old, k = a.filter(before), F.col("id")
+    base = shared_path(spark, "weekly-counts")
+    trends.create_weekly_counts(old, base)
+    deleted, changed = old.filter(k % 29 == 3), old.filter((k % 29 != 3) & (k % 31 == 5))
+    n = F.size("required_skills")
+    moved = changed.withColumns({"created_at": F.col("created_at") + F.expr("INTERVAL 7 DAYS"),
+                                 "required_skills": F.slice("required_skills", 1, F.greatest(n - 1, F.lit(0)))})
+    trends.apply_deltas(spark, base, deleted.unionByName(changed), a.filter(~before).unionByName(moved))
+    return trends.trends_of(versioned.read_version(spark, base))
+
+
 # ---- model replies, skills and matching ---------------------------------------
 
 

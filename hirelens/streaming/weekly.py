@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.operators.trends import cleaned_list, with_week_total
+from hirelens.operators.trends import cleaned_list, trends_of
 from hirelens.session import shared_path
 
 SOURCE_SCHEMA = T.StructType([
@@ -96,10 +96,10 @@ def read_weekly_table(spark: SparkSession, out: str) -> DataFrame:
     """Current skill_trends rows from the sink: latest batch per (week, skill), the
     weekly totals joined back."""
     raw = spark.read.parquet(out)
-    cur = (raw.groupBy("w", "skill_name").agg(F.max_by("n", "batch_id").alias("n"))
+    cur = (raw.groupBy("w", "skill_name").agg(F.max_by("n", "batch_id").alias("n"),
+                                              F.max(F.col("skill_name").isNull()).alias("total"))
            .withColumn("week_of", utc_date(F.col("w.start"))))
-    return with_week_total(cur.select("week_of", "skill_name", F.col("n").cast("int").alias("n"))).select(
-        "skill_name", "week_of", F.col("n").alias("frequency"), "source_count")
+    return trends_of(cur.select("week_of", "skill_name", F.col("n").cast("int").alias("n"), "total"))
 
 
 def late_rows(spark: SparkSession, source_dir: str, out: str) -> DataFrame:
