@@ -714,12 +714,10 @@ sc AS (SELECT request_id, round(greatest(0.0, least(1.0, coalesce(dot, 0.0))), 6
 SELECT request_id, score, CAST(round_even(score * 100, 0) AS INTEGER) AS percent FROM sc"""
 
 ORACLE["resume_append"] = rf"""
-SELECT sha256(concat('resume_', conv_id, '_', turn, CASE WHEN turn = 0 THEN '.docx' ELSE '.DOCX' END)) AS id,
-       conv_id AS user_id,
-       concat('resume_', conv_id, '_', turn, CASE WHEN turn = 0 THEN '.docx' ELSE '.DOCX' END) AS file_name,
+SELECT sha256(concat('upload/', conv_id, '/', turn, '/', name)) AS id, conv_id AS user_id, name AS file_name,
        regexp_replace(text, '^\s+|\s+$', '', 'g') AS raw_text, []::VARCHAR[] AS extracted_skills,
        TIMESTAMP '{AS_OF}' AS created_at
-FROM conversations
+FROM (SELECT *, CASE WHEN turn = 0 THEN 'cv.docx' ELSE 'cv.DOCX' END AS name FROM conversations)
 WHERE role = 'user' AND turn IN (0, 2) AND regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> ''"""
 
 ORACLE["resume_intake_checks"] = r"""

@@ -414,14 +414,13 @@ def q_corpus_csv_roundtrip(spark, d):
     return corpus.category_top(corpus.corpus_final(posts, tags, labels))
 
 
-def _resume_files(spark, d):
+def _resume_files(spark, d, path):
+    """User turns as uploaded files; ``path`` gives a file's place without its suffix."""
     c = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text").filter(
         F.col("role") == "user")
     ext = (F.when(F.col("turn") == 0, ".docx").when(F.col("turn") == 2, ".DOCX")
            .when(F.col("turn") == 4, ".pdf").otherwise(".txt"))
-    path = F.concat(F.lit("upload/resume_"), F.col("conv_id").cast("string"), F.lit("_"),
-                    F.col("turn").cast("string"), ext)
-    return intake.as_files(c.withColumn("path", path), "path", "text")
+    return intake.as_files(c.withColumn("path", F.concat(path, ext)), "path", "text")
 
 
 @register("corpus_artefacts")
@@ -437,13 +436,16 @@ def q_corpus_artefacts(spark, d):
 
 @register("resume_intake_checks")
 def q_resume_intake_checks(spark, d):
-    return intake.intake(_resume_files(spark, d))
+    path = F.concat(F.lit("upload/resume_"), F.col("conv_id").cast("string"), F.lit("_"),
+                    F.col("turn").cast("string"))
+    return intake.intake(_resume_files(spark, d, path)).drop("path")
 
 
 @register("resume_append")
 def q_resume_append(spark, d):
-    files = _resume_files(spark, d)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    sent = files.select(name.alias("file_name"),
-                        F.regexp_extract("path", r"resume_(\d+)_", 1).cast("long").alias("user_id"))
+    """Every user names the files alike; the upload's path tells them apart."""
+    path = F.concat(F.lit("upload/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"),
+                    F.lit("/cv"))
+    files = _resume_files(spark, d, path)
+    sent = files.select("path", F.regexp_extract("path", r"upload/(\d+)/", 1).cast("long").alias("user_id"))
     return intake.resume_rows(intake.intake(files), sent, AS_OF)

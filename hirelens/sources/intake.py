@@ -42,49 +42,49 @@ def docx_text(data: bytes) -> str:
 
 
 def _parse_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the text of rows that have content, or the name of the error."""
     for pdf in it:
         texts, errs = [], []
         for b in pdf["content"]:
-            try:
-                texts.append(docx_text(bytes(b)))
-                errs.append(None)
-            except Exception as e:  # noqa: BLE001 - a bad file is a per-row outcome
-                texts.append(None)
-                errs.append(type(e).__name__)
-        yield pd.DataFrame({"file_name": pdf["file_name"], "raw_text": texts, "error": errs})
+            text = err = None
+            if b is not None:
+                try:
+                    text = docx_text(bytes(b))
+                except Exception as e:  # noqa: BLE001 - a bad file is a per-row outcome
+                    err = type(e).__name__
+            texts.append(text)
+            errs.append(err)
+        yield pd.DataFrame({"path": pdf["path"], "raw_text": texts, "error": errs})
 
 
 def intake(files: DataFrame) -> DataFrame:
-    """file_name, status ('accepted' | 'unsupported type' | 'pdf reader not available' |
-    'unreadable' | 'no text'), raw_text (accepted rows only)."""
-    f = files.select("path", "content",
-                     F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"))
-    low = F.lower(F.col("file_name"))
-    docx = f.filter(low.endswith(".docx"))
-    parsed = docx.select("file_name", "content").mapInPandas(
-        _parse_batches, "file_name string, raw_text string, error string")
-    rest = f.filter(~low.endswith(".docx")).select(
-        "file_name", F.lit(None).cast("string").alias("raw_text"),
-        F.lit(None).cast("string").alias("error"))
-    out = parsed.unionByName(rest)
-    low = F.lower(F.col("file_name"))
-    status = (F.when(low.endswith(".pdf"), F.lit("pdf reader not available"))
-              .when(~low.endswith(".docx"), F.lit("unsupported type"))
-              .when(F.col("error").isNotNull(), F.lit("unreadable"))
+    """path, file_name, status ('accepted' | 'unsupported type' | 'pdf reader not available' |
+    'unreadable' | 'no text'), raw_text (accepted rows only) of every file. A file is known by
+    its path; names may repeat. All files go one way, and only the bytes of DOCX files reach
+    Python."""
+    def is_type(suffix: str):
+        return F.lower(F.col("path")).endswith(suffix)
+
+    out = files.select("path", F.when(is_type(".docx"), F.col("content")).alias("content")).mapInPandas(
+        _parse_batches, "path string, raw_text string, error string")
+    status = (F.when(is_type(".pdf"), F.lit("pdf reader not available"))
+              .when(~is_type(".docx"), F.lit("unsupported type"))
+              .when(F.col("raw_text").isNull(), F.lit("unreadable"))
               .when(F.col("raw_text") == "", F.lit("no text"))
               .otherwise(F.lit("accepted")))
     accepted = status == "accepted"
-    return out.select("file_name", status.alias("status"),
+    return out.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), status.alias("status"),
                       F.when(accepted, F.col("raw_text")).alias("raw_text"),
                       # Appended resumes start with no extracted skills
                       F.when(accepted, F.array().cast("array<string>")).alias("extracted_skills"))
 
 
 def resume_rows(checked: DataFrame, uploads: DataFrame, as_of) -> DataFrame:
-    """The rows that accepted uploads append to the resumes table: a derived id, the
-    uploading user (``uploads``: file_name, user_id), the text, no skills yet, the time."""
-    ok = checked.filter(F.col("status") == "accepted").join(uploads, "file_name")
-    return ok.select(F.sha2("file_name", 256).alias("id"), "user_id", "file_name", "raw_text",
+    """The rows that accepted uploads append to the resumes table: an id derived from
+    the upload's path, the uploading user (``uploads``: path, user_id), the text, no skills
+    yet, the time. Uploads of the same file name are rows of their own."""
+    ok = checked.filter(F.col("status") == "accepted").join(uploads.select("path", "user_id"), "path")
+    return ok.select(F.sha2("path", 256).alias("id"), "user_id", "file_name", "raw_text",
                      "extracted_skills", F.lit(as_of).cast("timestamp_ntz").alias("created_at"))
 
 

@@ -28,3 +28,18 @@ def test_accepted_resume_has_empty_skills(spark, tmp_dir):
         f.write(intake.docx_bytes("SQL"))
     r = intake.intake(intake.read_files(spark, tmp_dir)).first()
     assert r.status == "accepted" and r.extracted_skills == []
+
+
+def test_equal_file_names_of_two_users(spark):
+    text = {"up/1/cv.docx": "Ann: SQL", "up/2/cv.docx": "Bob: Go", "up/2/old/cv.docx": "Bob: C", "up/3/cv.pdf": "x"}
+    files = spark.createDataFrame([(p, intake.docx_bytes(t)) for p, t in text.items()], "path string, content binary")
+    sent = spark.createDataFrame([("up/1/cv.docx", 1), ("up/2/cv.docx", 2), ("up/2/old/cv.docx", 2), ("up/3/cv.pdf", 3)],
+                                 "path string, user_id long")
+    rows = intake.resume_rows(intake.intake(files), sent, "2024-02-01 00:00:00").collect()
+    assert sorted((r.user_id, r.raw_text) for r in rows) == [(1, "Ann: SQL"), (2, "Bob: C"), (2, "Bob: Go")]
+    assert len({r.id for r in rows}) == 3 and {r.file_name for r in rows} == {"cv.docx"}
+
+
+def test_a_file_without_content(spark):
+    files = spark.createDataFrame([("a.docx", None), ("b.docx", bytearray(b""))], "path string, content binary")
+    assert {r.path: r.status for r in intake.intake(files).collect()} == {"a.docx": "unreadable", "b.docx": "unreadable"}
