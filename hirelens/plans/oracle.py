@@ -683,6 +683,21 @@ GROUP BY user_id"""
 # ---- streaming, CSV and file intake -------------------------------------------------
 
 ORACLE["stream_weekly_trends"] = ORACLE["weekly_trends"]
+ORACLE["stream_late_rows"] = f"""
+WITH {ANALYSES_CTE},
+marks AS (SELECT max(created_at) FILTER (WHERE id % 17 <> 4) - INTERVAL 7 DAY AS held_from,
+                 max(created_at) - INTERVAL 7 DAY AS last FROM analyses),
+wk AS (SELECT a.id, CAST(date_trunc('week', created_at) AS DATE) AS week_of,
+              date_trunc('week', created_at) + INTERVAL 7 DAY AS week_end,
+              list_filter(list_transform(required_skills, lambda x: lower(trim(x))), lambda x: x <> '') AS skills,
+              id % 17 = 4 AND date_trunc('week', created_at) + INTERVAL 7 DAY <= held_from AS late, last
+       FROM analyses a, marks),
+named AS (SELECT week_of, week_end, last, skill
+          FROM (SELECT id, week_of, week_end, last, unnest(list_distinct(skills)) AS skill FROM wk WHERE NOT late)
+          UNION ALL SELECT week_of, week_end, last, NULL FROM wk WHERE NOT late)
+SELECT 'late' AS kind, week_of, NULL AS skill_name, id, CAST(1 AS BIGINT) AS n FROM wk WHERE late
+UNION ALL
+SELECT 'closed', week_of, skill, NULL, count(*) FROM named WHERE week_end < last GROUP BY week_of, skill"""
 ORACLE["corpus_csv_roundtrip"] = ORACLE["category_top30"]
 ORACLE["corpus_artefacts"] = ORACLE["corpus_metadata"]
 

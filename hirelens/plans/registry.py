@@ -24,7 +24,7 @@ from hirelens.session import materialize, shared_path
 from hirelens.sources import adapters as A
 from hirelens.sources import csvio, intake, sinks, versioned
 from hirelens.sources.tables import read_table
-from hirelens.streaming import weekly
+from hirelens.streaming import closing, weekly
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -369,6 +369,17 @@ def q_stream_weekly_trends(spark, d):
     return weekly.stream_weekly_trends(spark, A.analyses(spark, d))
 
 
+@register("stream_late_rows")
+def q_stream_late_rows(spark, d):
+    """Analyses as a stream in three parts, the last with rows of all years: closed weeks
+    with their counts, once, and the rows that came after their week was closed."""
+    a = materialize(A.analyses(spark, d), "analyses")
+    held = F.col("id") % 17 == 4
+    early = F.col("created_at") < F.lit("1997-01-01").cast("timestamp_ntz")
+    out = closing.stream_in_phases(spark, [a.filter(~held & early), a.filter(~held & ~early), a.filter(held)])
+    return closing.read_closing_weeks(spark, out)
+
+
 @register("tfidf_vectors")
 def q_tfidf_vectors(spark, d):
     return vectors.tfidf_vectors(_final(spark, d), "job_id", "clean_description", EMBEDDING_DIM)
