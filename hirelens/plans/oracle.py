@@ -10,7 +10,8 @@ from __future__ import annotations
 from hirelens.functions.text import BOILERPLATE, EMAIL, HTML_TAG, MONEY, NOT_KEPT, PAY_LINE, URL
 from hirelens.schemas import STATUSES
 
-from hirelens.plans.params import AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, TRAINED_AT
+from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, REFERENCE_SKILLS,
+                                   TRAINED_AT)
 
 
 def _re(expr: str, pattern: str, opts: str) -> str:
@@ -515,9 +516,9 @@ ORACLE["score_eval"] = f"""
 WITH {DICT_CTE}, {POSTING_TEXTS},
 ld AS (SELECT job_id AS doc_id, text FROM ptexts WHERE job_id IN (SELECT doc_id FROM labels)),
 {grams_sql('lg', 'ld', 'doc_id', 'text')},
-hits AS (SELECT doc_id, count(DISTINCT g) AS hits FROM lg JOIN dict ON g = skill GROUP BY doc_id),
-sc AS (SELECT l.doc_id, l.quality,
-              round(coalesce(h.hits, 0) / greatest(1, (SELECT count(*) FROM dict)), 6) AS score
+hits AS (SELECT doc_id, count(DISTINCT g) AS hits FROM lg JOIN dict ON g = skill
+         WHERE g IN ({", ".join(f"'{x}'" for x in REFERENCE_SKILLS)}) GROUP BY doc_id),
+sc AS (SELECT l.doc_id, l.quality, round(coalesce(h.hits, 0) / {float(len(REFERENCE_SKILLS))}, 6) AS score
        FROM labels l LEFT JOIN hits h USING (doc_id)),
 pc AS (SELECT *, CAST(round_even(score * 100, 0) AS INTEGER) AS percent FROM sc)
 SELECT quality, count(*) AS docs, round(avg(percent), 6) AS mean_percent,
@@ -683,6 +684,21 @@ GROUP BY user_id"""
 # ---- streaming, CSV and file intake -------------------------------------------------
 
 ORACLE["stream_weekly_trends"] = ORACLE["weekly_trends"]
+ORACLE["corpus_vectors"] = f"""
+WITH {CORPUS_CTES},
+cnt AS (SELECT job_id, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''),
+                 lambda x: CAST(2 * length(clean_description) - length(replace(clean_description, x, ''))
+                                - length(replace(clean_description, upper(x), '')) AS DOUBLE)) AS c FROM final),
+nrm AS (SELECT job_id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM cnt)
+SELECT job_id, list_transform(c, lambda x: round(CAST(CAST(CASE WHEN n > 0 THEN x / n ELSE 0.0 END AS FLOAT) AS DOUBLE), 5)) AS vector
+FROM nrm"""
+
+ORACLE["tenant_latest"] = f"""
+WITH {APPS_CTE}
+SELECT user_id, id, created_at, status, applications FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn,
+         count(*) OVER (PARTITION BY user_id) AS applications FROM apps) WHERE rn = 1"""
+
 ORACLE["stream_late_rows"] = f"""
 WITH {ANALYSES_CTE},
 marks AS (SELECT max(created_at) FILTER (WHERE id % 17 <> 4) - INTERVAL 7 DAY AS held_from,

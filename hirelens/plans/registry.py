@@ -16,13 +16,14 @@ from pyspark.sql import types as T
 from hirelens.functions.jsonparse import get_or_default, parse_replies
 from hirelens.functions.text import with_clean_text
 from hirelens.operators import changes as CH
-from hirelens.operators import corpus, matching, skills, term_vectors, tracker, trends, vectors
-from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, TOP_MATCHES,
-                                   TRAINED_AT)
+from hirelens.operators import (corpus, encoder, matching, skills, term_vectors, tracker, trends,
+                                vectors)
+from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, REFERENCE_SKILLS,
+                                   TOP_MATCHES, TRAINED_AT)
 from hirelens.schemas import FOREIGN_KEYS, JOB_SKILLS, POSTINGS, RECENT_ANALYSES, SKILLS
 from hirelens.session import materialize, shared_path
 from hirelens.sources import adapters as A
-from hirelens.sources import csvio, intake, sinks, versioned
+from hirelens.sources import csvio, intake, sinks, tenant, versioned
 from hirelens.sources.tables import read_table
 from hirelens.streaming import closing, weekly
 
@@ -271,7 +272,7 @@ def q_score_eval(spark, d):
     texts = A.posting_texts(spark, d).withColumnRenamed("job_id", "doc_id")
     labelled = texts.join(labels.select("doc_id"), "doc_id", "left_semi")
     found = skills.extract_skills(labelled, ["doc_id"], "text", dic)
-    return matching.score_eval(found, labels, dic)
+    return matching.score_eval(found, labels, REFERENCE_SKILLS)
 
 
 PAIR_KEYS = ["conv_id", "resume_turn"]
@@ -445,6 +446,27 @@ def q_corpus_artefacts(spark, d):
     return loaded.withColumns({c: F.to_json(c) for c in sinks.NESTED})   # text, to compare
 
 
+@register("corpus_vectors")
+def q_corpus_vectors(spark, d):
+    """The corpus written with a model's vector in every row, read back."""
+    final = materialize(encoder.encode(_final(spark, d), "clean_description", encoder.LetterModel), "corpus-vectors")
+    meta = corpus.corpus_metadata(final, TRAINED_AT, "letters", 26, written=True)
+    base = sinks.write_corpus_artefacts(final, meta, shared_path(spark, "artefacts"))
+    loaded = sinks.load_corpus_artefacts(spark, base)[0]
+    return loaded.select("job_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+
+
+@register("tenant_latest")
+def q_tenant_latest(spark, d):
+    """The newest application of every user and how many there are, from the tracker table
+    in user buckets: no shuffle."""
+    path = shared_path(spark, "tenant")
+    t = tenant.write_user_table(A.applications(spark, d), "tenant_" + path[-12:], path)
+    return t.groupBy("user_id").agg(
+        F.max_by(F.struct("id", "created_at", "status"), F.struct("created_at", "id")).alias("r"),
+        F.count(F.lit(1)).alias("applications")).select("user_id", "r.*", "applications")
+
+
 @register("resume_intake_checks")
 def q_resume_intake_checks(spark, d):
     path = F.concat(F.lit("upload/resume_"), F.col("conv_id").cast("string"), F.lit("_"),

@@ -56,8 +56,9 @@ def rows_of_user(spark: SparkSession, view: str, user_id, status: str | None = N
 
 
 def write_corpus_artefacts(final: DataFrame, metadata: DataFrame, base: str) -> str:
-    """S6 + S8: the corpus table (Parquet, one row per posting, so no positional lists)
-    and the one-row metadata record (JSON, lists and maps as such)."""
+    """S6 + S7 + S8: the corpus table (Parquet, one row per posting, so no positional lists;
+    a vector column, where there is one, is part of the row) and the one-row metadata record
+    (JSON, lists and maps as such)."""
     write_snapshot(final, f"{base}/corpus")
     nested = metadata.withColumns({c: F.from_json(c, t) for c, t in NESTED.items()})
     write_json_records(nested, f"{base}/metadata")
