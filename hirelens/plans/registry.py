@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hirelens.functions.jsonparse import get_or_default, parse_replies
 from hirelens.functions.text import with_clean_text
@@ -411,14 +410,16 @@ def q_request_cosines(spark, d):
 
 @register("corpus_csv_roundtrip")
 def q_corpus_csv_roundtrip(spark, d):
-    """Writes the posting, tag and label tables as CSV, reads them back with fixed
-    schemas and the pandas missing-value rules, and runs the flagship query on them."""
+    """Writes the posting, tag and label tables as CSV, the postings with their six columns in
+    the order they came in, reads them back with fixed schemas and the pandas missing-value
+    rules, and runs the flagship query on them; the first row of a job is the one that stands
+    first in the files."""
     base = shared_path(spark, "csv")
-    post_schema = T.StructType(POSTINGS.fields + [T.StructField("ingest", T.IntegerType())])
-    csvio.write_csv(A.postings(spark, d), f"{base}/postings")
+    came = A.postings(spark, d).orderBy("ingest", "job_id").select(*POSTINGS.names)
+    csvio.write_csv(came, f"{base}/postings")
     csvio.write_csv(A.job_skills(spark, d), f"{base}/job_skills")
     csvio.write_csv(A.skills(spark, d), f"{base}/skills")
-    posts = csvio.read_csv(spark, f"{base}/postings", post_schema)
+    posts = csvio.read_csv_records(spark, f"{base}/postings", POSTINGS).withColumnRenamed("position", "ingest")
     tags = csvio.read_csv(spark, f"{base}/job_skills", JOB_SKILLS, multi_line=False).withColumn(
         "skill_abr", F.col("skill_abr").cast("long"))
     labels = csvio.read_csv(spark, f"{base}/skills", SKILLS, multi_line=False).withColumn(
