@@ -8,8 +8,9 @@ adverts, scripts, styles or reader comments (by element, or by class, id or role
 boilerplate, as are blocks with many links; where a page marks its article, blocks outside
 are boilerplate too. A class, id or role names boilerplate if one of its tokens consists of such
 words and of words of place or layout alone ("site-footer", not "has-sidebar" or
-"search-results"). An article or main element is never boilerplate by its own name, and an
-element around one only if the page has prose in an article elsewhere. Long blocks and blocks of prose (by stop words) are content. Headings and
+"search-results"). An article or main element is never boilerplate by its own name, and a form,
+a header or a named element around one only if the page has prose in an article elsewhere. A
+header inside an article belongs to it. Long blocks and blocks of prose (by stop words) are content. Headings and
 short blocks without such a sign stay open.
 
 Pass 2 looks from each open block to the nearest block on either side, within the same
@@ -23,8 +24,11 @@ have a bound however many languages a crawl makes up. Character references are
 decoded, white space in a block becomes one space, blocks are joined by a line feed; nothing
 else is dropped and nothing is cut short.
 
-Edge cases: a null or empty page has an empty text; a page of boilerplate alone too; broken
-markup (unclosed or crossing tags) is read as far as it goes; repeated pages and pages with
+Pages are read in time proportional to their length, whatever their markup (``Tags``).
+
+Edge cases: a null or empty page has an empty text; a page of boilerplate alone too; unclosed or
+crossing elements are read as far as they go, a tag whose quote is never closed ends at the next
+">", one without that is text; repeated pages and pages with
 null ids are read alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -55,6 +59,7 @@ HIDDEN = frozenset("""script style noscript template svg canvas iframe object te
 math audio video""".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
+AROUND = frozenset("form header".split())  # boilerplate, unless the article is inside
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
 #: Words of class, id or role that name boilerplate.
@@ -69,7 +74,11 @@ PLACES = re.compile(
     r"mobile|desktop|sticky|fixed|inner|outer|lists?|items?|links?|buttons?|btn|icons?|bar|box|boxes|blocks?|"
     r"container|wrapper|wrap|area|zone|section|group|row|col|column|panel|slot|unit|form|field|input|body|"
     r"posts|articles|stories|reply|thread", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration or a tag; quoted values may hold ">". Nothing is tried twice.
+_TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: The same where a quote is never closed: the next ">" ends the tag.
+_PLAIN_TAG = re.compile(r"<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_BEGIN = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HTML = re.compile(r"<html\b", re.I)
 _LANG = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
@@ -86,6 +95,33 @@ def names_boilerplate(named: str) -> bool:
     return False
 
 
+class Tags:
+    """The tags, comments and declarations of a page, in time proportional to its length. A
+    quote that is never closed makes a match run to the end of the page in vain; after a few of
+    those quotes are not heeded any more."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.vain = page, page.rfind(">"), 0
+
+    def after(self, at: int) -> re.Match | None:
+        """The first one that begins at ``at`` or later."""
+        page, n = self.page, len(self.page)
+        at = page.find("<", at)
+        while at >= 0:
+            m = None
+            if _BEGIN.match(page, at):
+                if self.vain <= 8 * n:
+                    m = _TAG.match(page, at)
+                    self.vain += 0 if m else n - at
+                m = m or (_PLAIN_TAG.match(page, at) if at < self.last else None)
+            if m:
+                return m
+            if at > self.last and not page.startswith("<!--", at):
+                return None  # nothing can end any more
+            at = page.find("<", at + 1)
+        return None
+
+
 class Block:
     """Text of one block, the number of its characters in links, and where it stands;
     ``around``: in an element whose name is boilerplate, but which has an article in it."""
@@ -108,6 +144,7 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     depth = {"hidden": 0, "bad": 0, "article": 0}
     articles = 0
+    open_: Counter = Counter()  # open elements by name
 
     def close() -> None:
         nonlocal linked
@@ -122,20 +159,27 @@ def blocks(page: str) -> list[Block]:
 
     def leave(upto: int) -> None:
         while len(stack) > upto:
-            _, hidden, bad, article, named = stack.pop()
+            name, hidden, bad, article, named = stack.pop()
+            open_[name] -= 1
             if named:
                 names.pop()
             depth["hidden"] -= hidden
             depth["bad"] -= bad
             depth["article"] -= article
 
-    at, n = 0, len(page)
+    def read(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        if links:
+            linked += len((html.unescape(text) if "&" in text else text).strip())
+
+    at, n, scan = 0, len(page), Tags(page)
     while at < n:
-        tag = _TAG.search(page, at)
+        tag = scan.after(at)
         text = page[at:tag.start() if tag else n]
         if text:
             parts.append(text)
-            linked += len(text.strip()) if links else 0
+            linked += len((html.unescape(text) if "&" in text else text).strip()) if links else 0
         if not tag:
             break
         at = tag.end()
@@ -150,10 +194,11 @@ def blocks(page: str) -> list[Block]:
             close()
             links = 0
         if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    leave(i)
-                    break
+            if open_[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                leave(i)
             continue
         if name in VOID or name not in BLOCK and name not in HIDDEN:
             continue
@@ -162,7 +207,10 @@ def blocks(page: str) -> list[Block]:
         if tag[3].rstrip().endswith("/") and name in HIDDEN:
             continue
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(tag[3]))
-        entry = (name, name in HIDDEN, name in BOILERPLATE, name in ARTICLE,
+        # the headline of an article stands in a header of its own
+        bad = name in BOILERPLATE and not (name == "header" and depth["article"])
+        spared = bad and name in AROUND
+        entry = (name, name in HIDDEN, bad and not spared, name in ARTICLE, spared or
                  bool(named) and name not in ("html", "body") and name not in ARTICLE and names_boilerplate(named))
         if name in RAW:  # no markup inside: skip to its own end
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -180,6 +228,7 @@ def blocks(page: str) -> list[Block]:
         if entry[4]:
             names.append([False])
         stack.append(entry)
+        open_[name] += 1
         depth["hidden"] += entry[1]
         depth["bad"] += entry[2]
         depth["article"] += entry[3]
@@ -228,10 +277,13 @@ def _nearest(found: list[Block], state: list, placed: list[bool], step: int) ->
 def page_lang(page: str | None) -> str:
     """The language that the page's html tag states, wherever it stands outside comments."""
     if page and _HTML.search(page):
-        for tag in _TAG.finditer(page):
+        scan = Tags(page)
+        tag = scan.after(0)
+        while tag:
             if not tag[1] and (tag[2] or "").lower() == "html":
                 m = _LANG.search(tag[3])
                 return m[1].lower() if m else ""
+            tag = scan.after(tag.end())
     return ""
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -207,6 +208,86 @@ def test_names_of_wrappers_do_not_drop_their_article(page, want):
     assert pages.main_text(page, {"": frozenset(["the", "of"])}) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    (f"<form action=x><div><article><p>{PROSE}</p></article><input name=q></div></form>", PROSE),
+    (f"<form><label>mail</label><p>{PROSE}</p></form><p>{PROSE}</p>", PROSE),
+    (f"<header><main><p>{PROSE}</p></main></header>", PROSE),
+    (f"<article><header><h1>Head</h1></header><p>{PROSE}</p></article><header>Site</header>", f"Head\n{PROSE}"),
+    # seven of the 34 characters shown are linked, though they are written with 19
+    (f"<p>{PROSE}</p><p>the of the of the of the of the <a href=y>x &amp;&amp;&amp; y</a></p>",
+     f"{PROSE}\nthe of the of the of the of the x &&& y"),
+    # a tag inside a script does not swallow what follows it
+    (f"<script>if (a <b \"x) {{}}</script><p>{PROSE}</p><p class=\"y\">{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+    # a quote that is never closed
+    (f"<p title='x>{PROSE}</p><p>{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+    (f"<p>1 < 2 <3 </ x <>{PROSE}</p>", f"1 < 2 <3 </ x <>{PROSE}"),
+])
+def test_forms_headers_and_broken_markup(page, want):
+    assert pages.main_text(page, {"": frozenset(["the", "of"])}) == want
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<!", "<!--", "<!-- x ", "<div>", "</p>", "<a \"", "<a '\" >", "<p title=\"x>", "<", "</",
+                                 "<b>&amp;", "<div class='sidebar'><article>", "<script>", "<li><p>", "<a href='x'>y</a>",
+                                 "<x \"<a >\" ", "</div></p>", "<html ", "<a class=", "&#", "<p>" + "x" * 50])
+@pytest.mark.parametrize("tail", ["", ">", "'\">", "</div>" * 1000 + "</p>" * 1000])
+def test_long_broken_pages_take_linear_time(bit, tail):
+    page = "<div>" * 2000 + bit * (1_000_000 // len(bit)) + tail
+    began = time.process_time()
+    found = pages.blocks(page)
+    pages.label(found, frozenset())
+    pages.page_lang(page)
+    assert time.process_time() - began < 2
+
+
+def plain_labels(found, stop):
+    """The block rules, one block at a time: what it is by its text, where it stands, and the
+    nearest decided block on either side within the same article or outside any."""
+    def by_text(b):
+        words = b.text.lower().split()
+        dense = sum(w.strip(".,;:!?()\"'") in stop for w in words) / len(words)
+        if b.linked / len(b.text) > pages.LINK_DENSITY:
+            return "bad"
+        if not b.heading and (len(b.text) >= pages.LONG or (dense >= pages.STOP_DENSITY and len(words) >= 10)):
+            return "good"
+        return "open"
+
+    usable = [not b.hidden and not b.bad for b in found]
+    if any(u and b.article and not b.around and by_text(b) == "good" for u, b in zip(usable, found)):
+        usable = [u and not b.around for u, b in zip(usable, found)]
+    if any(u and b.article for u, b in zip(usable, found)):
+        usable = [u and b.article > 0 for u, b in zip(usable, found)]
+    out = []
+    for i, b in enumerate(found):
+        kind = by_text(b)
+        if usable[i] and kind == "open":
+            sides = []
+            for places in (range(i - 1, -1, -1), range(i + 1, len(found))):
+                near = [by_text(found[j]) for j in places
+                        if usable[j] and found[j].article == b.article and by_text(found[j]) != "open"]
+                sides += near[:1]
+            kind = "bad" if sides and "good" not in sides else "good"
+        out.append(usable[i] and kind == "good")
+    return out
+
+
+def test_labels_equal_brute_force(spark, sf):
+    from hirelens.sources.tables import read_table
+    stop = frozenset(["the", "of", "a", "and"])
+    rng = random.Random(2)
+    bits = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<a href=x>", "</a>", "<h2>", "</h2>", "<div class=sidebar>",
+            "<form>", "</form>", "<nav>", "</nav>", "the of a and ", "word ", "x " * 130, "the " * 12, "<li>", "<main>", "</main>",
+            "<header>", "</header>", "<br>", "<script>", "</script>"]
+    made = ["".join(rng.choices(bits, k=60)) for _ in range(400)]
+    made += [r.html for r in read_table(spark, sf, "pages").collect()]
+    seen = set()
+    for page in made:
+        found = pages.blocks(page)
+        got = pages.label(found, stop)
+        assert got == plain_labels(found, stop)
+        seen.update(got)
+    assert seen == {True, False}
+
+
 def test_the_html_tag_may_stand_anywhere():
     assert pages.page_lang("<!-- " + "x" * 5000 + " <html lang=en> --><html class=a lang='fr-CA'>") == "fr"
     assert pages.page_lang("<HTML LANG=De>") == "de" and pages.page_lang("<p lang=es>") == ""
