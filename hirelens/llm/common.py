@@ -187,11 +187,14 @@ def map_text(docs: DataFrame, keep: Iterable[str], new: str, function: Callable[
     return docs.select(*[docs[c] for c in dict.fromkeys([*keep, text])]).mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(text, label, key): at most ``max_rows`` labelled documents outside the held-out
-    fold, those with the smallest hash of doc_id. A document with several labels takes the
-    largest; null labels and null texts are left out. The sample is chosen among the small
-    label rows first, so only its texts are read into the shuffle."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
+                    features: Callable[[list], list[bytes]]) -> DataFrame:
+    """(doc_id, label, key, x): at most ``max_rows`` labelled documents outside the held-out
+    fold, those with the smallest hash of doc_id, with what ``features`` makes of their texts.
+    A document with several labels takes the largest, one with several texts the one with the
+    smallest hash; null labels and null texts are left out. The sample is chosen among the
+    small label rows first, and features are made where the texts lie, so no text is moved and
+    what meets in one task has the size of ``max_rows`` features."""
     bound_batches(docs.sparkSession)
     chosen = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
               .where(~held_out("doc_id"))
@@ -199,5 +202,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
               .withColumn("key", F.xxhash64("doc_id"))
               .orderBy("key", "doc_id").limit(max_rows))
     # the sample is bounded by max_rows, and so is the broadcast
-    return (doc_columns(docs, "doc_id", "text").where(F.col("text").isNotNull())
-            .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "key"))
+    rows = (doc_columns(docs, "doc_id", "text").where(F.col("text").isNotNull())
+            .join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "key", F.xxhash64("text").alias("th"), "text"))
+    made = map_text(rows, ["doc_id", "label", "key", "th"], "x binary", lambda texts: [features(texts)])
+    return made.groupBy("doc_id", "label", "key").agg(F.min_by("x", "th").alias("x"))

@@ -103,18 +103,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     idf = term_idf(docs, dim)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for b in batches for r in zip(b["key"], b["doc_id"], b["label"], b["text"])]
+        rows = [r for b in batches for r in zip(b["key"], b["doc_id"], b["label"], b["x"])]
         if rows:
             rows.sort(key=lambda r: r[:2])  # one order, however the rows came in
             x = np.empty((len(rows), dim + 1), np.float32)
-            for at in range(0, len(rows), _BLOCK):
-                x[at:at + _BLOCK] = term_vectors([r[3] for r in rows[at:at + _BLOCK]], idf)
+            for i, r in enumerate(rows):
+                x[i] = np.frombuffer(r[3], np.float32)
             axes = fit_axes(x, rank)
             out = io.BytesIO()
             np.savez(out, axes=axes, near=_unit(x @ axes), label=np.array([r[2] for r in rows], np.float32))
             yield pd.DataFrame({"model": [out.getvalue()]})
 
-    rows = labelled_sample(docs, labels, label, max_rows).repartition(1).mapInPandas(fit, "model binary").collect()
+    def features(texts: list) -> list[bytes]:
+        return [v.tobytes() for at in range(0, len(texts), _BLOCK) for v in term_vectors(texts[at:at + _BLOCK], idf)]
+
+    # at most max_rows vectors of dim + 1 numbers meet in the task
+    sample = labelled_sample(docs, labels, label, max_rows, features)
+    rows = sample.repartition(1).mapInPandas(fit, "model binary").collect()
     return None if not rows else {"idf": idf, **np.load(io.BytesIO(bytes(rows[0]["model"])))}
 
 

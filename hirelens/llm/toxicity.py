@@ -65,21 +65,24 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int
     return weights(np.arange(len(z)))
 
 
+def features(texts: list, bits: int) -> list[bytes]:
+    """The distinct slots of each text, as 32-bit numbers."""
+    out = []
+    for words in hash_docs(texts, punctuation=False):
+        doc, slot = (np.concatenate(x) for x in zip(*slots(words, bits)))
+        order = np.argsort(doc, kind="stable")
+        ends = np.searchsorted(doc[order], np.arange(words.n + 1))
+        out += [np.unique(slot[order[ends[i]:ends[i + 1]]]).astype(np.int32).tobytes() for i in range(words.n)]
+    return out
+
+
 def _fit(bits: int, options: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keyed = []
-        for b in batches:
-            for words in hash_docs(b["text"], punctuation=False):
-                doc, slot = (np.concatenate(x) for x in zip(*slots(words, bits)))
-                order = np.argsort(doc, kind="stable")
-                ends = np.searchsorted(doc[order], np.arange(words.n + 1))
-                for i in range(words.n):
-                    r = b.iloc[words.first + i]
-                    keyed.append((r["key"], r["doc_id"], r["label"],
-                                  np.unique(slot[order[ends[i]:ends[i + 1]]]).astype(np.int32)))
-        if keyed:
-            keyed.sort(key=lambda r: r[:2])  # one order, however the rows came in
-            w = fit_ftrl([r[3] for r in keyed], np.array([r[2] for r in keyed], float), bits, **options)
+        rows = [r for b in batches for r in zip(b["key"], b["doc_id"], b["label"], b["x"])]
+        if rows:
+            rows.sort(key=lambda r: r[:2])  # one order, however the rows came in
+            w = fit_ftrl([np.frombuffer(r[3], np.int32) for r in rows], np.array([r[2] for r in rows], float),
+                         bits, **options)
             at = np.flatnonzero(w)
             yield pd.DataFrame({"slot": at, "weight": w[at]})
     return run
@@ -88,7 +91,8 @@ def _fit(bits: int, options: dict):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS,
           bits: int = BITS, **options) -> tuple[np.ndarray, np.ndarray]:
     """The slots with a weight, and the weights; the bias has slot ``2**bits``."""
-    sample = labelled_sample(docs, labels, label, max_rows)
+    # at most max_rows lists of at most 2**bits slots meet in the task
+    sample = labelled_sample(docs, labels, label, max_rows, lambda texts: features(texts, bits))
     model = (sample.repartition(1).mapInPandas(_fit(bits, options), "slot long, weight double")
              .toPandas().sort_values("slot"))
     return model["slot"].to_numpy(np.int64), model["weight"].to_numpy(float)
