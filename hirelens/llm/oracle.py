@@ -101,8 +101,21 @@ def _fits_sql(measure: str) -> str:
 
 
 _QUARTILES = ", ".join(f"quantile_disc({_share(m)}, [0.25, 0.75]) AS {m}" for m in rules.MEASURES)
-_LIMITS = ", ".join(f"CASE WHEN o.n >= {rules.LEAST} THEN o.{m} WHEN l.n >= {rules.LEAST} THEN l.{m} "
-                    f"ELSE a.{m} END AS {m}" for m in rules.MEASURES)
+
+
+def _drawn(own: str, parent: str, n: str, i: int) -> str:
+    """Quartile i of ``own``, with n texts, drawn towards the parent's."""
+    share = f"(CAST({n} AS DOUBLE) / ({n} + CAST({rules.LEAST} AS DOUBLE)))"
+    return f"coalesce({parent}[{i}] + {share} * ({own}[{i}] - {parent}[{i}]), {own}[{i}], {parent}[{i}])"
+
+
+def _limit(m: str) -> str:
+    language = f"l.{m}" if m in rules.WITHIN_LANGUAGE else \
+        f"[{_drawn(f'l.{m}', f'a.{m}', 'l.n', 1)}, {_drawn(f'l.{m}', f'a.{m}', 'l.n', 2)}]"
+    return f"[{_drawn(f'o.{m}', language, 'o.n', 1)}, {_drawn(f'o.{m}', language, 'o.n', 2)}] AS {m}"
+
+
+_LIMITS = ", ".join(_limit(m) for m in rules.MEASURES)
 
 ORACLE["op9_quality_rules"] = f"""
 WITH b AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,

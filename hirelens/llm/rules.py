@@ -8,8 +8,11 @@ spot) give the quartiles of each measure, and a text fails beyond
 
     Q3 + max(``FENCE`` * (Q3 - Q1), slack)    or below    Q1 - max(``FENCE`` * (Q3 - Q1), slack).
 
-The slack keeps clean texts when a measure hardly varies. A language and source with fewer
-than ``LEAST`` texts uses its language's sketch, a rare language the whole table's. The
+The slack keeps clean texts when a measure hardly varies. Quartiles of few texts say little, so
+they are drawn towards those of the next larger group: with n texts, a language and source has
+the weight n / (n + ``LEAST``) and its language the rest; the language's quartiles are drawn
+towards the whole table's in the same way, but for the length of words, which is never compared
+between languages. No number of texts is a step: a row more moves the thresholds a little. The
 thresholds, a row per language and source, are joined back to the texts' measures.
 
 Repeated windows are found inside the row: 64-bit hashes of all windows, those that occur
@@ -33,7 +36,6 @@ LEAST = 200
 FENCE = 3.0
 ACCURACY = 10_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: measure -> (numerator, slack below or None if low values are fine, slack above)
 #: measure -> (count, per, slack below or None where low values are fine, slack above)
 MEASURES = {
     "word_length": ("word_chars", "n_words", 2.0, 4.0),
@@ -92,6 +94,17 @@ def _value(name: str) -> Column:
     return F.col(count) / F.when(F.col(per) > 0, F.col(per))
 
 
+#: Measures that differ between languages and are judged within one only.
+WITHIN_LANGUAGE = frozenset({"word_length"})
+
+
+def _drawn(own: Column, parent: Column, n: Column, i: int) -> Column:
+    """The i-th quartile of ``own`` drawn towards the parent's; either may be missing."""
+    share = n / (n + F.lit(float(LEAST)))
+    a, b = F.get(own, F.lit(i)), F.get(parent, F.lit(i))
+    return F.coalesce(b + share * (a - b), a, b)
+
+
 def thresholds(counts: DataFrame) -> DataFrame:
     """A row per language and source: lo_<measure> and hi_<measure>."""
     sketch = [F.percentile_approx(_value(m), [0.25, 0.75], ACCURACY).alias(m) for m in MEASURES]
@@ -104,12 +117,15 @@ def thresholds(counts: DataFrame) -> DataFrame:
     both = own.join(language, F.col("lang").eqNullSafe(F.col("__lang")))
     out = [F.col("lang").alias("__lang"), F.col("source").alias("__source")]
     for m, (_, _, below, above) in MEASURES.items():
-        q = (F.when(F.col("n") >= LEAST, F.col(m)).when(F.col("n1") >= LEAST, F.col(f"{m}1"))
-             .otherwise(F.lit(whole[m] if whole else None).cast("array<double>")))
-        spread = FENCE * (q[1] - q[0])
-        out.append((q[1] + F.greatest(spread, F.lit(above))).alias(f"hi_{m}"))
+        table = F.lit(whole[m] if whole else None).cast("array<double>")
+        language = F.col(f"{m}1")
+        if m not in WITHIN_LANGUAGE:
+            language = F.array(*[_drawn(language, table, F.col("n1"), i) for i in (0, 1)])
+        low, high = (_drawn(F.col(m), language, F.col("n"), i) for i in (0, 1))
+        spread = FENCE * (high - low)
+        out.append((high + F.greatest(spread, F.lit(above))).alias(f"hi_{m}"))
         if below is not None:
-            out.append((q[0] - F.greatest(spread, F.lit(below))).alias(f"lo_{m}"))
+            out.append((low - F.greatest(spread, F.lit(below))).alias(f"lo_{m}"))
     return both.select(*out)
 
 

@@ -166,6 +166,24 @@ def test_rules_keep_good_and_drop_broken(spark):
     assert good.kept.mean() > 0.99 and broken.kept.mean() < 0.05
 
 
+def test_one_text_more_moves_thresholds_a_little(spark):
+    """Around LEAST texts, where the thresholds used to change over to the group's own."""
+    def limits(n):
+        rows = [("en", "a", 100, 400 + 10 * (i % 9), i % 3, 0, 0, 1) for i in range(n)]
+        rows += [("en", "b", 100, 600 + 10 * (i % 5), i % 40, 0, 0, 1) for i in range(500)]
+        rows += [("xx", "c", 100, 3000, 0, 0, 0, 1) for i in range(5)]
+        df = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, "
+                                         "n_dup_lines long, n_repeat_words long, n_lines long")
+        return {r["__source"]: r.asDict() for r in rules.thresholds(df).collect()}
+    near = [limits(n)["a"] for n in (rules.LEAST - 1, rules.LEAST, rules.LEAST + 1)]
+    for x, y in zip(near, near[1:]):
+        assert all(abs(x[k] - y[k]) < 0.02 for k in x if k[:3] in ("hi_", "lo_"))
+    # few texts: between their own and their language's; a rare language keeps its word length
+    few, many = limits(20), limits(5000)
+    assert many["a"]["hi_word_length"] < few["a"]["hi_word_length"] < few["b"]["hi_word_length"]
+    assert few["c"]["lo_word_length"] == 30.0 - 2.0 and few["c"]["hi_word_length"] == 30.0 + 4.0
+
+
 def test_rules_odd_rows(spark):
     rows = rules.quality_rules(H.clashing(H.table(spark))).collect()
     assert len(rows) == len(H.ODD)
