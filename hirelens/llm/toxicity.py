@@ -121,9 +121,10 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: Iter
     return map_text(docs, keep, f"`{name}` double", run)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS,
+             **options) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    scored = with_score(docs, train(docs, labels, **options), ["doc_id"])
+    scored = with_score(docs, train(docs, labels, bits=bits, **options), ["doc_id"], bits=bits)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
