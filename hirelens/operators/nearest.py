@@ -10,8 +10,8 @@ gives an upper bound of the score.
 Each resume visits blocks in the order of that bound, twice as many in every round, and stops
 when its k-th best score is above the bound of all blocks left. A resume travels only to the
 blocks it visits, and a block only to the groups of at most ``RESUME_BLOCK`` resumes that visit
-it; nothing is copied to all of the other side. What leaves a task are k rows per resume and
-visited block. Rounding can't lose a posting: bounds are widened by ``SLACK``.
+it; nothing is copied to all of the other side. What leaves a task are at most k rows per resume
+and visited block, and of those only the ones that reach the resume's k-th score so far. Rounding can't lose a posting: bounds are widened by ``SLACK``.
 """
 
 from __future__ import annotations
@@ -129,7 +129,8 @@ def _router(directory: Directory, most: int) -> Callable:
                     blocks, behind = directory.choose(gap, int(d), float(s), int(i), most)
                     chosen.append(blocks)
                     done.append(behind)
-            yield pd.DataFrame({"resume_id": b["resume_id"], "vec": b["vec"], "done": done, "blocks": chosen})
+            yield pd.DataFrame({"resume_id": b["resume_id"], "vec": b["vec"], "kth": b["kth"], "done": done,
+                                "blocks": chosen})
     return run
 
 
@@ -142,15 +143,16 @@ def _scorer(k: int) -> Callable:
         ids = post["posting_id"].to_numpy(np.int64)
         score = np.clip(_matrix(res["vec"]) @ _matrix(post["vec"]).T, 0.0, 1.0)
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]     # ties by posting id
-        return pd.DataFrame({"resume_id": np.repeat(res["resume_id"].to_numpy(np.int64), best.shape[1]),
-                             "posting_id": ids[best].ravel(),
-                             "score": np.take_along_axis(score, best, axis=1).ravel()})
+        top = np.take_along_axis(score, best, axis=1)
+        row, col = np.nonzero(top >= res["kth"].to_numpy(float)[:, None])   # others can't be among the k
+        return pd.DataFrame({"resume_id": res["resume_id"].to_numpy(np.int64)[row],
+                             "posting_id": ids[best[row, col]], "score": top[row, col]})
     return run
 
 
 def _visit(routed: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """(resume_id, posting_id, score): the k best of every visited block."""
-    visits = routed.select("resume_id", "vec", F.explode("blocks").alias("block"))
+    visits = routed.select("resume_id", "vec", "kth", F.explode("blocks").alias("block"))
     # one row per visited block, at most MAX_BLOCKS + PIVOTS
     groups = F.broadcast(visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / RESUME_BLOCK).alias("groups")))
     res = (visits.join(groups, "block")
@@ -175,7 +177,7 @@ def top_k(resumes: DataFrame, postings: DataFrame, k: int, block_rows: int = POS
     best, most = None, first_visits
     while True:
         routed = materialize(state.mapInPandas(
-            _router(directory, most), f"resume_id long, vec {vec}, done int, blocks array<long>")
+            _router(directory, most), f"resume_id long, vec {vec}, kth double, done int, blocks array<long>")
             .where(F.size("blocks") > 0), "routed")
         n = routed.agg(F.sum(F.size("blocks"))).first()[0]
         if n is None:
@@ -189,7 +191,7 @@ def top_k(resumes: DataFrame, postings: DataFrame, k: int, block_rows: int = POS
         if most >= len(directory.block):
             break
         last = best.where(F.col("rank") == k).select("resume_id", F.col("score").alias("kth"), F.col("posting_id").alias("kth_id"))
-        state = routed.drop("blocks").join(last, "resume_id", "left").select(
+        state = routed.drop("blocks", "kth").join(last, "resume_id", "left").select(
             "resume_id", "vec", "done", F.coalesce("kth", F.lit(-1.0)).alias("kth"), F.coalesce("kth_id", F.lit(0)).alias("kth_id"))
         most *= 2
     if best is None:
