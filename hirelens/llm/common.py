@@ -165,6 +165,13 @@ def unpacked(rows: DataFrame, columns: list[str], *names: str) -> DataFrame:
     return rows.select(*[F.col(c) if c in names else F.col("rest")[c].alias(c) for c in columns])
 
 
+def row_keys(rows: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with k1 and k2, 128 bits of hashes over the named columns. Joins and de-duplication
+    by them need no text as a key, and null or repeated ids do not meet in one place."""
+    parts = [rows[n] for n in names] + [rows[n].isNull() for n in names]
+    return rows.withColumn("k1", F.xxhash64(*parts)).withColumn("k2", F.xxhash64(F.lit(1), *reversed(parts)))
+
+
 def map_text(docs: DataFrame, keep: Iterable[str], new: str, function: Callable[[list], list],
              text: str = "text") -> DataFrame:
     """The columns in ``keep``, passed through as Arrow data, and those that ``function``

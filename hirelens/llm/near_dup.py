@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import Words, doc_columns, hash_docs, map_text, materialize, mix64, packed, unpacked
+from hirelens.llm.common import Words, doc_columns, hash_docs, map_text, materialize, mix64, packed, row_keys, unpacked
 from hirelens.llm.components import components
 from hirelens.operators.joins import broadcast_if_within
 
@@ -102,13 +102,14 @@ def _fingerprint(own: np.ndarray) -> str | None:
     return hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else None
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp (hash of the set), n (its size) and signature of every row."""
+def sketch(docs: DataFrame, width: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in ``carry``, fp (hash of the set), n (its size) and signature of
+    every row."""
     def run(texts: list) -> list:
         rows = [(_fingerprint(own), len(own), _signature(own).tobytes() if len(own) else None)
                 for _, own in shingle_sets(texts, width)]
         return list(zip(*rows)) or [[], [], []]
-    return map_text(docs, ["doc_id"], "fp string, n long, signature binary", run)
+    return map_text(docs, ["doc_id", *carry], "fp string, n long, signature binary", run)
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
@@ -293,10 +294,11 @@ def _cross_links(near: DataFrame, member: DataFrame, classes: DataFrame, docs: D
     return dealt.groupBy("block", "lo", "hi").applyInPandas(_links_in_block, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row."""
-    docs = doc_columns(docs, "doc_id", "text")
-    rows = materialize(sketch(docs, width), "sketch")
+def near_duplicates(docs: DataFrame, width: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row, and
+    the columns of ``docs`` named in ``carry``."""
+    docs = doc_columns(docs, "doc_id", "text", *carry)
+    rows = materialize(sketch(docs, width, carry), "sketch")
     per_set = (rows.where("n > 0").groupBy("fp")
                .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
     classes = materialize(per_set.withColumn("vid", F.monotonically_increasing_id()), "classes")
@@ -321,16 +323,17 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     member = materialize(member.select("fp", "doc_id", F.coalesce("component", "vid").alias("component")), "members")
     smallest = materialize(member.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     named = materialize(member.join(smallest, "component").select("fp", "component_id"), "named")
-    return (rows.select("doc_id", "fp", "n").join(named, "fp", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+    return (rows.select("doc_id", *carry, "fp", "n").join(named, "fp", "left")
+            .select("doc_id", *carry, F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One document of each group of near-duplicates, with its own columns."""
-    kept = near_duplicates(docs, width).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = packed(docs, "doc_id", "text")
-    rows = (rows.join(kept, rows["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]))
+    """One document of each group of near-duplicates, with its own columns. Which ones is settled
+    on rows without texts; texts are moved once, for rows that are wholly repeated."""
+    rows = row_keys(packed(docs, "doc_id", "text"), "doc_id", "text")
+    kept = near_duplicates(rows, width, ("k1", "k2")).where("kept").select("k1", "k2").distinct()
+    kept = materialize(kept, "kept")
+    rows = rows.dropDuplicates(["k1", "k2"]).join(kept, ["k1", "k2"], "left_semi")
     return unpacked(rows, docs.columns, "doc_id", "text")

@@ -32,7 +32,7 @@ FROM documents JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
 def seeded_sql(*parts: str) -> str:
-    text = f"concat_ws('|', '{mixing.SEED}', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
+    text = f"concat_ws('|', '{mixing.SEED}', " + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts) + ")"
     return f"CAST('0x' || substr(md5({text}), 1, 7) AS BIGINT)"
 
 
@@ -50,7 +50,9 @@ def _clip(at: str) -> str:
 
 
 ORACLE["op8_mixing"] = f"""
-WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS size FROM documents),
+WITH texts AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS size,
+                      CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS th FROM documents),
+sizes AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, th) - 1 AS copy FROM texts),
 src AS (SELECT source, sum(size) AS source_size, count(*) AS n,
                row_number() OVER (ORDER BY source NULLS LAST) AS party FROM sizes GROUP BY source),
 wt AS (SELECT *, {list(mixing.WEIGHTS)}[(party - 1) % {len(mixing.WEIGHTS)} + 1] AS weight,
@@ -62,11 +64,11 @@ lv AS (SELECT *, (CAST({mixing.SHARE} AS DOUBLE) * sum(source_size) OVER ()
 lvl AS (SELECT level FROM lv WHERE level <= most / weight ORDER BY most / weight, party LIMIT 1),
 goals AS (SELECT source, source_size, n, party, least(most, weight * (SELECT level FROM lvl)) AS target, 0 AS mix
           FROM wt),
-seated AS (SELECT *, CAST(floor((SELECT sum(target) FROM goals) / {mixing.BLOCK}) AS BIGINT) AS seats FROM goals),
+seated AS (SELECT *, CAST(floor(CAST({mixing.SHARE} AS DOUBLE) * (SELECT sum(source_size) FROM goals) / {mixing.BLOCK}) AS BIGINT) AS seats FROM goals),
 quota AS ({_quotas_sql('seated', 'mix', 'party', 'target', 'seats')}),
 sharded AS (
-  SELECT z.doc_id, z.size, g.party, g.source_size, g.target, coalesce(q.quota, 0) AS seats,
-         {seeded_sql("'shard'", 'z.doc_id')} % CAST(ceil(g.n / {mixing.SHARD}) AS BIGINT) AS shard
+  SELECT z.doc_id, z.th, z.copy, z.size, g.party, g.source_size, g.target, coalesce(q.quota, 0) AS seats,
+         {seeded_sql("'shard'", 'z.doc_id', 'z.th', 'z.copy')} % CAST(ceil(g.n / {mixing.SHARD}) AS BIGINT) AS shard
   FROM sizes z JOIN goals g ON z.source IS NOT DISTINCT FROM g.source LEFT JOIN quota q ON q.party = g.party),
 shards AS (SELECT party, shard, seats, sum(size) AS words,
                   CAST(ceil(sum(size) / {mixing.BLOCK}) AS BIGINT) AS blocks FROM sharded GROUP BY ALL),
@@ -77,7 +79,7 @@ ring AS (SELECT *, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS base,
                 CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS more,
                 CASE WHEN blocks > 0 THEN {seeded_sql("'block'", 'party', 'shard')} % blocks ELSE 0 END AS start
          FROM dealt),
-placed AS (SELECT *, sum(size) OVER (PARTITION BY party, shard ORDER BY {seeded_sql("'order'", 'doc_id')}, doc_id, size
+placed AS (SELECT *, sum(size) OVER (PARTITION BY party, shard ORDER BY {seeded_sql("'order'", 'doc_id', 'th', 'copy')}, doc_id, th, copy
                                      ROWS UNBOUNDED PRECEDING) - size AS begin FROM sharded)
 SELECT doc_id, size, source_size, target,
        base * size + {_clip(f'least(start + more, blocks) * {mixing.BLOCK}')} - {_clip(f'start * {mixing.BLOCK}')}

@@ -5,6 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hirelens.llm import mixing, vector_search
 from tests.llm import helpers as H
@@ -168,3 +169,27 @@ def test_mix_odd_rows(spark):
     assert {(r.target, r.taken) for r in mixing.mix(empty).collect()} == {(0.0, 0)}
     assert mixing.mix(H.table(spark, [])).collect() == []
     assert mixing.mix_documents(H.table(spark, [])).collect() == []
+
+
+def test_repeated_rows_and_null_ids_fill_no_shard_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 4)
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, "a b c d e f g h", "s")] * 40 + [(None, f"t{i} u v w", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = docs.select("doc_id", "source", mixing.n_words(docs.text).alias("size"), mixing.text_hash(docs.text).alias("th"))
+    numbered = mixing._numbered(sizes).collect()
+    assert sorted(r.copy for r in numbered if r.size == 8) == list(range(40))
+    shard = mixing._seeded(F.lit("shard"), F.col("doc_id"), F.col("th"), F.col("copy")) % 20
+    per = mixing._numbered(sizes).groupBy(shard.alias("shard")).count().collect()
+    assert len(per) > 10 and max(r["count"] for r in per) <= 16
+    got = mixing.mix(docs).collect()
+    assert len(got) == 80 and abs(sum(r.taken for r in got) - got[0].target) <= 40 * mixing.BLOCK
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_targets_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    sizes = {"b": 900, None: 40, "a": 10, "d": 0, "c": 333, "é": 2000, "Z": 7}
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n long")
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    assert got == {s: pytest.approx(float(t)) for s, t in brute_targets(sizes).items()}
