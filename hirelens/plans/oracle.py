@@ -10,7 +10,7 @@ from __future__ import annotations
 from hirelens.functions.text import BOILERPLATE, EMAIL, HTML_TAG, MONEY, NOT_KEPT, PAY_LINE, URL
 from hirelens.schemas import STATUSES
 
-from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, REFERENCE_SKILLS,
+from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, MODEL_CHARS, REFERENCE_SKILLS,
                                    TRAINED_AT)
 
 
@@ -693,6 +693,12 @@ nrm AS (SELECT job_id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS
 SELECT job_id, list_transform(c, lambda x: round(CAST(CAST(CASE WHEN n > 0 THEN x / n ELSE 0.0 END AS FLOAT) AS DOUBLE), 5)) AS vector
 FROM nrm"""
 
+ORACLE["window_vectors"] = ORACLE["corpus_vectors"].replace(
+    "AS c FROM final)",
+    f"AS c FROM (SELECT job_id, substr(clean_description, 1, {MODEL_CHARS}) AS clean_description FROM final))")
+ORACLE["stream_weekly_restarted"] = ORACLE["weekly_trends"]
+ORACLE["weekly_trends_json_lists"] = ORACLE["weekly_trends"]
+
 ORACLE["tenant_latest"] = f"""
 WITH {APPS_CTE}
 SELECT user_id, id, created_at, status, applications FROM (

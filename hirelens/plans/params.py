@@ -4,6 +4,7 @@ TRAINED_AT = "2024-06-03 09:30:00"     # corpus job run time (a parameter, not n
 AS_OF = "2024-02-01 00:00:00"          # change-set apply time
 EMBEDDING_MODEL = "hashing-tfidf"
 EMBEDDING_DIM = 4096                   # HashingTF buckets of the built-in encoder
+MODEL_CHARS = 512                      # characters that the stand-in model takes of a text
 TOP_MATCHES = 5                        # postings kept per resume
 
 # the skill list that documents are scored against (20 labels, a parameter of the evaluation)

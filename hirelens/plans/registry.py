@@ -17,8 +17,8 @@ from hirelens.functions.text import with_clean_text
 from hirelens.operators import changes as CH
 from hirelens.operators import (corpus, encoder, matching, skills, term_vectors, tracker, trends,
                                 vectors)
-from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, REFERENCE_SKILLS,
-                                   TOP_MATCHES, TRAINED_AT)
+from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, MODEL_CHARS,
+                                   REFERENCE_SKILLS, TOP_MATCHES, TRAINED_AT)
 from hirelens.schemas import FOREIGN_KEYS, JOB_SKILLS, POSTINGS, RECENT_ANALYSES, SKILLS
 from hirelens.session import materialize, shared_path
 from hirelens.sources import adapters as A
@@ -151,6 +151,13 @@ def q_weekly_trends(spark, d):
     return trends.weekly_trends(A.analyses(spark, d))
 
 
+@register("weekly_trends_json_lists")
+def q_weekly_trends_json_lists(spark, d):
+    """The weekly table from analyses whose skill lists are stored as JSON text."""
+    a = A.analyses(spark, d)
+    return trends.weekly_trends(a.withColumn("required_skills", F.to_json("required_skills")))
+
+
 @register("rising_skills")
 def q_rising_skills(spark, d):
     return trends.rising_skills(trends.weekly_trends(A.analyses(spark, d)))
@@ -369,6 +376,15 @@ def q_stream_weekly_trends(spark, d):
     return weekly.stream_weekly_trends(spark, A.analyses(spark, d))
 
 
+@register("stream_weekly_restarted")
+def q_stream_weekly_restarted(spark, d):
+    """The weekly stream stopped and started again for a second part of the analyses, its sink
+    folded after each; equal to the batch job's table."""
+    a = materialize(A.analyses(spark, d), "analyses")
+    odd = F.col("id") % 2 == 1
+    return weekly.stream_weekly_in_phases(spark, [a.filter(odd), a.filter(~odd)], weekly.backlog_lateness(a))
+
+
 @register("stream_late_rows")
 def q_stream_late_rows(spark, d):
     """Analyses as a stream in three parts, the last with rows of all years: closed weeks
@@ -440,9 +456,10 @@ def _resume_files(spark, d, path):
 def q_corpus_artefacts(spark, d):
     """Writes the corpus table and metadata JSON, loads them back, returns the loaded
     metadata record."""
-    final = materialize(_final(spark, d), "corpus-final")
-    meta = corpus.corpus_metadata(final, TRAINED_AT, EMBEDDING_MODEL, EMBEDDING_DIM, written=True)
-    base = sinks.write_corpus_artefacts(final, meta, shared_path(spark, "artefacts"))
+    def meta(written):
+        return corpus.corpus_metadata(written, TRAINED_AT, EMBEDDING_MODEL, EMBEDDING_DIM, written=True)
+
+    base = sinks.write_corpus_artefacts(_final(spark, d), meta, shared_path(spark, "artefacts"))
     loaded = sinks.load_corpus_artefacts(spark, base)[1]
     return loaded.withColumns({c: F.to_json(c) for c in sinks.NESTED})   # text, to compare
 
@@ -450,11 +467,22 @@ def q_corpus_artefacts(spark, d):
 @register("corpus_vectors")
 def q_corpus_vectors(spark, d):
     """The corpus written with a model's vector in every row, read back."""
-    final = materialize(encoder.encode(_final(spark, d), "clean_description", encoder.LetterModel), "corpus-vectors")
-    meta = corpus.corpus_metadata(final, TRAINED_AT, "letters", 26, written=True)
+    def meta(written):
+        return corpus.corpus_metadata(written, TRAINED_AT, "letters", 26, written=True)
+
+    final = encoder.encode(_final(spark, d), "clean_description", encoder.LetterModel)
     base = sinks.write_corpus_artefacts(final, meta, shared_path(spark, "artefacts"))
-    loaded = sinks.load_corpus_artefacts(spark, base)[0]
-    return loaded.select("job_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+    return _rounded(sinks.load_corpus_artefacts(spark, base)[0])
+
+
+def _rounded(vectors_):
+    return vectors_.select("job_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+
+
+@register("window_vectors")
+def q_window_vectors(spark, d):
+    """Vectors of a model that takes so many characters of a text."""
+    return _rounded(encoder.encode(_final(spark, d), "clean_description", encoder.LetterModel, window=MODEL_CHARS))
 
 
 @register("tenant_latest")

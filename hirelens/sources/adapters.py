@@ -19,22 +19,21 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job postings with an ingest order. Labelled documents were scraped a second
     time (ingest 1, changed text), so the same job_id appears twice."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-
-    def shape(df: DataFrame, description: Column, ingest: int) -> DataFrame:
-        return df.select(
-            F.col("doc_id").alias("job_id"),
-            F.concat_ws(" ", "lang", "source").alias("title"),
-            description.alias("description"),
-            F.col("source").alias("company_name"),
-            F.col("lang").alias("formatted_experience_level"),
-            F.lit(None).cast("string").alias("location"),
-            F.lit(ingest).alias("ingest"),
-        )
-
-    labelled = read_table(spark, sf_dir, "labels", "doc_id")
-    again = docs.join(labelled, "doc_id", "left_semi")
-    return shape(docs, F.col("text"), 0).unionByName(
-        shape(again, F.concat(F.col("text"), F.lit("\nReposted listing.")), 1))
+    labelled = read_table(spark, sf_dir, "labels", "doc_id").distinct().withColumn("again", F.lit(1))
+    # one join that both scrapes leave partitioned by job, so that texts are shuffled once
+    scraped = docs.join(labelled, "doc_id", "left").select(
+        "doc_id", "text", "lang", "source",
+        F.explode(F.when(F.col("again") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("ingest"))
+    return scraped.select(
+        F.col("doc_id").alias("job_id"),
+        F.concat_ws(" ", "lang", "source").alias("title"),
+        F.when(F.col("ingest") == 0, F.col("text"))
+        .otherwise(F.concat(F.col("text"), F.lit("\nReposted listing."))).alias("description"),
+        F.col("source").alias("company_name"),
+        F.col("lang").alias("formatted_experience_level"),
+        F.lit(None).cast("string").alias("location"),
+        "ingest",
+    )
 
 
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:

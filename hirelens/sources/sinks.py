@@ -5,6 +5,8 @@ and readers switch to it; JSON records are written with ``to_json`` on the execu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +57,14 @@ def rows_of_user(spark: SparkSession, view: str, user_id, status: str | None = N
     return spark.sql(sql, args=args)
 
 
-def write_corpus_artefacts(final: DataFrame, metadata: DataFrame, base: str) -> str:
+def write_corpus_artefacts(final: DataFrame, metadata: DataFrame | Callable[[DataFrame], DataFrame], base: str) -> str:
     """S6 + S7 + S8: the corpus table (Parquet, one row per posting, so no positional lists;
     a vector column, where there is one, is part of the row) and the one-row metadata record
-    (JSON, lists and maps as such)."""
+    (JSON, lists and maps as such). ``metadata`` may be a function of the corpus, which then gets
+    the table as it was written, so that it is neither computed nor written twice."""
     write_snapshot(final, f"{base}/corpus")
+    if callable(metadata):
+        metadata = metadata(final.sparkSession.read.parquet(f"{base}/corpus"))
     nested = metadata.withColumns({c: F.from_json(c, t) for c, t in NESTED.items()})
     write_json_records(nested, f"{base}/metadata")
     return base

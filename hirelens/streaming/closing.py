@@ -12,9 +12,7 @@ The total of a week is counted under ``SALTS`` keys, by a hash of the id, so tha
 holds a third of all rows is spread over tasks; a reader adds them up. Rows of a key pass
 through in batches, only their number is kept.
 
-The sink appends: each micro-batch owns a folder, which a replayed batch overwrites. ``compact``
-folds all folders so far into one and publishes their number in a one-row file; readers take
-the newest compaction and the folders after it, so old folders are never read again.
+The sink appends folders of micro-batches, which ``compact`` folds into one (see ``folders``).
 """
 
 from __future__ import annotations
@@ -30,6 +28,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from hirelens.functions.text import week_monday
 from hirelens.operators.trends import cleaned_list
 from hirelens.session import shared_path
+from hirelens.streaming import folders
+from hirelens.streaming.folders import compacted_upto  # noqa: F401
 from hirelens.streaming.weekly import SOURCE_SCHEMA, WATERMARK, utc_instant
 
 SALTS = 16
@@ -87,15 +87,11 @@ def run_closing_weeks(spark: SparkSession, source_dir: str, out: str, ckpt: str,
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     weeks = closing_weeks(reader.parquet(source_dir), lateness)
-    spark.createDataFrame([], weeks.schema).write.mode("ignore").parquet(f"{out}/batches/batch_id=-1")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batches/batch_id={batch_id}")
-
+    folders.start_sink(spark, out, weeks.schema)
     before = spark.conf.get(ONE_OPERATOR, None)
     spark.conf.set(ONE_OPERATOR, "false")       # a query takes the setting with it as it starts
     try:
-        q = (weeks.writeStream.outputMode("append").foreachBatch(sink)
+        q = (weeks.writeStream.outputMode("append").foreachBatch(folders.write_batch(out))
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     finally:
         spark.conf.unset(ONE_OPERATOR) if before is None else spark.conf.set(ONE_OPERATOR, before)
@@ -103,36 +99,22 @@ def run_closing_weeks(spark: SparkSession, source_dir: str, out: str, ckpt: str,
     return out
 
 
-def compacted_upto(spark: SparkSession, out: str) -> int:
-    """The last batch of the newest published compaction, -2 before there is one."""
-    spark.createDataFrame([], "upto long").write.mode("ignore").parquet(f"{out}/published/first")
-    row = spark.read.schema("upto long").parquet(f"{out}/published/*").agg(F.max("upto")).first()
-    return -2 if row[0] is None else row[0]
-
-
 def read_closing_weeks(spark: SparkSession, out: str) -> DataFrame:
     """kind, week_of, skill_name, id, n: a row per closed (week, skill), the null skill being
     the week's total, and a row per late analysis."""
-    upto = compacted_upto(spark, out)
-    rows = spark.read.schema(f"{OUT}, batch_id long").parquet(f"{out}/batches").filter(F.col("batch_id") > upto).drop("batch_id")
-    if upto > -2:
-        rows = rows.unionByName(spark.read.schema(OUT).parquet(f"{out}/compact/upto={upto}"))
+    return _added_up(folders.read_batches(spark, out, OUT))
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
+    rows = rows.drop("batch_id")
     closed = (rows.filter("kind = 'closed'").groupBy("kind", "week_of", "skill_name").agg(F.sum("n").alias("n"))
               .withColumn("id", F.lit(None).cast("long")))
     return rows.filter("kind = 'late'").unionByName(closed)
 
 
 def compact(spark: SparkSession, out: str) -> int:
-    """Folds every batch written so far into one folder and publishes it; returns the last
-    batch in it. Safe to run again: an unpublished folder is overwritten, and a replay of a
-    folded batch is not read."""
-    found = spark.read.schema(f"{OUT}, batch_id long").parquet(f"{out}/batches").inputFiles()
-    last = max(int(f.split("batch_id=")[1].split("/")[0]) for f in found)
-    if last > compacted_upto(spark, out):
-        read_closing_weeks(spark, out).write.mode("overwrite").parquet(f"{out}/compact/upto={last}")
-        (spark.createDataFrame([(last,)], "upto long").coalesce(1).write.mode("overwrite")
-         .parquet(f"{out}/published/upto-{last}"))
-    return last
+    """Folds every batch written so far into one folder; returns the last batch in it."""
+    return folders.fold_batches(spark, out, OUT, _added_up)
 
 
 def stream_in_phases(spark: SparkSession, phases: list[DataFrame], lateness: str = WATERMARK) -> str:

@@ -6,9 +6,9 @@ stateful aggregation carries both the skill frequency and the weekly total: ever
 analysis contributes a null-skill row, whose count is the week's source_count.
 
 The sink is ``foreachBatch`` in update mode: each micro-batch writes its changed
-(window, skill) counts to its own ``batch_id=N`` folder (overwrite, so a replayed batch
-is idempotent) under the shared checkpoint area; the table's current value is the
-latest batch's row per key. Output and checkpoint folders are arguments: a query started
+(window, skill) counts to its own folder under the shared checkpoint area, and from time to
+time these are folded into one (see ``folders``); the table's current value is the latest
+batch's row per key. Output and checkpoint folders are arguments: a query started
 again with the same two resumes where it stopped and reads only new files.
 Rows older than the watermark are dropped by Spark's state store (late data, ST2);
 Spark judges lateness against the previous micro-batch's watermark, and ``late_rows``
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from hirelens.operators.trends import cleaned_list, trends_of
 from hirelens.session import shared_path
+from hirelens.streaming import folders
 
 SOURCE_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -32,6 +33,7 @@ SOURCE_SCHEMA = T.StructType([
     T.StructField("required_skills", T.ArrayType(T.StringType())),
 ])
 
+SINK = "w struct<start: timestamp, end: timestamp>, skill_name string, n long"
 WATERMARK = "7 days"
 WEEK_START = "4 days"     # shift from the Thursday epoch to Monday
 MICRO_BATCHES = 4         # micro-batches a backlog is read in
@@ -78,26 +80,28 @@ def run_weekly_stream(spark: SparkSession, source_dir: str, max_files: int | Non
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     agg = weekly_counts(reader.parquet(source_dir), lateness)
-    # an empty first folder: the table can be read before (or without) any micro-batch
-    spark.createDataFrame([], agg.schema).write.mode("ignore").parquet(f"{out}/batch_id=-1")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        # foreachBatch may re-run a batch after a failure: each batch owns its folder and
-        # overwrites it, so a replay replaces its own rows instead of adding them again
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
+    folders.start_sink(spark, out, agg.schema)
+    q = (agg.writeStream.outputMode("update").foreachBatch(folders.write_batch(out))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    """The newest count of every (week, skill)."""
+    return rows.groupBy("w", "skill_name").agg(F.max_by("n", "batch_id").alias("n"))
+
+
+def compact_weekly_table(spark: SparkSession, out: str) -> int:
+    """Folds the batches so far into the newest count of every (week, skill), so that readers do
+    not go through every update ever written; returns the last batch in it."""
+    return folders.fold_batches(spark, out, SINK, _latest)
+
+
 def read_weekly_table(spark: SparkSession, out: str) -> DataFrame:
     """Current skill_trends rows from the sink: latest batch per (week, skill), the
     weekly totals joined back."""
-    raw = spark.read.parquet(out)
-    cur = (raw.groupBy("w", "skill_name").agg(F.max_by("n", "batch_id").alias("n"),
-                                              F.max(F.col("skill_name").isNull()).alias("total"))
+    cur = (_latest(folders.read_batches(spark, out, SINK)).withColumn("total", F.col("skill_name").isNull())
            .withColumn("week_of", utc_date(F.col("w.start"))))
     return trends_of(cur.select("week_of", "skill_name", F.col("n").cast("int").alias("n"), "total"))
 
@@ -107,7 +111,7 @@ def late_rows(spark: SparkSession, source_dir: str, out: str) -> DataFrame:
     the late ones that the watermark dropped (rows without ``created_at`` are in no week)."""
     src = spark.read.schema(SOURCE_SCHEMA).parquet(source_dir)
     seen = src.agg(F.count("created_at").alias("analyses"))
-    kept = (spark.read.parquet(out).filter(F.col("skill_name").isNull())
+    kept = (folders.read_batches(spark, out, SINK).filter(F.col("skill_name").isNull())
             .groupBy("w").agg(F.max_by("n", "batch_id").alias("n"))
             .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted")))
     both = seen.select("analyses", F.lit(0).cast("long").alias("counted")).unionByName(
@@ -128,3 +132,14 @@ def stream_weekly_trends(spark: SparkSession, analyses: DataFrame) -> DataFrame:
     out = run_weekly_stream(spark, src, max_files=max(1, -(-files // MICRO_BATCHES)),
                             lateness=backlog_lateness(written))
     return read_weekly_table(spark, out)
+
+
+def stream_weekly_in_phases(spark: SparkSession, phases: list[DataFrame], lateness: str) -> DataFrame:
+    """Hands each phase to the stream as new files, restarts it on them from its checkpoint and
+    folds the sink after it; returns the weekly table."""
+    src, out, ckpt = (shared_path(spark, f"weekly-trends-{x}") for x in ("src", "out", "ckpt"))
+    for rows in phases:
+        rows.select("id", "created_at", "required_skills").write.mode("append").parquet(src)
+        run_weekly_stream(spark, src, out=out, ckpt=ckpt, lateness=lateness)
+        compact_weekly_table(spark, out)
+    return read_weekly_table(spark, out)

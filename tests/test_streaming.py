@@ -74,3 +74,23 @@ def test_weekly_trends_reads_lists_given_as_json_text(spark):
     for df in (a, text):
         assert {(r.skill_name, r.frequency, r.source_count)
                 for r in trends.weekly_trends(df).collect()} == want
+
+
+def test_folded_sink_keeps_the_newest_counts_and_leaves_old_batches_unread(spark, tmp_dir):
+    src, out, ckpt = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
+    for i in (1, 2, 3):
+        _rows(spark, [(i, "2024-03-01 00:00:00", ["go"]), (9 + i, "2024-03-02 00:00:00", None)]) \
+            .coalesce(1).write.mode("append").parquet(src)
+        weekly.run_weekly_stream(spark, src, out=out, ckpt=ckpt)
+        before = weekly.read_weekly_table(spark, out).collect()
+        last = weekly.compact_weekly_table(spark, out)
+        assert last == weekly.compact_weekly_table(spark, out)
+        table = weekly.read_weekly_table(spark, out)
+        assert table.collect() == before and (before[0].frequency, before[0].source_count) == (i, 2 * i)
+        assert f"/compact/upto={last}" in table._jdf.queryExecution().executedPlan().toString()
+    assert weekly.late_rows(spark, src, out).first().asDict() == {"analyses": 6, "counted": 6, "late": 0}
+    # a replay of a folded batch, and a fold that was not published, change nothing
+    stale = spark.read.schema(weekly.SINK).parquet(f"{out}/compact/upto={last}").withColumn("n", F.lit(77).cast("long"))
+    stale.write.mode("overwrite").parquet(f"{out}/batches/batch_id=0")
+    stale.write.mode("overwrite").parquet(f"{out}/compact/upto={last + 1}")
+    assert weekly.read_weekly_table(spark, out).collect() == before
