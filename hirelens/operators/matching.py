@@ -4,8 +4,6 @@ Pairs are explicit (an equi-join of request keys), never a cross product."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,14 +106,14 @@ def lexical_pair_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, score.alias("score"), S.percent(score).alias("percent"))
 
 
-def score_eval(doc_skills: DataFrame, labels: DataFrame, reference: Sequence[str]) -> DataFrame:
-    """M5 over labelled documents: score = share of a fixed reference skill list that a
-    document names; percent = round(score*100); error = |percent - expected|. One row per
-    quality class with its mean percent and mean absolute error. The list is a parameter of
-    the job, so the scores don't move with the label table."""
-    n = F.lit(float(max(1, len(set(reference)))))
-    named = F.array_intersect("skills", F.array(*[F.lit(s) for s in reference]).cast("array<string>"))
-    hits = doc_skills.select("doc_id", F.size(named).alias("hits"))
+def score_eval(doc_skills: DataFrame, labels: DataFrame, reference: DataFrame) -> DataFrame:
+    """M5 over labelled documents: score = share of the reference skill list (rows of
+    ``skill``) that a document names; percent = round(score*100); error = |percent -
+    expected|. One row per quality class with its mean percent and mean absolute error."""
+    n = F.lit(float(max(1, reference.count())))
+    hits = (doc_skills.select("doc_id", F.explode("skills").alias("skill"))
+            .join(reference.select("skill"), "skill").groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("hits")))
     scored = (labels.select("doc_id", "quality").join(hits, "doc_id", "left")
               .withColumn("score", F.round(F.coalesce(F.col("hits"), F.lit(0)) / n, 6))
               .withColumn("percent", S.percent(F.col("score")))

@@ -10,8 +10,7 @@ from __future__ import annotations
 from hirelens.functions.text import BOILERPLATE, EMAIL, HTML_TAG, MONEY, NOT_KEPT, PAY_LINE, URL
 from hirelens.schemas import STATUSES
 
-from hirelens.plans.params import (AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, MODEL_CHARS, REFERENCE_SKILLS,
-                                   TRAINED_AT)
+from hirelens.plans.params import AS_OF, EMBEDDING_DIM, EMBEDDING_MODEL, MODEL_CHARS, TRAINED_AT
 
 
 def _re(expr: str, pattern: str, opts: str) -> str:
@@ -516,9 +515,9 @@ ORACLE["score_eval"] = f"""
 WITH {DICT_CTE}, {POSTING_TEXTS},
 ld AS (SELECT job_id AS doc_id, text FROM ptexts WHERE job_id IN (SELECT doc_id FROM labels)),
 {grams_sql('lg', 'ld', 'doc_id', 'text')},
-hits AS (SELECT doc_id, count(DISTINCT g) AS hits FROM lg JOIN dict ON g = skill
-         WHERE g IN ({", ".join(f"'{x}'" for x in REFERENCE_SKILLS)}) GROUP BY doc_id),
-sc AS (SELECT l.doc_id, l.quality, round(coalesce(h.hits, 0) / {float(len(REFERENCE_SKILLS))}, 6) AS score
+hits AS (SELECT doc_id, count(DISTINCT g) AS hits FROM lg JOIN dict ON g = skill GROUP BY doc_id),
+sc AS (SELECT l.doc_id, l.quality,
+              round(coalesce(h.hits, 0) / greatest(1, (SELECT count(*) FROM dict)), 6) AS score
        FROM labels l LEFT JOIN hits h USING (doc_id)),
 pc AS (SELECT *, CAST(round_even(score * 100, 0) AS INTEGER) AS percent FROM sc)
 SELECT quality, count(*) AS docs, round(avg(percent), 6) AS mean_percent,

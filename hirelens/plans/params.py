@@ -6,7 +6,3 @@ EMBEDDING_MODEL = "hashing-tfidf"
 EMBEDDING_DIM = 4096                   # HashingTF buckets of the built-in encoder
 MODEL_CHARS = 512                      # characters that the stand-in model takes of a text
 TOP_MATCHES = 5                        # postings kept per resume
-
-# the skill list that documents are scored against (20 labels, a parameter of the evaluation)
-REFERENCE_SKILLS = [f"{kind} {thing}" for kind in ("blue", "cold", "hot", "large", "red")
-                    for thing in ("anvil", "bolt", "gizmo", "rod")]

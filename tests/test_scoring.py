@@ -41,3 +41,18 @@ def test_match_report_example(spark):
 def test_nothing_to_match_scores_zero(spark):
     df = spark.createDataFrame([([], [], ["x"])], "req array<string>, pref array<string>, res array<string>")
     assert df.select(S.match_score(F.col("req"), F.col("pref"), F.col("res"))).first()[0] == 0.0
+
+
+def test_score_eval_weighs_every_label(spark):
+    from hirelens.operators.matching import score_eval
+    names = [f"tool {k}" for k in range(30)]
+    found = spark.createDataFrame([(1, names[:15]), (2, []), (3, names)], "doc_id long, skills array<string>")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (9, 0)], "doc_id long, quality int")
+    dictionary = spark.createDataFrame([(n, 1, 2) for n in names], "skill string, labels long, n_words int")
+    got = {r.quality: (r.docs, r.mean_percent, r.mean_abs_error) for r in score_eval(found, labels, dictionary).collect()}
+    assert got == {1: (2, 25.0, 35.0), 0: (2, 50.0, 50.0)}
+
+
+def test_score_eval_sql_has_no_list_of_its_own():
+    from hirelens.plans.oracle import ORACLE
+    assert " IN ('" not in ORACLE["score_eval"].split("hits AS")[1]
