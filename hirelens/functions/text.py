@@ -29,7 +29,15 @@ BOILERPLATE = [                                                          # case-
     r"please send (resume|cv).*",
 ]
 NOT_KEPT = r"[^a-zA-Z0-9\s\.\,\-\/\+\#]"
-KEPT_RUN = r"[^a-zA-Z0-9.,\-/+#]+"
+KEPT = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,-/+#"
+
+
+def others(kept: str) -> str:
+    """The Latin-1 characters, apart from the space, that are not ``kept``."""
+    return "".join(chr(i) for i in range(256) if chr(i) not in kept and chr(i) != " ")
+
+
+KEPT_RUN = others(KEPT)     # a run of these characters and spaces between kept ones becomes one space
 # needles: a text without any of them cannot match R1–R6
 LITERAL_NEEDLES = ["<", "http", "www.", "@", "$", ":"]
 CASE_BLIND_NEEDLES = ["pportun", "we are comm", "all qual", "plea"]
@@ -68,12 +76,27 @@ def _chain(out: Column, steps: list[tuple[str, str]]) -> Column:
     return py_strip(out)
 
 
+def only(c: Column, kept: str) -> Column:
+    """``c`` with spaces in place of every character outside ``kept`` (ASCII characters). A
+    pattern pays for each match, and most texts have one per word; here the UTF-8 bytes are
+    read as Latin-1, so that another character becomes two to four of 128 known ones, and
+    translated. The spaces' number is not the characters': callers split or squeeze them."""
+    gone = others(kept)
+    return F.translate(F.decode(c.cast("binary"), "ISO-8859-1"), gone, " " * len(gone))
+
+
+def _squeeze(c: Column) -> Column:
+    """One space for every run of them; ``c`` holds no U+0001."""
+    marked = F.replace(c, F.lit(" "), F.lit(" \x01"))
+    return F.replace(F.replace(marked, F.lit("\x01 "), F.lit("")), F.lit("\x01"), F.lit(""))
+
+
 def _tail(out: Column) -> Column:
     """R7 + R8 + strip in one pass: every run of characters outside the kept set
     (whitespace is outside it too) becomes one space, then end spaces go. Same result
     as replacing each dropped character by a space, collapsing whitespace runs and
     stripping."""
-    return F.trim(F.regexp_replace(out, KEPT_RUN, " "))
+    return F.trim(_squeeze(only(out, KEPT)))
 
 
 def clean_description(c: Column) -> Column:

@@ -39,3 +39,39 @@ def test_empty_table_and_common_term(spark):
     assert term_weights(none, "id", "text").count() == 0
     same = spark.createDataFrame([(1, "go"), (2, "go go")], "id long, text string")
     assert {r.weight for r in term_weights(same, "id", "text").collect()} == {0.0}
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_counted_in_their_rows(spark):
+    """No task holds a table of the terms of many texts."""
+    from hirelens.operators import term_vectors as V
+    texts = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "ü a.b Ü")], "id long, text string")
+    counts = V._counted(texts, "id", "text")
+    assert "Aggregate" not in _executed(counts) and "Exchange" not in _executed(counts)
+    assert {r.id: [tuple(t) for t in r.terms] for r in counts.collect()} == {
+        1: [("a", 1), ("b", 2)], 2: [], 3: [], 4: [("a.b", 1)]}
+
+
+def test_ids_in_several_rows(spark, monkeypatch):
+    from hirelens.operators import joins
+    split = spark.createDataFrame([(1, "go"), (1, "go sql"), (2, "SQL and"), (2, "c#"), (3, ""), (3, None), (5, "go"),
+                                   (None, "x"), (None, "x y")], "id long, text string")
+    whole = spark.createDataFrame([(1, "go go sql"), (2, "sql and c#"), (3, ""), (5, "go"), (None, "x x y")],
+                                  "id long, text string")
+    rows = [sorted((str(r.id), r.term, round(r.weight, 9)) for r in term_weights(t, "id", "text").collect())
+            for t in (split, whole)]
+    monkeypatch.setattr("hirelens.operators.term_vectors.is_small", lambda df: False)     # joined by shuffle
+    rows.append(sorted((str(r.id), r.term, round(r.weight, 9)) for r in term_weights(split, "id", "text").collect()))
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 8
+    assert joins.is_small(whole)
+
+
+def test_cosines_shuffle_vectors_not_terms(spark):
+    from hirelens.operators import term_vectors as V
+    v = V.text_vectors(spark.createDataFrame(TEXTS, "id long, text string"), "id", "text").localCheckpoint()
+    pairs = spark.createDataFrame([(1, 2), (5, 5)], "a long, b long")
+    plan = _executed(V.vector_cosines(pairs, "a", "b", v, v, "id"))
+    assert "Aggregate" not in plan and plan.count("term#") == 0
