@@ -417,10 +417,11 @@ def q_request_cosines(spark, d):
     texts = (res.select(F.concat(F.lit("r"), "resume_id").alias("text_id"), F.col("raw_text").alias("text"))
              .unionByName(asked.select(F.concat(F.lit("q"), "request_id").alias("text_id"),
                                        F.col("jd_text").alias("text"))))
-    weights = materialize(term_vectors.term_weights(texts, "text_id", "text"), "term-weights")
+    found = materialize(term_vectors.text_vectors(texts, "text_id", "text"), "text-vectors")
     pairs = asked.select("request_id", F.concat(F.lit("r"), "resume_id").alias("resume"),
                          F.concat(F.lit("q"), "request_id").alias("posting"))
-    return term_vectors.pair_cosines(pairs, "resume", "posting", weights, "text_id").select(
+    of_resumes, of_postings = (found.filter(F.col("text_id").startswith(kind)) for kind in "rq")
+    return term_vectors.vector_cosines(pairs, "resume", "posting", of_resumes, of_postings, "text_id").select(
         "request_id", "score", "percent")
 
 
