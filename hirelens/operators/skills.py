@@ -22,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelens.functions.text import only
 from hirelens.session import materialize
 
 # ---- fixed values ------------------------------------------------------------
-SEPARATORS = r"[^a-z0-9+#.]+"
-# as SEPARATORS, and full stops that end a word ("go." is go, "node.js" stays whole)
-TERM_BREAKS = r"(?:[^a-z0-9+#.]|\.++(?![a-z0-9]))+"
+TERM_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789+#."     # all others separate
+# full stops that end a word separate the terms of labels ("go." is go, "node.js" stays whole)
+FINAL_STOPS = r"\.++(?![a-z0-9])"
 PREFERRED_LINE = r"(?i)preferred|nice to have|bonus|plus"   # our rule for M2
 ROLE_LINE = r"(?imd)^[ \t]*(?:title|role|position)[ \t]*:[ \t]*([^\r\n]*)"
 COMPANY_LINE = r"(?imd)^[ \t]*company[ \t]*:[ \t]*([^\r\n]*)"
@@ -37,11 +38,11 @@ STRIDE = 4      # terms that every position carries; longer labels are found by
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+    return F.array_remove(F.split(only(F.lower(text), TERM_CHARS), " "), "")
 
 
 def terms(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), TERM_BREAKS), "")
+    return F.array_remove(F.split(F.regexp_replace(only(F.lower(text), TERM_CHARS), FINAL_STOPS, " "), " "), "")
 
 
 def label_dictionary(labels: DataFrame, name_col: str = "skill_name") -> DataFrame:
@@ -176,11 +177,11 @@ def posting_skills(postings: DataFrame, id_cols: list[str], text_col: str,
     lines = lines.withColumn("pref", F.col("line").rlike(PREFERRED_LINE).cast("int"))
     hits = _hits(lines, [*id_cols, "pref"], "line", dictionary)
     none = _nothing_found(postings, id_cols).withColumn("pref", F.lit(0))
-    per_skill = (hits.unionByName(none).groupBy(*id_cols, "skill")
-                 .agg(F.min("pref").alias("pref_only")))
-    return per_skill.groupBy(*id_cols).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pref_only") == 0, F.col("skill")))).alias("required_skills"),
-        F.array_sort(F.collect_list(F.when(F.col("pref_only") == 1, F.col("skill")))).alias("preferred_skills"))
+    named = hits.unionByName(none).groupBy(*id_cols).agg(
+        F.collect_set(F.when(F.col("pref") == 0, F.col("skill"))).alias("asked"),
+        F.collect_set(F.when(F.col("pref") == 1, F.col("skill"))).alias("wished"))
+    return named.select(*id_cols, F.array_sort("asked").alias("required_skills"),
+                        F.array_sort(F.array_except("wished", "asked")).alias("preferred_skills"))
 
 
 def posting_role(text: Column) -> Column:

@@ -187,3 +187,15 @@ def test_stand_in_data_reaches_every_branch(spark):
     posts = R.QUERIES["posting_skills"](spark, D).collect()
     assert len(posts) == spark.read.parquet(f"{D}/documents.parquet").count()
     assert any(r.preferred_skills for r in posts) and all(r.jd_role for r in posts)
+
+
+def test_posting_skills_are_shuffled_once(spark):
+    from hirelens.operators.skills import posting_skills
+    d = spark.createDataFrame([("go", 1, 1), ("sql", 1, 1), ("c#", 1, 1)], "skill string, labels long, n_words int")
+    posts = spark.createDataFrame([(1, "Must know go, sql.\nbonus: SQL c#"), (2, None), (None, "plus go"), (1, "go")],
+                                  "id long, t string")
+    out = posting_skills(posts, ["id"], "t", d)
+    assert {r.id: (r.required_skills, r.preferred_skills) for r in out.collect()} == {
+        1: (["go", "sql"], ["c#"]), 2: ([], []), None: ([], ["go"])}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(id" in x and "skill" in x.split("),")[0]]

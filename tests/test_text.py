@@ -65,3 +65,22 @@ def test_guarded_cleaning_equals_plain_on_random_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     diff = df.filter(clean_description(F.col("t")) != clean_description_plain(F.col("t")))
     assert diff.count() == 0, diff.limit(3).collect()
+
+
+def test_terms_and_tail_without_patterns(spark):
+    """Reading bytes as Latin-1 and translating gives what the patterns gave."""
+    from hirelens.functions.text import _tail
+    from hirelens.operators.skills import terms, tokens
+    odd = ["".join(map(chr, range(300))), "Go. node.js ..+x a..b  c# üK😀İx", "", " ", None, "a\x01\x01 b\x00.", "ſK é z."]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    t = F.col("t")
+
+    def split(pattern):
+        return F.array_remove(F.split(F.lower(t), pattern), "")
+
+    got = df.select(
+        tokens(t).eqNullSafe(split(r"[^a-z0-9+#.]+")).alias("tokens"),
+        terms(t).eqNullSafe(split(r"(?:[^a-z0-9+#.]|\.++(?![a-z0-9]))+")).alias("terms"),
+        _tail(t).eqNullSafe(F.trim(F.regexp_replace(t, r"[^a-zA-Z0-9.,\-/+#]+", " "))).alias("tail"))
+    assert all(all(r) for r in got.collect())
+    assert "regexp" not in df.select(tokens(t), _tail(t))._jdf.queryExecution().optimizedPlan().toString()
