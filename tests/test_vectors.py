@@ -52,3 +52,11 @@ def test_top_matches_normalises(spark):
     post = spark.createDataFrame([(10, [5.0, 5.0]), (11, [0.5, 0.0]), (12, [0.0, 0.0])], schema)
     got = [(r.posting_id, r.score) for r in top_matches(res, post, 3).orderBy("rank").collect()]
     assert got == [(11, 1.0), (10, 0.707107), (12, 0.0)]
+
+
+def test_slots_without_weight_are_dropped_before_the_sum(spark):
+    df = spark.createDataFrame([(1, "Go SQL go"), (2, "sql"), (3, ""), (4, "rust")], "id long, t string")
+    out = tfidf_vectors(df, "id", "t", 1 << 12)
+    assert {r.id: (r.nnz, r.norm) for r in out.collect()} == {1: (2, 1.0), 2: (1, 1.0), 3: (0, 0.0), 4: (1, 1.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_remove" in plan and "filter(" not in plan
