@@ -1,9 +1,10 @@
 """Resume file intake in bulk.
 
 Input is the ``binaryFile`` shape (path, content). The suffix gate and blank check are
-Spark expressions; only DOCX rows reach Python, where ``mapInPandas`` reads the
+Spark expressions; only DOCX rows reach Python, where ``mapInArrow`` reads the
 document XML (standard-library zip + XML, body-level paragraphs joined by newlines,
-stripped). PDF text extraction needs a codec library that is not available here: PDF
+stripped), ``FILES_AT_ONCE`` files at a time, so that a worker's memory doesn't grow with
+the batches it is sent. PDF text extraction needs a codec library that is not available here: PDF
 files are reported, not read.
 """
 
@@ -14,12 +15,13 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DOC_XML = "word/document.xml"
+FILES_AT_ONCE = 256     # files whose texts or bytes a worker holds as Python objects
 
 
 def docx_text(data: bytes) -> str:
@@ -41,20 +43,27 @@ def docx_text(data: bytes) -> str:
     return "\n".join(paras).strip()
 
 
-def _parse_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, FILES_AT_ONCE):
+            yield batch.slice(at, FILES_AT_ONCE)
+
+
+def _parse_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the text of rows that have content, or the name of the error."""
-    for pdf in it:
+    for part in _slices(it):
         texts, errs = [], []
-        for b in pdf["content"]:
+        for content in part.column("content"):
             text = err = None
-            if b is not None:
+            if content.is_valid:
                 try:
-                    text = docx_text(bytes(b))
+                    text = docx_text(content.as_py())
                 except Exception as e:  # noqa: BLE001 - a bad file is a per-row outcome
                     err = type(e).__name__
             texts.append(text)
             errs.append(err)
-        yield pd.DataFrame({"path": pdf["path"], "raw_text": texts, "error": errs})
+        yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(texts, pa.string()), pa.array(errs, pa.string())],
+                                         names=["path", "raw_text", "error"])
 
 
 def intake(files: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def intake(files: DataFrame) -> DataFrame:
     def is_type(suffix: str):
         return F.lower(F.col("path")).endswith(suffix)
 
-    out = files.select("path", F.when(is_type(".docx"), F.col("content")).alias("content")).mapInPandas(
+    out = files.select("path", F.when(is_type(".docx"), F.col("content")).alias("content")).mapInArrow(
         _parse_batches, "path string, raw_text string, error string")
     status = (F.when(is_type(".pdf"), F.lit("pdf reader not available"))
               .when(~is_type(".docx"), F.lit("unsupported type"))
@@ -125,13 +134,13 @@ def docx_bytes(text: str) -> bytes:
     return buf.getvalue()
 
 
-def _build_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        yield pd.DataFrame({"path": pdf["path"],
-                            "content": [docx_bytes(t or "") for t in pdf["text"]]})
+def _build_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(it):
+        content = [docx_bytes(t.as_py() or "") for t in part.column("text")]
+        yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(content, pa.binary())], names=["path", "content"])
 
 
 def as_files(df: DataFrame, path_col: str, text_col: str) -> DataFrame:
     """(path, content) rows holding each text as a DOCX document."""
-    return df.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInPandas(
+    return df.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInArrow(
         _build_batches, "path string, content binary")

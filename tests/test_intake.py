@@ -43,3 +43,13 @@ def test_equal_file_names_of_two_users(spark):
 def test_a_file_without_content(spark):
     files = spark.createDataFrame([("a.docx", None), ("b.docx", bytearray(b""))], "path string, content binary")
     assert {r.path: r.status for r in intake.intake(files).collect()} == {"a.docx": "unreadable", "b.docx": "unreadable"}
+
+
+def test_workers_hold_few_files_at_once():
+    import pyarrow as pa
+    n = 3 * intake.FILES_AT_ONCE + 1
+    batch = pa.RecordBatch.from_pydict({"path": [f"{k}.docx" for k in range(n)], "text": [f"text {k}" for k in range(n)]})
+    files = list(intake._build_batches(iter([batch])))
+    read = list(intake._parse_batches(iter(files)))
+    assert all(b.num_rows <= intake.FILES_AT_ONCE for b in files + read)
+    assert [t for b in read for t in b.column("raw_text").to_pylist()] == [f"text {k}" for k in range(n)]
